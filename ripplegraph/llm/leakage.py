@@ -128,10 +128,15 @@ class PieceIndex:
             return run, 0
         if run < self.least:
             return None
-        distance, reach = self.budget + 1, self.min_words + self.budget
-        region = body[max(0, place - reach) : place + self.length + reach]
-        for start in range(max(0, offset + self.length - self.min_words), min(offset, n - self.min_words) + 1):
-            distance = min(distance, myers(item[start : start + self.min_words], region))
+        # A passage that cuts the run is no closer than the one moved along to hold all of it; and as
+        # the words on both sides of the run differ, one edit allows to go on to one side only.
+        distance, size = self.budget + 1, self.min_words
+        first, last = max(0, offset + right - size), min(offset - left, n - size)
+        for start in {first, last} if self.budget == 1 else range(first, last + 1):
+            if start <= offset - left and start + size >= offset + right:
+                at = place - (offset - start)
+                region = body[max(0, at - self.budget) : at + size + self.budget]
+                distance = min(distance, myers(item[start : start + size], region))
         return (run, distance) if distance <= self.budget else None
 
 
