@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import leakage, packing, term_stats
+from ripplegraph.llm import entity_match, leakage, packing, term_stats
 from ripplegraph.session import table
 
 
@@ -17,6 +17,14 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_stats.symbol_terms(table(spark, sf_dir, "nodes"))
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_match.match_symbols(spark, table(spark, sf_dir, "tgtrace"), table(spark, sf_dir, "nodes"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_matches(spark, sf_dir).select("trace_id", "relpath", "qualname", "node_id")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks}
+QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_matches": p5_matches, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 _TERMS = """WITH total AS (SELECT count(DISTINCT id) AS n FROM nodes),
 tokens AS (
