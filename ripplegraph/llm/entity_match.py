@@ -10,8 +10,9 @@ four steps, each over distinct spellings only:
 2. *Candidates.* Within the aligned files, symbols meet nodes by the letters of their name,
    or, if cut off, by the beginning of it. Each candidate gets log-odds from path, language,
    name, owner and kind.
-3. *Belief propagation.* A mention takes one node or none, a node is taken by one mention.
-   Mentions and nodes exchange messages through joins until the beliefs stand still. Where a
+3. *Belief propagation.* A mention takes one node or none, a node is taken by one mention; as
+   a mention may be a second spelling of one that has the node already, the node lets a
+   further one in at ``SHARED`` of its odds. Mentions and nodes exchange messages through joins until the beliefs stand still. Where a
    mention has one candidate that no other mention wants, the fixed point is written down
    directly; only the contested rest is iterated.
 4. The marginal probability is reported with the best node of each mention.
@@ -43,6 +44,8 @@ WEIGHTS = {
     "kind": {"callable": 0.5, "unknown": 0.0, "other": -4.0},
 }
 MAX_PATH_COST = 1.5
+#: Part of its odds that a mention keeps for a node that another mention holds.
+SHARED = 0.15
 #: Kinds of symbols that can be a runtime frame, by their letters (spelling is uneven).
 CALLABLE = ["function", "method", "component"]
 
@@ -80,13 +83,14 @@ def read_qualname(qualname: str, stem: str) -> tuple[str, str, str, str, str] |
     parts = [p for p in re.split(r"\.|::", text) if p]
     if not parts or "<" in parts[-1] or ">" in parts[-1]:
         return None
-    name, owner = parts[-1], _NOISE.sub("", "".join(parts[:-1]).lower())
+    name = parts[-1]
+    if len(parts) > 1 and _NOISE.sub("", parts[0].lower()) == stem:  # the module's own name
+        parts = parts[1:]
+    owner = _NOISE.sub("", "".join(parts[:-1]).lower())
     if len(parts) > 1:
         mangled = re.match(r"_+([A-Za-z0-9]\w*?)__(\w+)$", name)
         if mangled and _NOISE.sub("", parts[-2].lower()) == _NOISE.sub("", mangled[1].lower()):
             name = "__" + mangled[2]
-    if owner == stem:
-        owner = ""
     folded = _NOISE.sub("", name.lower())
     if not folded:
         return None
@@ -286,7 +290,8 @@ def _propagate(work: Workspace, pairs: DataFrame, rounds: int, tolerance: float)
     state, change = work.save(contested, "state-0"), math.inf
     for k in range(1, rounds + 1):
         say = state.withColumn("say", F.col("odds") / (1 + F.sum(F.col("odds") * F.col("free")).over(e) - F.col("odds") * F.col("free")))
-        answer = F.lit(1.0) / (1 + F.greatest(F.sum("say").over(n) - F.col("say"), F.lit(0.0)))
+        others = F.greatest(F.sum("say").over(n) - F.col("say"), F.lit(0.0))
+        answer = SHARED + (1 - SHARED) / (1 + others)
         damped = 0.3 * F.col("free") + 0.7 * answer
         state = work.save(say.select("entity", "node_id", "odds", damped.alias("free"), F.abs(damped - F.col("free")).alias("moved")), f"state-{k}")
         if k > 1:
