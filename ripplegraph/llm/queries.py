@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm import entity_match, leakage, packing, term_stats
+from ripplegraph.llm import entity_match, leakage, packing, quality, term_stats
 from ripplegraph.session import table
 
 
@@ -42,7 +42,15 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_matches": p5_matches, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(spark, table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_matches": p5_matches, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_statistics": p8_statistics}
 
 _TERMS = """WITH total AS (SELECT count(DISTINCT id) AS n FROM nodes),
 tokens AS (
