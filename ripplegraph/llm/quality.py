@@ -48,16 +48,25 @@ VERBS = frozenset(
     è sono hanno stato stata rifatto deve può avrebbe chiede visto perso riceve sia tocca serviti mostrato
     zijn waren heeft hebben wordt werd kan mag moet zou vraagt zag bleef krijgt kreeg kostte verloor gedraaid bereikt""".split()
 )
-STATS = ("words_per_line", "function_words", "verbs", "symbols", "digits", "stops", "clause", "marked", "columns", "code", "variety", "word_length")
-_MARKED = re.compile(r"\s*(?:[-*•+–]\s|\d{1,4}[.)]\s|[A-Za-z]{1,2}[.)]\s|\[[ xX]\]\s)")
+#: Words that stand before a noun, and words that do not stand after them: shuffled words do not keep to that.
+BEFORE_NOUN = frozenset("the a an of from with by ein eine einen einem einer den dem zum zur von mit un une du les el los por della dalla een".split())
+NOT_AFTER = frozenset(
+    """is are was were be been has have had do does did will would can cannot could should must and or but than if when because
+    ist sind war wird wurde wurden hat haben hatte kann darf muss soll und oder aber dass wenn est sont était ont avait doit peut aurait et ou mais
+    fue era han debe puede habría y pero sono ha hanno deve può avrebbe zijn waren heeft hebben wordt werd moet zou maar""".split()
+)
+STATS = ("words_per_line", "function_words", "verbs", "symbols", "digits", "stops", "clause", "marked", "columns", "code", "variety", "word_length", "disorder")
+_MARKED = re.compile(r"\s*(?:[-*•+–]\s|\d{1,4}[.)]\s|[A-Za-z][.)]\s|\[[ xX]\]\s)")
 _CELLS = re.compile(r"[|│┃\t]|\S {3,}\S|</?t[dhr]>")
 _CODE = re.compile(
-    r"[{};]\s*$|^\s*(?:def |class |return\b.*[\w\])}]$|for .*:$|if .*:$|else:|export (?:const|function|default)|const |let |var |import .* from |@\w+|Traceback \(|File \")|=> |[\w\])]\(.*=.*\)$|\w\[\w+\] = |"
+    r"[{}]\s*$|[)\]}'\"];\s*$|^\s*(?:def |class |return\b.*[\w\])}]$|for .*:$|if .*:$|else:|export (?:const|function|default)|const |let |var |import .* from |@\w+|Traceback \(|File \")|=> |[\w\])]\(.*=.*\)$|\w\[\w+\] = |"
     r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d|</\w+>|\w=function\("
 )
 _SYMBOL, _DIGIT = re.compile(r"[^\w\s]"), re.compile(r"\d")
 _STOP = re.compile(r"[.!?…][\"'»”)]*(?=\s|$)")
 _BREAK = re.compile(r"[;,|│\t\n]|[.!?…:](?=\s|$)| {3,}|</td>")
+_QUOTED = re.compile(r"^\s*(?:>+|//|#+(?=\s))[ \t]?")
+_TIGHT = re.compile(r"(?<=\S)[;,](?=\S)")
 _EDGE = "\"'`.,;:!?()[]…«»“”>*_"
 
 
@@ -71,10 +80,16 @@ def make_of(line: str) -> str:
 
 
 def passages(text: str) -> Iterator[list[str]]:
-    """Runs of lines of one make; a blank line ends a run. The whole text is covered."""
+    """Runs of lines of one make; a blank line ends a run. The whole text is covered.
+
+    Signs of quoting and commenting at the start of a line say nothing about what it holds
+    and are taken off.
+    """
     run: list[str] = []
     make = None
     for line in text.splitlines():
+        if line and (line[0] in ">/#" or line[0].isspace()):
+            line = _QUOTED.sub("", line)
         if not line.strip():
             if run:
                 yield run
@@ -100,8 +115,9 @@ def statistics(lines: list[str]) -> tuple[int, list[float]]:
     function = sum(t in FUNCTION_WORDS for t in bare)
     verbs = sum(t in VERBS for t in bare)
     breaks = len(_BREAK.findall(body))
-    cells = len(_CELLS.findall(body))
+    cells = len(_CELLS.findall(body)) + len(_TIGHT.findall(body))
     distinct = len(set(bare))
+    before = [after for word, after in zip(bare, bare[1:]) if word in BEFORE_NOUN]
     return visible, [
         math.log1p(min(n / rows, 60.0)),
         function / n,
@@ -115,6 +131,7 @@ def statistics(lines: list[str]) -> tuple[int, list[float]]:
         sum(1 for line in lines if _CODE.search(line)) / rows,
         math.log1p(distinct) / math.log1p(n),
         math.log(min(visible / n, 200.0)),
+        sum(after in NOT_AFTER for after in before) / (len(before) + 2),
     ]
 
 
