@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -62,21 +63,17 @@ _CODE = re.compile(
     r"[{}]\s*$|[)\]}'\"];\s*$|^\s*(?:def |class |return\b.*[\w\])}]$|for .*:$|if .*:$|else:|export (?:const|function|default)|const |let |var |import .* from |@\w+|Traceback \(|File \")|=> |[\w\])]\(.*=.*\)$|\w\[\w+\] = |"
     r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d|</\w+>|\w=function\("
 )
+_CODE_HINT = re.compile(r'[{}()=\[\]<>@"]|^\s*(?:return\b|else:|\d{4}-)', re.M)
+_GAP = re.compile(r" {3,}")
 _SYMBOL, _DIGIT = re.compile(r"[^\w\s]"), re.compile(r"\d")
 _STOP = re.compile(r"[.!?…][\"'»”)]*(?=\s|$)")
-_BREAK = re.compile(r"[;,|│\t\n]|[.!?…:](?=\s|$)| {3,}|</td>")
 _QUOTED = re.compile(r"^\s*(?:>+|//|#+(?=\s))[ \t]?")
-_TIGHT = re.compile(r"(?<=\S)[;,](?=\S)")
 _EDGE = "\"'`.,;:!?()[]…«»“”>*_"
 
 
-def make_of(line: str) -> str:
-    """The make of a line, as far as single lines show it."""
-    if _MARKED.match(line):
-        return "item"
-    if _CELLS.search(line):
-        return "cells"
-    return "text"
+def may_hold_cells(text: str) -> bool:
+    """Whether any line of a text can be one of cells; spares the pattern in most texts."""
+    return "|" in text or "\t" in text or "   " in text or "│" in text or "┃" in text or "</" in text or "<t" in text
 
 
 def passages(text: str) -> Iterator[list[str]]:
@@ -86,7 +83,7 @@ def passages(text: str) -> Iterator[list[str]]:
     and are taken off.
     """
     run: list[str] = []
-    make = None
+    make, cells = None, may_hold_cells(text)
     for line in text.splitlines():
         if line and (line[0] in ">/#" or line[0].isspace()):
             line = _QUOTED.sub("", line)
@@ -95,7 +92,7 @@ def passages(text: str) -> Iterator[list[str]]:
                 yield run
             run, make = [], None
             continue
-        own = make_of(line)
+        own = "item" if _MARKED.match(line) else "cells" if cells and _CELLS.search(line) else "text"
         if run and own != make:
             yield run
             run = []
@@ -105,46 +102,66 @@ def passages(text: str) -> Iterator[list[str]]:
         yield run
 
 
-def statistics(lines: list[str]) -> tuple[int, list[float]]:
-    """Visible characters of a passage, and its statistics in the order of ``STATS``."""
+def statistics(lines: list[str]) -> tuple[tuple[int, int, int, int], list[float]]:
+    """Raw counts of a passage (words, visible characters, symbols, function words) and its
+    statistics in the order of ``STATS``.
+
+    Costly patterns are tried only where the passage holds a character that they need.
+    """
     body = "\n".join(lines)
     tokens = body.lower().split()
     n, rows = len(tokens), len(lines)
     visible = sum(map(len, tokens))
     bare = [t.strip(_EDGE) for t in tokens]
-    function = sum(t in FUNCTION_WORDS for t in bare)
-    verbs = sum(t in VERBS for t in bare)
-    breaks = len(_BREAK.findall(body))
-    cells = len(_CELLS.findall(body)) + len(_TIGHT.findall(body))
+    function = sum(map(FUNCTION_WORDS.__contains__, bare))
+    verbs = sum(map(VERBS.__contains__, bare))
+    symbols = len(_SYMBOL.findall(body))
+    stops = len(_STOP.findall(body))
+    count = body.count
+    marks = count(",") + count(";")
+    gaps = len(_GAP.findall(body)) if "   " in body else 0
+    breaks = marks + rows - 1 + stops + count(": ") + count("|") + count("│") + count("\t") + count("</td>") + gaps
+    cells = len(_CELLS.findall(body)) if may_hold_cells(body) else 0
+    if marks:
+        cells += marks - sum(map(count, (", ", ",\n", "; ", ";\n"))) - (body[-1] in ",;")
+    code = sum(1 for line in lines if _CODE.search(line)) if _CODE_HINT.search(body) else 0
+    marked = sum(1 for line in lines if _MARKED.match(line))
     distinct = len(set(bare))
-    before = [after for word, after in zip(bare, bare[1:]) if word in BEFORE_NOUN]
-    return visible, [
+    before = list(compress(bare[1:], map(BEFORE_NOUN.__contains__, bare)))
+    return (n, visible, symbols, function), [
         math.log1p(min(n / rows, 60.0)),
         function / n,
         verbs / n,
-        len(_SYMBOL.findall(body)) / visible,
+        symbols / visible,
         len(_DIGIT.findall(body)) / visible,
-        min(len(_STOP.findall(body)) / rows, 1.5),
+        min(stops / rows, 1.5),
         math.log1p(min(n / (breaks + 1), 25.0)),
-        sum(1 for line in lines if _MARKED.match(line)) / rows,
+        marked / rows,
         min(cells / n, 1.0),
-        sum(1 for line in lines if _CODE.search(line)) / rows,
+        code / rows,
         math.log1p(distinct) / math.log1p(n),
         math.log(min(visible / n, 200.0)),
-        sum(after in NOT_AFTER for after in before) / (len(before) + 2),
+        sum(map(NOT_AFTER.__contains__, before)) / (len(before) + 2),
     ]
 
 
-def document_statistics(text: str) -> tuple[int, float, float, float, float]:
-    """Words, mean word length, symbol ratio, share of lines ending in punctuation, share of common words."""
-    tokens = text.lower().split()
-    lines = [line.rstrip() for line in text.splitlines() if line.strip()]
-    n, visible = len(tokens), sum(map(len, tokens))
-    if not n:
-        return 0, 0.0, 0.0, 0.0, 0.0
-    common = sum(t.strip(_EDGE) in FUNCTION_WORDS for t in tokens)
-    ended = sum(line[-1] in ".!?…" for line in lines)
-    return n, visible / n, len(_SYMBOL.findall(text)) / visible, ended / len(lines), common / n
+def read_text(text: str) -> tuple[int, float, float, float, float, list[int], list[float]]:
+    """A document's words, mean word length, symbol ratio, share of lines ending in punctuation
+    and share of common words; and its passages' visible characters and statistics, flat.
+
+    Signs of quoting at the start of lines are no words.
+    """
+    words = visible = symbols = function = ended = rows = 0
+    chars: list[int] = []
+    flat: list[float] = []
+    for lines in passages(text):
+        (n, seen, marks, bound), stats = statistics(lines)
+        words, visible, symbols, function = words + n, visible + seen, symbols + marks, function + bound
+        rows += len(lines)
+        ended += sum(1 for line in lines if line.rstrip()[-1] in ".!?…")
+        chars.append(seen)
+        flat += stats
+    return words, visible / max(words, 1), symbols / max(visible, 1), ended / max(rows, 1), function / max(words, 1), chars, flat
 
 
 _READ = "doc_id long, words long, word_length double, symbol_ratio double, ended_lines double, common_words double, chars array<int>, stats array<float>"
@@ -160,8 +177,9 @@ def read_documents(documents: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or not text.strip():
                     continue
-                parts = [statistics(lines) for lines in passages(text)]
-                rows.append((doc, *document_statistics(text), [c for c, _ in parts], [x for _, s in parts for x in s]))
+                read = read_text(text)
+                if read[0]:  # else the text is nothing but signs of quoting
+                    rows.append((doc, *read))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ_ARROW.types)], schema=_READ_ARROW)
 
