@@ -195,3 +195,32 @@ SELECT t.journey, CAST(t.rank AS BIGINT) AS rank, t.entries_hit, round(t.conf, 3
 foot2(journey, id) AS (SELECT journey, id FROM res WHERE id IS NOT NULL UNION SELECT f.journey, d.nxt FROM foot2 f JOIN deps2 d ON d.frm = f.id) SELECT journey, id FROM foot EXCEPT SELECT journey, id FROM foot2""",
     "natural_sort_key": f"WITH reg AS (SELECT registry_id, any_value(journeys) AS journeys FROM signedintake WHERE journeys IS NOT NULL AND json_valid(journeys) GROUP BY registry_id), ids AS (SELECT DISTINCT CASE WHEN json_type(r.journeys::JSON) = 'ARRAY' THEN coalesce(e.value ->> '$.id', '') ELSE e.key END AS journey_id FROM reg r, json_each(r.journeys::JSON) e WHERE json_type(r.journeys::JSON) IN ('ARRAY', 'OBJECT')) SELECT journey_id, regexp_extract(journey_id, '^(.*?)([0-9]*)$', 1) AS head, coalesce(TRY_CAST(nullif(regexp_extract(journey_id, '^(.*?)([0-9]*)$', 2), '') AS BIGINT), -1) AS tail FROM ids",
 }
+
+
+def _degraded(i: Inputs) -> DataFrame:
+    """The whole answer: ranked flows, flows that triggers name, and the fallback."""
+    from ripplegraph.functions.paths import exemption, is_product_path
+    from ripplegraph.operators import scoring
+    from ripplegraph.plans.trace_queries import all_paths, trigger_rows
+
+    changed = i.last_hunks.select("file_path").distinct()
+    documents = all_paths(i).where(~is_product_path(F.col("path")))
+    held = journeys.resolve_registries(table(i.spark, i.dir, "signedintake")).select("registry_id", "target")
+    triggers = trigger_rows(i).join(held, "registry_id")
+    hits = scoring.trigger_hits(triggers.drop("target"), documents).join(held, "registry_id")
+    named = hits.select(F.concat_ws(":", "target", "journey_id").alias("journey"), F.col("glob").alias("triggered_by")).distinct()
+    known = named.join(i.journeys.journeys.select("journey"), "journey", "left_semi")
+    untriggered = documents.where(exemption(F.col("path")).isNull()).join(hits.select("path").distinct(), "path", "left_anti")
+    rows = impact.with_triggers(_rank(i), known)
+    return impact.with_fallback(rows, i.journeys.journeys, impact.unmapped(changed, i.seeds), untriggered)
+
+
+QUERIES["degrade_rows"] = query(_degraded)
+
+_IMPACT = f"{_G}, {_WEIGHTED}, {_PROP}, {_HUNKS}, {_LAST}"
+ORACLES["confined_files"] = f"""{_IMPACT}, {REGISTRIES}, {ENTRIES}, un AS (SELECT file_path, id FROM seeds WHERE id NOT IN (SELECT id FROM res WHERE id IS NOT NULL)),
+cw(file_path, id) AS (SELECT file_path, id FROM un UNION SELECT c.file_path, p.nxt FROM cw c JOIN prop p ON p.frm = c.id)
+SELECT c.file_path FROM cw c LEFT JOIN sym s ON s.id = c.id GROUP BY c.file_path HAVING bool_and(coalesce(s.file_path = c.file_path, false))"""
+ORACLES["reverse_index"] = f"""{_G}, {_WEIGHTED}, {_PROP}, {REGISTRIES}, {ENTRIES}, inv(journey, id, conf) AS (SELECT journey, id, CAST(1.0 AS DOUBLE) FROM res WHERE id IS NOT NULL
+  UNION SELECT v.journey, p.frm, CASE WHEN p.ec IS NULL THEN v.conf ELSE least(v.conf, p.ec) END FROM inv v JOIN prop p ON p.nxt = v.id)
+SELECT v.journey, v.id, max(v.conf) AS conf FROM inv v JOIN sym s ON s.id = v.id WHERE s.file_path IS NOT NULL AND s.kind IS DISTINCT FROM 'file' AND NOT starts_with(v.id, 'file:') GROUP BY v.journey, v.id"""
