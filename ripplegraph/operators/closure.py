@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ripplegraph.operators.bitclosure import bit_closure, levels_of
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
 from ripplegraph.session import Workspace
 
@@ -57,6 +58,14 @@ def _result(state: DataFrame) -> DataFrame:
     return state.select("source_key", "id", F.col("best.conf").alias("conf"), F.col("best.cap").alias("cap"))
 
 
+def confidences(seeds: DataFrame, relation: DataFrame) -> DataFrame:
+    """Widest confidence without its cap: ``source_key, id, conf``. Relations with a few
+    distinct confidences go with sources as bits, others through the general loop."""
+    levels = levels_of(relation)
+    return bit_closure(seeds, relation, levels) if levels else widest_closure(seeds, relation).select("source_key", "id", "conf")
+
+
 def reachable(seeds: DataFrame, relation: DataFrame) -> DataFrame:
     """Plain reachability: ``source_key, id``."""
-    return widest_closure(seeds, relation).select("source_key", "id")
+    plain = relation.select("frm", "nxt", F.lit(None).cast("double").alias("ec"))
+    return bit_closure(seeds, plain, [1.0]).select("source_key", "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.closure import widest_closure
+from ripplegraph.operators.closure import confidences, reachable
 from ripplegraph.operators.graph import LOW_CONFIDENCE, is_file_id
 
 
@@ -50,7 +50,7 @@ def confined_files(seeds: DataFrame, entries: DataFrame, relation: DataFrame, no
     this rule, nor is one that reaches an id the index does not know.
     """
     uncovered = seeds.join(entries.where("id is not null").select("id").distinct(), "id", "left_anti")
-    reached = widest_closure(uncovered.select(F.col("file_path").alias("source_key"), "id"), relation)
+    reached = reachable(uncovered.select(F.col("file_path").alias("source_key"), "id"), relation)
     met = reached.join(nodes.select("id", "file_path"), "id", "left")
     return met.groupBy("source_key").agg(F.bool_and(F.coalesce(F.col("file_path") == F.col("source_key"), F.lit(False))).alias("inside")).where("inside").select(F.col("source_key").alias("file_path"))
 
@@ -104,7 +104,7 @@ def reverse_index(entries: DataFrame, inverse_relation: DataFrame, nodes: DataFr
     least confidence along a path is the same from either end.
     """
     starts = entries.where("id is not null").select(F.col("journey").alias("source_key"), "id").distinct()
-    reached = widest_closure(starts, inverse_relation)
+    reached = confidences(starts, inverse_relation)
     shown = nodes.where(F.col("file_path").isNotNull() & F.coalesce(F.col("kind") != "file", F.lit(True))).select("id")
     return reached.where(~is_file_id(F.col("id"))).join(shown, "id", "left_semi").select(F.col("source_key").alias("journey"), "id", "conf")
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import glob_problem, glob_to_regex, is_test_path
+from ripplegraph.operators.bitclosure import positions
 from ripplegraph.operators.impact import coupling, shared_core
 from ripplegraph.operators.rules import MIN_TOLERANCE_EDGES, SPOT_CHECK_FLOOR
 
@@ -70,20 +70,11 @@ def stride_sample(rows: DataFrame, key: str, want: int) -> DataFrame:
 
     Positions come from counts per range partition, so that the sort is not one task's work.
     """
-    spark = rows.sparkSession
-    ordered = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
-    kept = ordered.withColumn("within", F.row_number().over(W.partitionBy("part").orderBy(key)) - 1)
-    sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, before, starts = sum(sizes.values()), 0, []
-    for part in sorted(sizes):
-        starts.append((part, before))
-        before += sizes[part]
+    total = rows.count()
     if total <= want:
         return rows.select(key)
-    offset = spark.createDataFrame(starts, "part int, start long")
-    chosen = spark.createDataFrame([(int(i * (total / want)),) for i in range(want)], "at long").distinct()
-    at = kept.join(F.broadcast(offset), "part").withColumn("at", F.col("start") + F.col("within"))
-    return at.join(F.broadcast(chosen), "at", "left_semi").select(key)
+    chosen = rows.sparkSession.createDataFrame([(int(i * (total / want)),) for i in range(want)], "position long").distinct()
+    return positions(rows, key).join(F.broadcast(chosen), "position", "left_semi").select(key)
 
 
 def trigger_hits(triggers: DataFrame, paths: DataFrame) -> DataFrame:
