@@ -99,24 +99,27 @@ class PieceIndex:
         if len(body) < self.min_words - self.budget or not self.size:
             return
         joined = " " + " ".join(body) + " "
-        hits: dict[tuple[int, int], int] = {}
         seen, at = 0, 0
+        done: dict[tuple[int, int], int] = {}  # per item and diagonal, the end of the last run
+        best: dict[int, tuple[int, int]] = {}
         for end, (size, where) in self.automaton.iter(joined):
             start = end - size + 1
             at += joined.count(" ", seen, start)
             seen = start
             for item, offset in where:
-                hits.setdefault((item, at - offset), at)
-        best: dict[int, tuple[int, int]] = {}
-        for (item, diagonal), place in hits.items():
-            found = self._verify(self.items[item][1], body, place - diagonal, place)
-            if found and (item not in best or (-found[0], found[1]) < (-best[item][0], best[item][1])):
-                best[item] = found
+                diagonal = (item, at - offset)
+                if at < done.get(diagonal, 0):
+                    continue
+                right, found = self._verify(self.items[item][1], body, offset, at)
+                done[diagonal] = right
+                if found and (item not in best or (-found[0], found[1]) < (-best[item][0], best[item][1])):
+                    best[item] = found
         for item, (run, distance) in best.items():
             yield self.items[item][0], run, distance
 
-    def _verify(self, item: list[str], body: list[str], offset: int, place: int) -> tuple[int, int] | None:
-        """Run of equal words through a piece hit, and the distance of the passage around it."""
+    def _verify(self, item: list[str], body: list[str], offset: int, place: int) -> tuple[int, tuple[int, int] | None]:
+        """Where the run of equal words through a piece hit ends in the document; and its length
+        with the distance of the passage around it, if that is within the budget."""
         left = 0
         while offset - left > 0 and place - left > 0 and item[offset - left - 1] == body[place - left - 1]:
             left += 1
@@ -125,9 +128,9 @@ class PieceIndex:
             right += 1
         run = left + right
         if run >= self.min_words:
-            return run, 0
+            return place + right, (run, 0)
         if run < self.least:
-            return None
+            return place + right, None
         # A passage that cuts the run is no closer than the one moved along to hold all of it; and as
         # the words on both sides of the run differ, one edit allows to go on to one side only.
         distance, size = self.budget + 1, self.min_words
@@ -137,7 +140,7 @@ class PieceIndex:
                 at = place - (offset - start)
                 region = body[max(0, at - self.budget) : at + size + self.budget]
                 distance = min(distance, myers(item[start : start + size], region))
-        return (run, distance) if distance <= self.budget else None
+        return place + right, (run, distance) if distance <= self.budget else None
 
 
 _INDEXES: dict[str, PieceIndex] = {}
