@@ -10,12 +10,12 @@ batches of as many bits as keep the rows narrow.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
-from ripplegraph.session import Workspace
+from ripplegraph.session import Workspace, save_observed
 
 SALTS = 8
 #: Columns of words in a row; batches are cut so that levels times words stay within it.
@@ -94,12 +94,11 @@ def _walk(work: Workspace, name: str, seeds: DataFrame, edges: DataFrame, hot: l
         for c in cells:
             fresh = fresh | (F.col(col("c", *c)) != F.col(col("o", *c)))
         delta = [F.col(col("c", *c)).bitwiseAND(F.bitwise_not(F.col(col("o", *c)))).alias(col("d", *c)) for c in cells]
-        seen = Observation()
         after = merged.select("id", *(F.col(col("c", *c)).alias(col("w", *c)) for c in cells), *delta, fresh.alias("fresh"))
-        state = work.save(after.observe(seen, F.count_if("fresh").alias("fresh")), f"{name}-{k}")
+        state, n_fresh = save_observed(work, after, f"{name}-{k}", "fresh")
         if k > 1:
             work.drop(f"{name}-{k - 2}")
-        if not seen.get["fresh"]:
+        if not n_fresh:
             break
     return state
 

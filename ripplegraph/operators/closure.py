@@ -10,12 +10,12 @@ the lexicographically larger cap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.bitclosure import bit_closure, levels_of
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
-from ripplegraph.session import Workspace
+from ripplegraph.session import Workspace, save_observed
 
 SALTS = 8
 
@@ -44,12 +44,11 @@ def widest_closure(seeds: DataFrame, relation: DataFrame, max_rounds: int = 1000
         found = frontier.join(spread, ["frm", "salt"]).select("source_key", F.col("nxt").alias("id"), step.alias("best"), F.lit(None).cast(state.schema["best"].dataType).alias("old"))
         held = state.select("source_key", "id", "best", F.col("best").alias("old"))
         merged = found.unionByName(held).groupBy("source_key", "id").agg(F.max("best").alias("best"), F.max("old").alias("old"))
-        seen = Observation()
         after = merged.select("source_key", "id", "best", (F.col("old").isNull() | (F.col("best") > F.col("old"))).alias("fresh"))
-        state = work.save(after.observe(seen, F.count_if("fresh").alias("fresh")), f"state-{k}")
+        state, fresh = save_observed(work, after, f"state-{k}", "fresh")
         if k > 1:
             work.drop(f"state-{k - 2}")
-        if not seen.get["fresh"]:
+        if not fresh:
             break
     return _result(state)
 

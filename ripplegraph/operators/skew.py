@@ -18,6 +18,8 @@ def hot_keys(keys: DataFrame, share: float = 0.01, fraction: float = 0.02, seed:
     seen = keys.where(F.col(column).isNotNull()).sample(fraction=fraction, seed=seed).observe(total, F.count(F.lit(1)).alias("n"))
     counts = seen.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 20)
     rows = counts.orderBy(F.desc("n"), column).limit(int(2 / share)).collect()
+    if not rows:  # also where the plan of an empty table has nothing left to observe
+        return []
     least = total.get["n"] * share / 2
     return [r[column] for r in rows if r["n"] >= least]
 

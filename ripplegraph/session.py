@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -78,6 +80,19 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def save_observed(work: Workspace, df: DataFrame, name: str, flag: str) -> tuple[DataFrame, int]:
+    """Write ``df`` and count the rows with ``flag`` set, in the same job where that is possible.
+
+    The plan of an empty input may have no place left to count in; then the written table is asked.
+    """
+    seen = Observation()
+    saved = work.save(df.observe(seen, F.count_if(flag).alias("n")), name)
+    try:
+        return saved, int(seen.get["n"])
+    except (Py4JError, KeyError):
+        return saved, saved.where(flag).count()
+
+
 def file_bytes(df: DataFrame) -> int:
     """Size of the files a table is read from, by Catalyst's estimate."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

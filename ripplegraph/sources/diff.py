@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ripplegraph.functions.paths import is_product_path
 
@@ -36,7 +37,7 @@ def unquote(path: str | None) -> str | None:
     return raw.decode("utf-8", "backslashreplace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unquoted(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in paths:
         yield part.map(unquote)

@@ -122,7 +122,7 @@ def references(sources: DataFrame) -> DataFrame:
     ``root`` is the first name of a dotted receiver, null for a bare name and '' for a receiver
     that no reading resolves (a call, a subscript, a literal); ``bound`` tells that the root
     or bare name is a parameter or local of the function; ``nested`` marks functions that are
-    defined inside it.
+    defined inside it. A function that refers to nothing gives one row without a name.
     """
 
     def read(path, tree):
@@ -146,6 +146,7 @@ def references(sources: DataFrame) -> DataFrame:
                     root = receiver.id if isinstance(receiver, ast.Name) else ""
                     seen.add((root, node.attr, root in local, False))
             seen |= {(None, name, False, True) for name in nested}
+            seen = seen or {(None, None, False, False)}
             yield from ((*where, *s) for s in seen)
 
     return _per_file(sources, read, "path string, function string, line int, end_line int, root string, name string, bound boolean, nested boolean")
