@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
-from ripplegraph.session import Workspace, save_observed
+from ripplegraph.session import Workspace, default_parallelism, save_observed
 
 SALTS = 8
 #: Columns of words in a row; batches are cut so that levels times words stay within it.
@@ -67,7 +67,8 @@ def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_
     for batch in range(-(-total // (words * 64))):
         mine = numbered.where(F.floor(F.col("position") / (words * 64)) == batch).withColumn("bit", (F.col("position") % (words * 64)).cast("int"))
         state = _walk(work, f"b{batch}", mine, edges, hot, levels, words, max_rounds)
-        parts.append(_unpack(state, levels, words, batch * words * 64))
+        # packed, the state is small and lies in few files; unpacked, it is the size of the result
+        parts.append(_unpack(state.repartition(default_parallelism(spark), "id"), levels, words, batch * words * 64))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
@@ -75,26 +76,23 @@ def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_
 
 
 def _walk(work: Workspace, name: str, seeds: DataFrame, edges: DataFrame, hot: list[str], levels: list[float], words: int, max_rounds: int) -> DataFrame:
-    cells = [(k, w) for k in range(len(levels)) for w in range(words)]
-    col = lambda p, k, w: f"{p}{k}_{w}"
-    one = F.lit(1).cast("long")
-    own = [F.bit_or(F.when(F.floor(F.col("bit") / 64) == w, F.call_function("shiftleft", one, F.col("bit") % 64)).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(words)]
-    first = seeds.groupBy("id").agg(*own)
-    first = first.select("id", *(F.col(f"s{w}").alias(col("w", k, w)) for k, w in cells), *(F.col(f"s{w}").alias(col("d", k, w)) for k, w in cells), F.lit(True).alias("fresh"))
+    cells = [f"{k}_{w}" for k in range(len(levels)) for w in range(words)]
+    level = {f"{k}_{w}": levels[k] for k in range(len(levels)) for w in range(words)}
+    # whole expressions as text: rounds are many and short, and building columns one by one would rule them
+    own = [F.expr(f"bit_or(case when floor(bit / 64) = {w} then shiftleft(1L, bit % 64) else 0L end) as s{w}") for w in range(words)]
+    word = lambda c: f"s{c.split('_')[1]}"
+    first = seeds.groupBy("id").agg(*own).selectExpr("id", *(f"{word(c)} as w{c}" for c in cells), *(f"{word(c)} as d{c}" for c in cells), "true as fresh")
     state = work.save(first, f"{name}-0")
-    zero = F.lit(0).cast("long")
+    salts = salts_of(F.col("id"), hot, SALTS)
+    passed = [f"case when ec is null or ec >= {level[c]!r}D then d{c} else 0L end as c{c}" for c in cells]
+    merge = [F.expr(f"bit_or({p}{c}) as {p}{c}") for p in "co" for c in cells]
+    fresh = " or ".join(f"c{c} <> o{c}" for c in cells)
     for k in range(1, max_rounds + 1):
-        frontier = state.where("fresh").select(F.col("id").alias("frm"), *(col("d", *c) for c in cells), F.explode(salts_of(F.col("id"), hot, SALTS)).alias("salt"))
-        passed = [F.when(F.col("ec").isNull() | (F.col("ec") >= levels[i]), F.col(col("d", i, w))).otherwise(zero).alias(col("c", i, w)) for i, w in cells]
-        found = frontier.join(edges, ["frm", "salt"]).select(F.col("nxt").alias("id"), *passed).groupBy("id").agg(*(F.bit_or(col("c", *c)).alias(col("c", *c)) for c in cells))
-        found = found.select("id", *(col("c", *c) for c in cells), *(zero.alias(col("o", *c)) for c in cells))
-        held = state.select("id", *(F.col(col("w", *c)).alias(col("c", *c)) for c in cells), *(F.col(col("w", *c)).alias(col("o", *c)) for c in cells))
-        merged = found.unionByName(held).groupBy("id").agg(*(F.bit_or(col(p, *c)).alias(col(p, *c)) for p in "co" for c in cells))
-        fresh = F.lit(False)
-        for c in cells:
-            fresh = fresh | (F.col(col("c", *c)) != F.col(col("o", *c)))
-        delta = [F.col(col("c", *c)).bitwiseAND(F.bitwise_not(F.col(col("o", *c)))).alias(col("d", *c)) for c in cells]
-        after = merged.select("id", *(F.col(col("c", *c)).alias(col("w", *c)) for c in cells), *delta, fresh.alias("fresh"))
+        frontier = state.where("fresh").select(F.col("id").alias("frm"), *(f"d{c}" for c in cells), F.explode(salts).alias("salt"))
+        found = frontier.join(edges, ["frm", "salt"]).selectExpr("nxt as id", *passed, *(f"0L as o{c}" for c in cells))
+        held = state.selectExpr("id", *(f"w{c} as c{c}" for c in cells), *(f"w{c} as o{c}" for c in cells))
+        merged = found.union(held).groupBy("id").agg(*merge)
+        after = merged.selectExpr("id", *(f"c{c} as w{c}" for c in cells), *(f"c{c} & ~o{c} as d{c}" for c in cells), f"{fresh} as fresh")
         state, n_fresh = save_observed(work, after, f"{name}-{k}", "fresh")
         if k > 1:
             work.drop(f"{name}-{k - 2}")

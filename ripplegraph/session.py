@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,9 +30,27 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, unless they inherit a path to it."""
+    root = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    inherited = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root.parent in inherited or getattr(context, "_ripplegraph_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="ripplegraph-code-")  # the driver serves the archive from here while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._ripplegraph_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir`` (a file or a folder of parts)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
