@@ -14,11 +14,14 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import compress
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +46,13 @@ VERBS = frozenset(
     noticed suspects agree agreed disagreed asked asks took stayed stay stops explains know knows counts exports imports returns owns reached
     mention compare compared found names named return needs holds left split enter claims prove explain rank compute show decide list
     ist sind war wird wurde wurden hat haben hatte habe kann darf muss soll möchte steht stimmt blieb bleibt kennt braucht gezeigt gewarnt verlor
-    bemerkt erreicht geprüft hätte
+    bemerkt erreicht geprüft hätte gebaut umbenannt laufen lassen zeige berechne begründe angenommen
     est sont était ont avait été fait doit peut aurait demande vu restée perdu garde touche sert reçoit répondre refait
+    changé relancé montrez calculez dites
     son fue era han debe puede habría vio pregunta guarda llega recibe rehizo perdió tardé usa revisa contestar
+    cambió volvimos mostrado demuestre calcule diga decida
     è sono hanno stato stata rifatto deve può avrebbe chiede visto perso riceve sia tocca serviti mostrato
+    cambiato conserva rilanciato rimasta dimostra calcola
     zijn waren heeft hebben wordt werd kan mag moet zou vraagt zag bleef krijgt kreeg kostte verloor gedraaid bereikt""".split()
 )
 #: Words that stand before a noun, and words that do not stand after them: shuffled words do not keep to that.
@@ -56,6 +62,8 @@ NOT_AFTER = frozenset(
     ist sind war wird wurde wurden hat haben hatte kann darf muss soll und oder aber dass wenn est sont était ont avait doit peut aurait et ou mais
     fue era han debe puede habría y pero sono ha hanno deve può avrebbe zijn waren heeft hebben wordt werd moet zou maar""".split()
 )
+#: Words that lean on the next one: no mark stands between.
+CLINGING = frozenset("the a of from and or der dem den eine einen einem und oder dass le les un une du et de au el los del y por della e een en van".split())
 STATS = ("words_per_line", "function_words", "verbs", "symbols", "digits", "stops", "clause", "marked", "columns", "code", "variety", "word_length", "disorder")
 _MARKED = re.compile(r"\s*(?:[-*•+–]\s|\d{1,4}[.)]\s|[A-Za-z][.)]\s|\[[ xX]\]\s)")
 _CELLS = re.compile(r"[|│┃\t]|\S {3,}\S|</?t[dhr]>")
@@ -64,6 +72,7 @@ _CODE = re.compile(
     r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d|</\w+>|\w=function\("
 )
 _CODE_HINT = re.compile(r'[{}()=\[\]<>@"]|^\s*(?:return\b|else:|\d{4}-)', re.M)
+_HIDDEN = regex.compile(r"\p{Cf}+")
 _GAP = re.compile(r" {3,}")
 _SYMBOL, _DIGIT = re.compile(r"[^\w\s]"), re.compile(r"\d")
 _STOP = re.compile(r"[.!?…][\"'»”)]*(?=\s|$)")
@@ -127,6 +136,8 @@ def statistics(lines: list[str]) -> tuple[tuple[int, int, int, int], list[float]
     code = sum(1 for line in lines if _CODE.search(line)) if _CODE_HINT.search(body) else 0
     marked = sum(1 for line in lines if _MARKED.match(line))
     distinct = len(set(bare))
+    again = sum(map(eq, bare, bare[1:]))  # words said twice running; once is no sign of anything
+    cut = sum(t[-1] in ",.;:!?" for t in compress(tokens, map(CLINGING.__contains__, bare)))
     before = list(compress(bare[1:], map(BEFORE_NOUN.__contains__, bare)))
     return (n, visible, symbols, function), [
         math.log1p(min(n / rows, 60.0)),
@@ -141,7 +152,7 @@ def statistics(lines: list[str]) -> tuple[tuple[int, int, int, int], list[float]
         code / rows,
         math.log1p(distinct) / math.log1p(n),
         math.log(min(visible / n, 200.0)),
-        sum(map(NOT_AFTER.__contains__, before)) / (len(before) + 2),
+        min((sum(map(NOT_AFTER.__contains__, before)) + max(0, again - 1) + cut) / (len(before) + 2), 1.0),
     ]
 
 
@@ -151,6 +162,8 @@ def read_text(text: str) -> tuple[int, float, float, float, float, list[int], li
 
     Signs of quoting at the start of lines are no words.
     """
+    if not text.isascii():  # wide letters, odd blanks and invisible signs say nothing about the kind of text
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     words = visible = symbols = function = ended = rows = 0
     chars: list[int] = []
     flat: list[float] = []

@@ -124,3 +124,6 @@ EXAMPLES: dict[str, list[str]] = {
         "=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-=-",
     ],
 }
+
+# Very long passages say the same things again and again.
+EXAMPLES["prose:long"] = ["\n".join([text] * 5) for text in EXAMPLES["prose:lines"]]
