@@ -22,14 +22,19 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
 from ripplegraph.session import Workspace
 
-_STATE = "key string, live long, edge_id long, side string, seen_at timestamp, open boolean, was_open boolean, kind string"
+_STATE = "key string, live long, edge_id long, side string, seen_at timestamp_ntz, open boolean, was_open boolean, kind string"
+
+
+def instant(at: dt.datetime) -> Column:
+    """A time without zone: all times are compared as they were recorded, whatever the session's zone."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 @dataclass(frozen=True)
@@ -42,9 +47,9 @@ class Period:
     def holds(self, column: str):
         c, ok = F.col(column), F.lit(True)
         if self.start is not None:
-            ok = ok & (c >= F.lit(self.start))
+            ok = ok & (c >= instant(self.start))
         if self.end is not None:
-            ok = ok & (c < F.lit(self.end))
+            ok = ok & (c < instant(self.end))
         return ok
 
 
@@ -69,7 +74,7 @@ def references(edges: DataFrame) -> DataFrame:
     return (
         edges.select(
             F.col("id").alias("edge_id"),
-            "seen_at",
+            F.col("seen_at").cast("timestamp_ntz").alias("seen_at"),
             F.explode(
                 F.array(
                     F.struct(F.lit("source").alias("side"), F.col("source").alias("key")),
@@ -85,7 +90,7 @@ def references(edges: DataFrame) -> DataFrame:
 def presence(nodes: DataFrame) -> DataFrame:
     """Distinct index rows that cover some time at all; rows delivered again count once."""
     return (
-        nodes.select(F.col("id").alias("key"), "indexed_at", "removed_at")
+        nodes.select(F.col("id").alias("key"), F.col("indexed_at").cast("timestamp_ntz").alias("indexed_at"), F.col("removed_at").cast("timestamp_ntz").alias("removed_at"))
         .where(F.col("key").isNotNull() & F.col("indexed_at").isNotNull() & (F.col("removed_at").isNull() | (F.col("removed_at") > F.col("indexed_at"))))
         .distinct()
     )
@@ -98,7 +103,7 @@ def advance(state: DataFrame | None, refs: DataFrame, parents: DataFrame, period
 
     def event(df: DataFrame, ts, order: int, delta, live_side: bool, kind: str, **more):
         spread = F.explode(salts_of(key, hot, salts)) if live_side else salt_of(key, F.col("edge_id"), hot, salts)
-        columns = {"edge_id": null("long"), "side": null("string"), "seen_at": null("timestamp"), "was_open": null("boolean")} | more
+        columns = {"edge_id": null("long"), "side": null("string"), "seen_at": null("timestamp_ntz"), "was_open": null("boolean")} | more
         return df.select(key, ts.alias("ts"), F.lit(order).alias("ord"), delta.cast("long").alias("delta"), F.lit(kind).alias("kind"), *(v.alias(k) for k, v in columns.items()), spread.alias("salt"))
 
     ref = {"edge_id": F.col("edge_id"), "side": F.col("side"), "seen_at": F.col("seen_at")}
@@ -111,8 +116,8 @@ def advance(state: DataFrame | None, refs: DataFrame, parents: DataFrame, period
         event(refs.where(in_period), F.col("seen_at"), 1, F.lit(0), False, "ref", **ref),
     ]
     if state is not None:
-        parts.append(event(state.where("kind = 'live'"), F.lit(period.start).cast("timestamp"), -1, F.col("live"), True, "live"))
-        parts.append(event(state.where("kind = 'orphan'"), null("timestamp"), 1, F.lit(0), False, "orphan", **ref, was_open=F.col("open")))
+        parts.append(event(state.where("kind = 'live'"), instant(period.start) if period.start else null("timestamp_ntz"), -1, F.col("live"), True, "live"))
+        parts.append(event(state.where("kind = 'orphan'"), null("timestamp_ntz"), 1, F.lit(0), False, "orphan", **ref, was_open=F.col("open")))
     events = parts[0]
     for part in parts[1:]:
         events = events.unionByName(part)
@@ -166,7 +171,7 @@ class OrphanTracker:
 
 
 def _bounds(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.min("seen_at"), F.max("seen_at")).first())
+    return tuple(edges.select(F.col("seen_at").cast("timestamp_ntz").alias("t")).agg(F.min("t"), F.max("t")).first())
 
 
 def track(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 3, salts: int = 16, snapshots: list | None = None) -> OrphanTracker:
@@ -214,4 +219,4 @@ def orphan_snapshots(spark: SparkSession, nodes: DataFrame, edges: DataFrame, mo
     """One row per period end and side: found so far, waiting, resolved and reopened in it."""
     rows: list = []
     track(spark, nodes, edges, months, salts, rows)
-    return spark.createDataFrame([x for part in rows for x in part], "period_end timestamp, side string, found long, waiting long, resolved long, reopened long")
+    return spark.createDataFrame([x for part in rows for x in part], "period_end timestamp_ntz, side string, found long, waiting long, resolved long, reopened long")
