@@ -67,6 +67,12 @@ ORACLES = {
     "p1_report": f"""WITH {_REFS} SELECT side, strftime(seen_at, '%Y-%m') AS month, count(*) AS found,
   count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = orphans.key AND n.removed_at IS NULL)) AS waiting
   FROM orphans GROUP BY side, month""",
+    "p1_snapshots": f"""WITH {_REFS}, cut AS (SELECT date_trunc('month', lo) + to_months(CAST(3 * i AS INTEGER)) AS p FROM (SELECT min(seen_at) AS lo, max(seen_at) AS hi FROM edges), range(1, 400) r(i) WHERE date_trunc('month', lo) + to_months(CAST(3 * i AS INTEGER)) <= hi),
+ends AS (SELECT row_number() OVER (ORDER BY p NULLS LAST) AS k, p FROM (SELECT p FROM cut UNION ALL SELECT NULL)),
+o AS (SELECT DISTINCT edge_id, side, key, seen_at FROM orphans),
+st AS (SELECT e.k, e.p, o.edge_id, o.side, NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = o.key AND (n.indexed_at < e.p OR e.p IS NULL) AND (n.removed_at IS NULL OR n.removed_at >= e.p)) AS open FROM o JOIN ends e ON e.p IS NULL OR o.seen_at < e.p)
+SELECT a.p AS period_end, a.side, count(*) AS found, count_if(a.open)::BIGINT AS waiting, count_if(b.open AND NOT a.open)::BIGINT AS resolved, count_if(NOT b.open AND a.open)::BIGINT AS reopened
+FROM st a LEFT JOIN st b ON b.k = a.k - 1 AND b.edge_id = a.edge_id AND b.side = a.side GROUP BY a.p, a.side""",
     "p2_found": f"WITH f AS ({_FAN_IN}) SELECT DISTINCT m.candidate_id FROM mealie_all m LEFT JOIN f ON f.index_run = m.index_run AND f.target = m.node_id WHERE m.fan_in IS NOT NULL AND m.fan_in <> coalesce(f.fan_in, 0)",
     "p2_fan_in": _FAN_IN,
     "p3_found": f"""WITH {_TRACES}, {_PAIRS},
@@ -83,6 +89,12 @@ UNION ALL SELECT 'tgtrace.declared', trace_id, parent_key, CAST(i - 1 AS BIGINT)
 UNION ALL SELECT 'tgtrace.declared', trace_id, parent_key, CAST(-1 AS BIGINT), '' FROM decl WHERE items IS NULL OR len(items) = 0
 UNION ALL SELECT 'signedintake.journeys', registry_id, parent_key, child_no, coalesce(child_key, '') FROM n
 UNION ALL SELECT 'signedintake.journeys', registry_id, parent_key, CAST(-1 AS BIGINT), '' FROM k WHERE json_array_length(entries) = 0""",
+    "p3_journeys": """WITH reg AS (SELECT registry_id, any_value(journeys) AS journeys FROM signedintake WHERE journeys IS NOT NULL AND json_valid(journeys) GROUP BY registry_id),
+j AS (SELECT r.registry_id, CASE WHEN json_type(r.journeys::JSON) = 'ARRAY' THEN coalesce(e.value ->> '$.id', '') ELSE e.key END AS journey_id, e.value AS v FROM reg r, json_each(r.journeys::JSON) e WHERE json_type(r.journeys::JSON) IN ('ARRAY', 'OBJECT')),
+k AS (SELECT *, v -> '$.entries' AS entries, v -> '$.route' AS route FROM j)
+SELECT registry_id AS record_id, journey_id, CASE WHEN json_type(v) = 'OBJECT' AND json_type(v -> '$.name') = 'VARCHAR' THEN v ->> '$.name' END AS name,
+  CASE json_type(route) WHEN 'VARCHAR' THEN route ->> '$' WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(route AS JSON[]), lambda x: x ->> '$'), ' > ') END AS route,
+  CAST(CASE WHEN entries IS NULL OR json_type(entries) = 'NULL' THEN 0 WHEN json_type(entries) = 'ARRAY' THEN json_array_length(entries) ELSE 1 END AS BIGINT) AS n_entries FROM k""",
     "p3_traced": f"""WITH {_TRACES}, {_PAIRS}
 SELECT trace_id AS record_id, parent_key AS test_id, CAST(i - 1 AS BIGINT) AS child_no, items[i][1] AS relpath, items[i][2] AS qualname FROM (SELECT trace_id, parent_key, items, unnest(range(1, len(items) + 1)) AS i FROM pairs)""",
 }

@@ -254,3 +254,27 @@ SELECT journey, overlap, size, CASE WHEN top <= 5 THEN 'coupled' ELSE 'apart' EN
 z AS (SELECT y.relpath, y.suffix, row_number() OVER (PARTITION BY y.relpath ORDER BY y.i) AS rn FROM y WHERE y.suffix IN (SELECT file_path FROM sym WHERE file_path IS NOT NULL)) SELECT relpath, suffix AS file_path FROM z WHERE rn = 1""",
     "stride_sample": "WITH c AS (SELECT candidate_id, row_number() OVER (ORDER BY candidate_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT candidate_id FROM mealie_all)), w AS (SELECT DISTINCT CAST(floor(i * (n / 50.0::DOUBLE)) AS BIGINT) AS pos FROM (SELECT max(n) AS n FROM c), range(50) r(i)) SELECT c.candidate_id FROM c WHERE n <= 50 OR pos IN (SELECT pos FROM w)",
 }
+
+_PRODUCT = f"regexp_matches(path, '\\.(py|js|jsx|mjs|cjs|ts|tsx|mts|cts|svelte|vue)$') AND NOT regexp_matches(path, '\\.d\\.(ts|mts|cts)$') AND NOT {TEST_PATH.format(p='path')}"
+_EXEMPT = f"regexp_matches(path, '(^|/)(tests|e2e|__tests__)/') OR regexp_matches(path, '\\.d\\.(ts|mts|cts)$') OR regexp_matches(path, '\\.(md|rst|adoc)$') OR regexp_matches(path, '^(docs|doc)/') OR (upper(left(regexp_extract(path, '[^/]*$'), length(regexp_extract(path, '[^/]*$')) - length({_EXT}))) IN ('LICENSE', 'COPYING', 'CHANGELOG', 'NOTICE', 'AUTHORS') AND lower({_EXT}) IN ('', '.txt', '.md', '.rst', '.adoc'))"
+
+
+def _degrade_sql() -> str:
+    from ripplegraph.plans.graph_queries import ORACLES as graph_sql
+
+    ranked = graph_sql["journey_rank"]
+    head, tail = ranked.rsplit("\nSELECT t.journey", 1)
+    return f"""{head}, ranked AS (SELECT t.journey{tail}), {_PATHS},
+flows AS (SELECT DISTINCT h.target || ':' || j.journey_id AS journey FROM jny j JOIN held h ON h.registry_id = j.registry_id),
+dp AS (SELECT path FROM ap WHERE NOT ({_PRODUCT})),
+g AS (SELECT DISTINCT h.target, e.key AS pattern, j.value ->> '$' AS journey_id FROM (SELECT DISTINCT registry_id, file_triggers FROM signedintake WHERE json_valid(file_triggers)) r JOIN held h ON h.registry_id = r.registry_id, json_each(r.file_triggers::JSON) e, json_each(e.value) j),
+hits AS (SELECT g.target || ':' || g.journey_id AS journey, g.pattern, dp.path FROM g JOIN dp ON g.pattern LIKE '**/*.%' AND regexp_matches(dp.path, '^(?:[^/]+/)*[^/]*\\.' || substr(g.pattern, 6) || '$')),
+named AS (SELECT journey, array_to_string(list_sort(list_distinct(list(pattern))), ',') AS triggered_by FROM hits WHERE journey IN (SELECT journey FROM flows) GROUP BY journey),
+um AS (SELECT count(*) AS n FROM (SELECT DISTINCT file_path FROM hunks WHERE index_run = (SELECT max(index_run) FROM hunks)) WHERE file_path NOT IN (SELECT file_path FROM seeds)),
+ut AS (SELECT count(*) AS n FROM dp WHERE NOT coalesce({_EXEMPT}, false) AND path NOT IN (SELECT path FROM hits)),
+both_ AS (SELECT coalesce(r.journey, n.journey) AS journey, coalesce(r.rank, 0) AS rank, coalesce(r.entries_hit, 0) AS entries_hit, coalesce(r.confidence, 1.0::DOUBLE) AS confidence, coalesce(r.verify, false) AS verify, CASE WHEN r.journey IS NULL THEN 'file-trigger' ELSE r.weak_reason END AS reason, n.triggered_by FROM ranked r FULL JOIN named n ON n.journey = r.journey)
+SELECT journey, rank, entries_hit, confidence, verify, reason, triggered_by FROM both_
+UNION ALL SELECT f.journey, 0, 0, 0.0::DOUBLE, true, CASE WHEN um.n > 0 THEN 'unmapped-files' ELSE 'unmodeled-paths' END, NULL FROM flows f, um, ut WHERE (um.n > 0 OR ut.n > 0) AND f.journey NOT IN (SELECT journey FROM both_)"""
+
+
+ORACLES["degrade_rows"] = _degrade_sql()
