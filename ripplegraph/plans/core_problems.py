@@ -71,7 +71,7 @@ ORACLES = {
 ends AS (SELECT row_number() OVER (ORDER BY p NULLS LAST) AS k, p FROM (SELECT p FROM cut UNION ALL SELECT NULL)),
 o AS (SELECT DISTINCT edge_id, side, key, seen_at FROM orphans),
 st AS (SELECT e.k, e.p, o.edge_id, o.side, NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = o.key AND (n.indexed_at < e.p OR e.p IS NULL) AND (n.removed_at IS NULL OR n.removed_at >= e.p)) AS open FROM o JOIN ends e ON e.p IS NULL OR o.seen_at < e.p)
-SELECT a.p AS period_end, a.side, count(*) AS found, count_if(a.open)::BIGINT AS waiting, count_if(b.open AND NOT a.open)::BIGINT AS resolved, count_if(NOT b.open AND a.open)::BIGINT AS reopened
+SELECT a.p AS period_end, a.side, count(*) AS found, coalesce(count_if(a.open), 0)::BIGINT AS waiting, coalesce(count_if(b.open AND NOT a.open), 0)::BIGINT AS resolved, coalesce(count_if(NOT b.open AND a.open), 0)::BIGINT AS reopened
 FROM st a LEFT JOIN st b ON b.k = a.k - 1 AND b.edge_id = a.edge_id AND b.side = a.side GROUP BY a.p, a.side""",
     "p2_found": f"WITH f AS ({_FAN_IN}) SELECT DISTINCT m.candidate_id FROM mealie_all m LEFT JOIN f ON f.index_run = m.index_run AND f.target = m.node_id WHERE m.fan_in IS NOT NULL AND m.fan_in <> coalesce(f.fan_in, 0)",
     "p2_fan_in": _FAN_IN,
