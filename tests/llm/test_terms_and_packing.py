@@ -4,7 +4,6 @@ from collections import Counter
 
 import pyarrow as pa
 import numpy as np
-from pyspark.sql import functions as F
 
 from ripplegraph.llm import packing, term_stats
 
@@ -89,4 +88,3 @@ def test_a_window_takes_an_exact_fit():
     assert packer.place("a", 6) is None and packer.place("b", 4) == [10, ("a", 6), ("b", 4)] and packer.place("c", 10) == [10, ("c", 10)]
     assert packer.place("d", 3) is None and packer.close() == [[3, ("d", 3)]] and packer.close() == []
     assert packing.pieces(25, 10) == [10, 10, 5] and packing.pieces(20, 10) == [10, 10] and packing.pieces(10, 10) == [10]
-    _ = F
