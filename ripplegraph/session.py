@@ -115,11 +115,6 @@ def save_observed(work: Workspace, df: DataFrame, name: str, flag: str) -> tuple
         return saved, saved.where(flag).count()
 
 
-def file_bytes(df: DataFrame) -> int:
-    """Size of the files a table is read from, by Catalyst's estimate."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
