@@ -265,10 +265,12 @@ def _candidates(symbols: DataFrame, aligned: DataFrame, index: DataFrame) -> Dat
     """Weighted candidate pairs of symbols and nodes in aligned files."""
     located = symbols.join(aligned, "relpath")
     by_name = located.withColumn("node_key", F.explode("name_keys")).join(index, ["file_path", "node_key"])
-    # a name that was cut off: its owner is whole, or the name itself is long
-    start = lambda owner, folded: F.when(owner != "", F.concat(owner, F.lit("."), F.substring(folded, 1, 2))).when(F.length(folded) >= 8, F.substring(folded, 1, 8))
-    cut = located.withColumn("start_key", start(F.col("owner"), F.col("folded")))
-    longer = index.withColumn("start_key", start(F.coalesce("node_owner", F.lit("")), F.col("node_folded")))
+    # a name that was cut off: its owner is whole, or, where the index has no owner, its beginning is long enough
+    owned = lambda owner, folded: F.when(owner != "", F.concat(owner, F.lit("."), F.left(folded, F.lit(2))))
+    long = lambda folded: F.when(F.length(folded) >= 6, F.concat(F.lit("?"), F.left(folded, F.lit(6))))
+    cut = located.withColumn("start_key", F.explode(F.array_compact(F.array(owned(F.col("owner"), F.col("folded")), long(F.col("folded"))))))
+    node_owner = F.coalesce("node_owner", F.lit(""))
+    longer = index.withColumn("start_key", F.coalesce(owned(node_owner, F.col("node_folded")), long(F.col("node_folded")))).where("start_key is not null")
     by_start = cut.join(longer, ["file_path", "start_key"]).where(F.col("node_folded").startswith(F.col("folded")) & (F.length("node_folded") > F.length("folded"))).drop("start_key")
     columns = by_name.columns
     return _weigh(by_name.unionByName(by_start.select(*columns)))
