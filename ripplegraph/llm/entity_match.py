@@ -273,7 +273,7 @@ def _candidates(symbols: DataFrame, aligned: DataFrame, index: DataFrame) -> Dat
     longer = index.withColumn("start_key", F.coalesce(owned(node_owner, F.col("node_folded")), long(F.col("node_folded")))).where("start_key is not null")
     by_start = cut.join(longer, ["file_path", "start_key"]).where(F.col("node_folded").startswith(F.col("folded")) & (F.length("node_folded") > F.length("folded"))).drop("start_key")
     columns = by_name.columns
-    return _weigh(by_name.unionByName(by_start.select(*columns)))
+    return _weigh(by_name.unionByName(by_start.select(*columns))).select("form", "node_id", "file_path", "weight")
 
 
 def _propagate(work: Workspace, pairs: DataFrame, rounds: int, tolerance: float) -> DataFrame:
@@ -319,7 +319,8 @@ def match_symbols(spark: SparkSession, traces: DataFrame, nodes: DataFrame, roun
     pairs = work.save(traced_pairs(traces), "traced")
     forms = pairs.select("relpath", "qualname").distinct()
     mentioned = work.save(_files(forms.select("relpath")), "mentioned")
-    symbols = work.save(_symbols(forms, mentioned), "symbols")
+    # once written, a spelling goes by its number
+    symbols = work.save(_symbols(forms, mentioned).withColumn("form", F.monotonically_increasing_id()), "symbols")
     index = work.save(_nodes(nodes), "index")
     indexed = work.save(_files(index.select("file_path")), "indexed")
 
@@ -330,23 +331,26 @@ def match_symbols(spark: SparkSession, traces: DataFrame, nodes: DataFrame, roun
     first = work.save(_candidates(symbols, aligned, index), "candidates-1")
 
     # the rest: any two directories in order
-    good = first.where("weight > 2").select("relpath", "qualname").distinct()
-    rest = work.save(symbols.join(good, ["relpath", "qualname"], "left_anti"), "rest")
+    good = first.where("weight > 2").select("form").distinct()
+    rest = work.save(symbols.join(good, "form", "left_anti"), "rest")
     loose = mentioned.join(rest.select("relpath").distinct(), "relpath", "left_semi")
     near = _pair_keys(loose, "relpath", False).join(_pair_keys(indexed, "file_path", True), "key").select("relpath", "file_path").distinct()
     second = work.save(_candidates(rest, _with_cost(near, mentioned, indexed), index), "candidates-2")
 
-    found = first.unionByName(second).where("weight > -2").groupBy("relpath", "qualname", "owner", "base", "private", "node_id").agg(F.max("weight").alias("weight"), F.max_by("file_path", "weight").alias("file_path"))
+    found = first.unionByName(second).where("weight > -2").groupBy("form", "node_id").agg(F.max(F.struct("weight", "file_path")).alias("m"))
     # spellings of one symbol are one mention: same best file, same letters of owner and name
-    best = found.groupBy("relpath", "qualname").agg(F.max(F.struct("weight", "file_path"))["file_path"].alias("best_file"))
+    best = found.groupBy("form").agg(F.max("m")["file_path"].alias("best_file"))
     spread = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    entity = F.concat_ws("|", "best_file", spread(F.col("owner")), spread(F.col("base")), "private")
-    found = work.save(found.join(best, ["relpath", "qualname"]).withColumn("entity", entity), "found")
-    odds = found.groupBy("entity", "node_id").agg(F.exp(F.max("weight")).alias("odds"))
+    entity = F.md5(F.concat_ws("|", "best_file", spread(F.col("owner")), spread(F.col("base")), "private"))
+    mention = best.join(symbols.select("form", "owner", "base", "private"), "form").select("form", entity.alias("entity"))
+    mention = work.save(mention, "mention")
+    found = found.select("form", "node_id", F.col("m.weight").alias("weight"))
+    odds = found.join(mention, "form").groupBy("entity", "node_id").agg(F.exp(F.max("weight")).alias("odds"))
     beliefs = _propagate(work, odds, rounds, tolerance)
     pick = beliefs.groupBy("entity").agg(F.max_by(F.struct("node_id", "belief"), F.struct("belief", F.expr("-hash(node_id)"), "node_id")).alias("m"))
     pick = pick.select("entity", "m.node_id", F.col("m.belief").alias("confidence")).where(F.col("confidence") >= least)
-    matched = work.save(found.select("relpath", "qualname", "entity").distinct().join(pick, "entity").select("relpath", "qualname", "node_id", "confidence"), "matched")
+    named = symbols.select("form", "relpath", "qualname")
+    matched = work.save(mention.join(pick, "entity").drop("entity").join(named, "form").select("relpath", "qualname", "node_id", "confidence"), "matched")
 
     key = F.concat_ws("\u0001", "relpath", "qualname")
     hot = hot_keys(pairs.select(key.alias("key")))
