@@ -242,7 +242,7 @@ def _weigh(pairs: DataFrame) -> DataFrame:
     name = choose(
         w["name"],
         ("raw", F.col("name") == F.col("node_name")),
-        ("folded", F.col("folded") == F.col("node_folded")),
+        ("folded", (F.col("folded") == F.col("node_folded")) & ~F.col("name").rlike(r"\$\d+$")),  # a build's number is none of the name's
         ("base", F.col("base") == F.col("node_folded")),
         ("letters", F.array_contains("name_keys", F.col("node_key"))),
         last="start",
@@ -338,10 +338,12 @@ def match_symbols(spark: SparkSession, traces: DataFrame, nodes: DataFrame, roun
     second = work.save(_candidates(rest, _with_cost(near, mentioned, indexed), index), "candidates-2")
 
     found = first.unionByName(second).where("weight > -2").groupBy("form", "node_id").agg(F.max(F.struct("weight", "file_path")).alias("m"))
-    # spellings of one symbol are one mention: same best file, same letters of owner and name
-    best = found.groupBy("form").agg(F.max("m")["file_path"].alias("best_file"))
+    # spellings of one symbol are one mention: same best nodes, same letters of owner and name
+    top = found.withColumn("top", F.max("m.weight").over(W.partitionBy("form"))).where(F.col("m.weight") == F.col("top"))
+    nodes_of = F.concat_ws(",", F.min("node_id"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("node_id")))
+    best = top.groupBy("form").agg(F.max("m.file_path").alias("best_file"), nodes_of.alias("best_nodes"))
     spread = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    entity = F.md5(F.concat_ws("|", "best_file", spread(F.col("owner")), spread(F.col("base")), "private"))
+    entity = F.md5(F.concat_ws("|", "best_file", "best_nodes", spread(F.col("owner")), spread(F.col("base")), "private"))
     mention = best.join(symbols.select("form", "owner", "base", "private"), "form").select("form", entity.alias("entity"))
     mention = work.save(mention, "mention")
     found = found.select("form", "node_id", F.col("m.weight").alias("weight"))

@@ -54,6 +54,16 @@ def test_matching_finds_the_planted_nodes(spark):
     assert all(tuple(k[1:]) in want for k in found) and {k for k in found if k[0] == 2} == {(2, *p) for p in pairs[:3] if (1, *p) in found}
 
 
+def test_siblings_of_one_file_stay_apart(spark):
+    """Names that differ by a closing number or by the order of letters denote different nodes."""
+    names = ["step", "step1", "step2", "get_form", "get_from"]
+    nodes = [(f"n_{name}", "function", name, name, "src/proj/api/flow.py", 1.0) for name in names]
+    pairs = [["src/proj/api/flow.py", name] for name in [*names, "step$1", "setp1", "flow.step2"]]
+    got = em.match_symbols(spark, spark.createDataFrame([(1, {"t": pairs}, "x", "y")], TRACES), spark.createDataFrame(nodes, NODES)).collect()
+    want = {name: f"n_{name}" for name in names} | {"step$1": "n_step", "setp1": "n_step1", "flow.step2": "n_step2"}
+    assert {r["qualname"]: r["node_id"] for r in got} == want
+
+
 def test_beliefs_prefer_one_to_one(spark):
     """Two mentions and two nodes: the undecided mention is pushed to the node nobody else wants."""
     from ripplegraph.session import Workspace
