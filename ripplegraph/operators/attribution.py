@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.journeys import suffix_match
+from ripplegraph.session import Workspace
 
 # Statuses of a run, the verdict each stands for, and the rank of verdicts.
 STATUS_VERDICT = {"pass": "pass", "fail": "fail", "skip": "skip", "error": "fail"}
@@ -85,7 +86,14 @@ def resolve_loose(forms: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def inverted(traced: DataFrame) -> DataFrame:
-    """Node to tests: ``id, n_tests, tests`` of distinct ``test, id``."""
+    """Node to all its tests: ``id, test, n_tests``, a row per distinct pair, as a hot node's
+    tests need not fit into one array."""
+    pairs = Workspace(traced.sparkSession, "inverted").save(traced.select("id", "test").distinct(), "pairs")
+    return pairs.join(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_tests")), "id").select("id", "test", "n_tests")
+
+
+def tests_per_node(traced: DataFrame) -> DataFrame:
+    """The inverted index in short: ``id, n_tests, first_test``; the tests are in ``inverted``."""
     return traced.select("id", "test").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_tests"), F.min("test").alias("first_test"))
 
 

@@ -147,7 +147,8 @@ def _stride(i: Inputs) -> DataFrame:
 QUERIES = {
     "qualified_resolution": query(lambda i: strict(i)),
     "loose_resolution": query(lambda i: attribution.resolve_loose(forms(i), i.nodes)),
-    "node_test_inverted_index": query(lambda i: attribution.inverted(ran(i, ["resolved"]))),
+    "node_test_inverted_index": query(lambda i: attribution.tests_per_node(ran(i, ["resolved"]))),
+    "node_test_pairs": query(lambda i: attribution.inverted(ran(i, ["resolved"]))),
     "trace_attribution": query(reaching),
     "verdict_orphans": query(_orphans),
     "journey_verdict_max": query(lambda i: attribution.worst_verdict(declared(i), ["journey"])),
@@ -206,6 +207,7 @@ ORACLES = {
     "qualified_resolution": f"WITH {NODES}, {_TRACED}, {_HITS} SELECT relpath, qualname, id, state FROM st",
     "loose_resolution": f"WITH {NODES}, {_TRACED}, {_HITS} SELECT h.relpath, h.qualname, h.id, c.hits > 1 AS ambiguous FROM ht h JOIN hc c ON c.relpath = h.relpath AND c.qualname = h.qualname",
     "node_test_inverted_index": f"WITH {NODES}, {_TRACED}, {_HITS} SELECT id, count(*) AS n_tests, min(test) AS first_test FROM rn GROUP BY id",
+    "node_test_pairs": f"WITH {NODES}, {_TRACED}, {_HITS} SELECT id, test, count(*) OVER (PARTITION BY id) AS n_tests FROM rn",
     "trace_attribution": f"WITH {NODES}, {_FLOWS}, {_TRACED}, {_HITS}, {_REACH} SELECT test, journey FROM rc",
     "verdict_orphans": f"WITH {_T}, a AS (SELECT DISTINCT {_KEY} AS key FROM (SELECT unnest(map_keys(tests)) AS test_id FROM t)), b AS (SELECT DISTINCT {_KEY} AS key FROM (SELECT unnest(map_keys(declared)) AS test_id FROM t)) SELECT key, 'no-verdict' AS side FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'no-trace' FROM b WHERE key NOT IN (SELECT key FROM a)",
     "journey_verdict_max": f"WITH {_TRACED} SELECT journey, arg_max(verdict, {_RANK}) AS verdict, count(*) AS tests FROM dc GROUP BY journey",

@@ -102,3 +102,11 @@ def test_drift_and_epochs(spark):
     assert [r[0] for r in rules.drift(files, now).collect()] == ["b"]
     e = spark.createDataFrame([(1_700_000_000,), (1_700_000_000_000,)], "e long").select(rules.epoch_timestamp(F.col("e")).alias("t")).distinct()
     assert e.count() == 1
+
+
+def test_inverted_index_holds_every_test(spark):
+    traced = spark.createDataFrame([("t1", "a"), ("t2", "a"), ("t3", "a"), ("t2", "a"), ("t2", "b")], "test string, id string")
+    got = sorted(tuple(r) for r in at.inverted(traced).select("id", "test", "n_tests").collect())
+    assert got == [("a", "t1", 3), ("a", "t2", 3), ("a", "t3", 3), ("b", "t2", 1)]
+    short = sorted(tuple(r) for r in at.tests_per_node(traced).select("id", "n_tests", "first_test").collect())
+    assert short == [("a", 3, "t1"), ("b", 1, "t2")]
