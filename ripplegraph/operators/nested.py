@@ -41,13 +41,86 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+class Repeating(dict):
+    """A JSON object that repeats names: by name it has the first value, ``items`` has all."""
+
+    def __init__(self, pairs: list[tuple]):
+        super().__init__(reversed(pairs))
+        self.pairs = pairs
+
+    def items(self):
+        return self.pairs
+
+
+def _object(pairs: list[tuple]) -> dict:
+    made = dict(pairs)
+    return made if len(made) == len(pairs) else Repeating(pairs)
+
+
+_DECODER = json.JSONDecoder(parse_constant=_no_constant, object_pairs_hook=_object)
+_CLOSING = {"[": "]", "{": "}"}
+
+
+def parse_deep(text: str):
+    """The value of a JSON text without recursion, for nesting beyond the parser's limit."""
+    past = lambda at: json.decoder.WHITESPACE.match(text, at).end()
+
+    def due(mark: str, names: list, at: int) -> int:
+        """Place of the next value; in an object its name is read first."""
+        at = past(at)
+        if mark == "{":
+            if text[at : at + 1] != '"':
+                raise ValueError(f"no name at {at}")
+            name, at = _DECODER.scan_once(text, at)
+            names.append(name)
+            at = past(at)
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at = past(at + 1)
+        return at
+
+    at, open_ = past(0), []
+    while True:
+        mark = text[at : at + 1]
+        if mark in _CLOSING:
+            end = past(at + 1)
+            if text[end : end + 1] != _CLOSING[mark]:
+                open_.append((mark, [], []))
+                at = due(mark, open_[-1][1], end)
+                continue
+            value, at = {} if mark == "{" else [], end + 1
+        else:
+            try:
+                value, at = _DECODER.scan_once(text, at)
+            except StopIteration:
+                raise ValueError(f"no value at {at}") from None
+        while open_:
+            mark, names, values = open_[-1]
+            values.append(value)
+            at = past(at)
+            if text[at : at + 1] == ",":
+                at = due(mark, names, at + 1)
+                break
+            if text[at : at + 1] != _CLOSING[mark]:
+                raise ValueError(f"not closed at {at}")
+            open_.pop()
+            value, at = _object(list(zip(names, values))) if mark == "{" else values, at + 1
+        else:
+            if past(at) != len(text):
+                raise ValueError(f"more text at {at}")
+            return value
+
+
 def parse_json(text: str | None):
     """The value of a JSON text and True, or None and False for null, blank or invalid text."""
     if text is None or not text.strip():
         return None, False
     try:
-        return json.loads(text, parse_constant=_no_constant), True
-    except (ValueError, RecursionError):
+        try:
+            return _DECODER.decode(text), True
+        except RecursionError:
+            return parse_deep(text), True
+    except ValueError:
         return None, False
 
 
@@ -202,6 +275,8 @@ def nested_children(spark: SparkSession, traces: DataFrame, registries: DataFram
     rows; a parent with a null, missing or empty list gives one row with ``child_no`` -1;
     null elements keep their position and have the key ''; an object or string that stands
     without a list is a list of one; JSON that is neither object nor array has no journeys;
-    an array element without an id belongs to the parent ''.
+    an array element without an id belongs to the parent ''; an id that an object repeats
+    is a parent each time, of other repeated names the first counts; nesting may be of any
+    depth.
     """
     return FlatTables(spark, traces, registries).children()

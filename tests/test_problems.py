@@ -122,6 +122,24 @@ def test_nested_children(spark):
     assert got == sorted(want)
 
 
+def test_repeated_and_deep_json_is_read(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    twice = '{"a": {"entries": ["x"], "entries": ["w"]}, "a": {"entries": ["y"]}, "b": null}'
+    texts = [(1, twice), (2, f'{{"a": {{"entries": ["x", {{"name": "y", "more": {deep}}}]}}, "a": 1}}'), (3, deep[:-1]), (4, f'[{{"id": "a", "entries": {deep}}}]')]
+    traces = spark.createDataFrame([], "trace_id long, tests map<string, array<array<string>>>, declared map<string, array<string>>")
+    got = nested.nested_children(spark, traces, spark.createDataFrame(texts, "registry_id long, journeys string"))
+    rows = sorted(tuple(r) for r in got.select("record_id", "parent_key", "child_no", "child_key").collect())
+    assert rows == [(1, "a", 0, "x"), (1, "a", 0, "y"), (1, "b", -1, ""), (2, "a", -1, ""), (2, "a", 0, "x"), (2, "a", 1, "y"), (4, "a", 0, "")]
+
+
+def test_deep_parser_agrees_with_the_other():
+    good = ['{"a": [1, {"b": "c\\u00e4,]"}, []], "d": {}, "e": -1.5e3}', " [ ] ", '"x"', "null", '[[{"a": {"b": [true, false, null]}}]]']
+    assert all(nested.parse_deep(t) == json.loads(t) for t in good)
+    for bad in ["[1,]", "[1 2]", '{"a" 1}', "{1: 2}", '{"a": 1,}', "[NaN]", "[", "[1}", "[] []", "", "[,]", '{"a":}']:
+        with pytest.raises(ValueError):
+            nested.parse_deep(bad)
+
+
 def test_flat_tables_keep_links(spark):
     traces = spark.createDataFrame([(1, {"t": [["a.py", "f"], ["b.py", "g"]]}, {"t": ["J1"]}, "", "")], TRACE)
     registries = spark.createDataFrame([(9, json.dumps({"J1": {"name": "n", "route": "GET /", "entries": [{"name": "f", "file": "a.py"}]}}), "t")], REG)
