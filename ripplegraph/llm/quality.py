@@ -181,8 +181,12 @@ _READ = "doc_id long, words long, word_length double, symbol_ratio double, ended
 _READ_ARROW = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("ended_lines", pa.float64()), ("common_words", pa.float64()), ("chars", pa.list_(pa.int32())), ("stats", pa.list_(pa.float32()))])
 
 
-def read_documents(documents: DataFrame) -> DataFrame:
-    """Statistics of every document that is not null or blank, and of its passages (flat)."""
+def read_documents(documents: DataFrame, signs: bool = False) -> DataFrame:
+    """Statistics of every document that is not null or blank, and of its passages (flat).
+
+    Texts of nothing but signs of quoting or invisible signs have no passages; they are given
+    only with ``signs``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +195,7 @@ def read_documents(documents: DataFrame) -> DataFrame:
                 if not text or not text.strip():
                     continue
                 read = read_text(text)
-                if read[0]:  # else the text is nothing but signs of quoting
+                if read[0] or signs:
                     rows.append((doc, *read))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ_ARROW.types)], schema=_READ_ARROW)
@@ -312,19 +316,20 @@ def fit(rows: DataFrame, iterations: int = 8, tolerance: float = 1e-3, floor: fl
     return PassageModel(center, scale, mixture, classes)
 
 
-def judge(spark: SparkSession, documents: DataFrame, iterations: int = 8) -> DataFrame:
+def judge(spark: SparkSession, documents: DataFrame, iterations: int = 8, signs: bool = False) -> DataFrame:
     """Every document that is not null or blank with its statistics and shares of each class.
 
     ``doc_id, words, word_length, symbol_ratio, ended_lines, common_words, prose, lists,
     tables, junk`` -- the last four add up to 1. Defined cases: null and blank texts give no
     row; repeated ids give a row each; texts of one passage are judged by it; very long texts
-    are read whole; an empty table gives no rows.
+    are read whole; an empty table gives no rows; texts of nothing but signs of quoting or
+    invisible signs give a row, of 0 words and junk, only with ``signs``.
     """
     work = Workspace(spark, "quality")
-    rows = work.save(read_documents(documents), "passages")
+    rows = work.save(read_documents(documents, signs), "passages")
     model = fit(rows, iterations)
     schema = "doc_id long, words long, word_length double, symbol_ratio double, ended_lines double, common_words double, prose double, lists double, tables double, junk double"
-    if model is None:
+    if model is None and rows.isEmpty():
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +341,9 @@ def judge(spark: SparkSession, documents: DataFrame, iterations: int = 8) -> Dat
             weight = chars.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             total = np.bincount(doc, weight, len(sizes))
-            shares = model.by_class(_matrix(batch.column("stats")))
-            columns = [pa.array(np.bincount(doc, weight * shares[c], len(sizes)) / total) for c in ("prose", "list", "table", "junk")]
+            shares = model.by_class(_matrix(batch.column("stats"))) if len(weight) else dict.fromkeys(("prose", "list", "table", "junk"), weight)
+            bare = total == 0
+            columns = [pa.array(np.bincount(doc, weight * shares[c], len(sizes)) / np.where(bare, 1, total) + (bare if c == "junk" else 0)) for c in ("prose", "list", "table", "junk")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), *columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInArrow(run, schema)
@@ -345,4 +351,4 @@ def judge(spark: SparkSession, documents: DataFrame, iterations: int = 8) -> Dat
 
 def not_prose(spark: SparkSession, documents: DataFrame, share: float = 0.5) -> DataFrame:
     """Documents of whose characters less than ``share`` stand in running sentences."""
-    return judge(spark, documents).where(F.col("prose") < share).select("doc_id").distinct()
+    return judge(spark, documents, signs=True).where(F.col("prose") < share).select("doc_id").distinct()

@@ -47,7 +47,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(spark, table(spark, sf_dir, "documents"))
+    return quality.judge(spark, table(spark, sf_dir, "documents"), signs=True)
 
 
 QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_matches": p5_matches, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_statistics": p8_statistics}

@@ -108,6 +108,16 @@ def test_quality_empty(spark):
     assert quality.judge(spark, df).count() == 0 and quality.not_prose(spark, df).count() == 0
 
 
+def test_texts_of_signs_only_are_no_prose(spark):
+    signs = [(1, ">>>"), (2, "//\n> \n# "), (3, "\u200b\u200d"), (4, None), (5, " \n")]
+    for others in ([], [(9, PROSE * 3)]):
+        df = spark.createDataFrame(signs + others, "doc_id long, text string").coalesce(1)
+        assert sorted(r[0] for r in quality.not_prose(spark, df).collect()) == [1, 2, 3]
+        rows = {r["doc_id"]: r for r in quality.judge(spark, df, signs=True).collect()}
+        assert set(rows) == {1, 2, 3} | {k for k, _ in others}
+        assert all((rows[k]["words"], rows[k]["prose"], rows[k]["junk"]) == (0, 0.0, 1.0) for k in (1, 2, 3))
+
+
 def test_statistics_of_a_document():
     words, length, symbols, ended, common, chars, flat = quality.read_text("The cat sat.\n> on the mat\n\n- item")
     assert words == 8 and ended == 1 / 3 and common == 3 / 8 and sum(chars) == 23 and len(flat) == len(chars) * len(quality.STATS)
