@@ -12,7 +12,8 @@ four steps, each over distinct spellings only:
    name, owner and kind.
 3. *Belief propagation.* A mention takes one node or none, a node is taken by one mention; as
    a mention may be a second spelling of one that has the node already, the node lets a
-   further one in at ``SHARED`` of its odds. Mentions and nodes exchange messages through joins until the beliefs stand still. Where a
+   further one in at ``SHARED`` of its odds. Mentions and nodes exchange messages until the beliefs stand still:
+   both kinds are window sums over one table of pairs, by mention and by node. Where a
    mention has one candidate that no other mention wants, the fixed point is written down
    directly; only the contested rest is iterated.
 4. The marginal probability is reported with the best node of each mention.
@@ -280,7 +281,8 @@ def _propagate(work: Workspace, pairs: DataFrame, rounds: int, tolerance: float)
     """Marginals of ``entity, node_id, odds`` under one-to-one factors, by loopy propagation.
 
     ``say`` is what an entity tells a node (how far it wants it), ``free`` what a node answers
-    (how far it is free of the others). Each round is two grouped sums; both are spread by key.
+    (how far it is free of the others). Each round is two window sums; both are spread by key.
+    Rounds go on until no message moves by ``tolerance``; after ``rounds`` it is an error.
     """
     e, n = W.partitionBy("entity"), W.partitionBy("node_id")
     counted = pairs.withColumn("of_entity", F.count(F.lit(1)).over(e)).withColumn("of_node", F.count(F.lit(1)).over(n))
@@ -301,12 +303,14 @@ def _propagate(work: Workspace, pairs: DataFrame, rounds: int, tolerance: float)
         change = state.agg(F.max("moved")).first()[0]
         if change is None or change < tolerance:
             break
+    else:
+        raise RuntimeError(f"beliefs still move by {change} after {rounds} rounds")
     held = F.col("odds") * F.col("free")
     beliefs = state.withColumn("belief", held / (1 + F.sum(held).over(e))).select("entity", "node_id", "belief")
     return settled.unionByName(beliefs)
 
 
-def match_symbols(spark: SparkSession, traces: DataFrame, nodes: DataFrame, rounds: int = 12, tolerance: float = 0.005, least: float = 0.5) -> DataFrame:
+def match_symbols(spark: SparkSession, traces: DataFrame, nodes: DataFrame, rounds: int = 500, tolerance: float = 0.005, least: float = 0.5) -> DataFrame:
     """Each traced symbol with the node it denotes: ``trace_id, relpath, qualname, node_id, confidence``.
 
     One row per distinct pair as spelled in ``tests``; pairs without a node, with a marginal

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ripplegraph.llm import entity_match as em
 
 
@@ -73,6 +75,14 @@ def test_beliefs_prefer_one_to_one(spark):
     assert got["open", "b"] > 0.7 > got["open", "a"] and got["sure", "a"] > 0.8 and abs(got["alone", "c"] - 0.75) < 1e-9
 
 
+def test_beliefs_that_still_move_are_no_answer(spark):
+    from ripplegraph.session import Workspace
+
+    odds = spark.createDataFrame([("sure", "a", 50.0), ("open", "a", 10.0), ("open", "b", 9.0)], "entity string, node_id string, odds double")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        em._propagate(Workspace(spark, "t"), odds, 2, 0.001)
+
+
 def test_matching_empty(spark):
     none = em.match_symbols(spark, spark.createDataFrame([], TRACES), spark.createDataFrame([], NODES))
     assert none.count() == 0
