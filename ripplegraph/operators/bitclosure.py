@@ -10,6 +10,8 @@ batches of as many bits as keep the rows narrow.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,11 +46,12 @@ def levels_of(relation: DataFrame) -> list[float] | None:
     return found if len(found) <= MOST_LEVELS else None
 
 
-def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_rounds: int = 1000) -> DataFrame:
+def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_rounds: int | None = None) -> DataFrame:
     """``source_key, id, conf`` of everything ``seeds`` (``source_key, id``) reach.
 
     Defined cases: no seeds give no rows; seeds the relation does not know reach themselves;
-    nulls are ignored; repeated seeds and edges count once.
+    nulls are ignored; repeated seeds and edges count once. Rounds go on until nothing is
+    fresh; a closure that needs more than ``max_rounds``, where given, is an error.
     """
     spark = seeds.sparkSession
     work = Workspace(spark, "bits")
@@ -75,7 +78,7 @@ def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_
     return found.join(names, "position").select("source_key", "id", "conf")
 
 
-def _walk(work: Workspace, name: str, seeds: DataFrame, edges: DataFrame, hot: list[str], levels: list[float], words: int, max_rounds: int) -> DataFrame:
+def _walk(work: Workspace, name: str, seeds: DataFrame, edges: DataFrame, hot: list[str], levels: list[float], words: int, max_rounds: int | None) -> DataFrame:
     cells = [f"{k}_{w}" for k in range(len(levels)) for w in range(words)]
     level = {f"{k}_{w}": levels[k] for k in range(len(levels)) for w in range(words)}
     # whole expressions as text: rounds are many and short, and building columns one by one would rule them
@@ -87,7 +90,9 @@ def _walk(work: Workspace, name: str, seeds: DataFrame, edges: DataFrame, hot: l
     passed = [f"case when ec is null or ec >= {level[c]!r}D then d{c} else 0L end as c{c}" for c in cells]
     merge = [F.expr(f"bit_or({p}{c}) as {p}{c}") for p in "co" for c in cells]
     fresh = " or ".join(f"c{c} <> o{c}" for c in cells)
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"rows are still fresh after {max_rounds} rounds")
         frontier = state.where("fresh").select(F.col("id").alias("frm"), *(f"d{c}" for c in cells), F.explode(salts).alias("salt"))
         found = frontier.join(edges, ["frm", "salt"]).selectExpr("nxt as id", *passed, *(f"0L as o{c}" for c in cells))
         held = state.selectExpr("id", *(f"w{c} as c{c}" for c in cells), *(f"w{c} as o{c}" for c in cells))

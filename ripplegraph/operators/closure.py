@@ -10,6 +10,8 @@ the lexicographically larger cap.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ from ripplegraph.session import Workspace, save_observed
 SALTS = 8
 
 
-def widest_closure(seeds: DataFrame, relation: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def widest_closure(seeds: DataFrame, relation: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Everything reachable from ``seeds`` (``source_key, id``): ``source_key, id, conf, cap``.
 
     Defined cases: no seeds give no rows; seeds that the relation does not know reach
     themselves; null ids are ignored; repeated seeds and edges count once; cycles end as only
-    strict improvements go on.
+    strict improvements go on. Rounds go on until nothing is fresh; a closure that needs more
+    than ``max_rounds``, where given, is an error.
     """
     spark = seeds.sparkSession
     work = Workspace(spark, "closure")
@@ -37,7 +40,9 @@ def widest_closure(seeds: DataFrame, relation: DataFrame, max_rounds: int = 1000
     state = work.save(start, "state-0")
     if state.isEmpty():
         return _result(state)
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"rows are still fresh after {max_rounds} rounds")
         frontier = state.where("fresh").select("source_key", F.col("id").alias("frm"), "best", F.explode(salts_of(F.col("id"), hot, SALTS)).alias("salt"))
         conf, cap, ec = F.col("best.conf"), F.col("best.cap"), F.col("ec")
         step = F.struct(F.least(conf, ec).alias("conf"), F.when(ec.isNull() | (ec > conf), cap).otherwise(F.col("ecap")).alias("cap"))

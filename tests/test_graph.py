@@ -104,6 +104,15 @@ def test_bits_agree_with_the_general_loop(spark, seed):
     assert wide == bits
 
 
+def test_a_closure_is_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}", 1.0, "") for k in range(5)], "frm string, nxt string, ec double, ecap string")
+    seeds = spark.createDataFrame([("s", "n0")], "source_key string, id string")
+    for close in (lambda *most: closure.widest_closure(seeds, chain, *most), lambda *most: bitclosure.bit_closure(seeds, chain, [1.0], *most)):
+        assert close().count() == 6
+        with pytest.raises(RuntimeError, match="after 3 rounds"):
+            close(3)
+
+
 def test_seeds_of_hunks_and_unmapped(spark, core):
     nodes, _ = core
     hunks = spark.createDataFrame([("app/svc.py", 12, 13), ("app/svc.py", 12, 13), ("gone.py", 1, 5), ("app/leaf.py", None, 3)], "file_path string, lo int, hi int")
