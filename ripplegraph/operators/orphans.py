@@ -1,35 +1,50 @@
 """References to records that do not exist: incremental keyed pending-orphan state.
 
-The state is one keyed table with two kinds of rows:
-
-* ``live``   -- per key, how many index rows cover the present moment;
-* ``orphan`` -- per reference that found no parent when it was made: edge id, side, key,
-  time, and whether it is still waiting (``open``).
-
-A period's batch is folded into it: new references probe the number of live parents, those
-that find none become orphans; an arriving parent resolves the waiting orphans of its key;
-a removal reopens them. All three happen in one pass over the period's events and the
-state, partitioned by key and ordered by time, so a batch costs one shuffle. The new state
-is written to the shared folder before the old one is dropped, hence an executor can be
-lost at any time, and a run can stop after any period and go on from the state.
-
-Keys that hold a large share of the references are salted: their references are spread
-over ``salts`` tasks, and only their few parent events are repeated.
+The tracker is fed batches as they arrive. A batch brings references, and events of parents
+(one arrives, one is removed), each with the time it speaks of, which may lie long before. Its
+state is a folder:
+
+* ``index``   -- the parent index: all events of parents so far, appended;
+* ``refs``    -- the log of the references as they arrived, appended;
+* ``orphans`` -- a signed log: references found to be orphans (+1), findings taken back (-1);
+* ``waiting`` -- per key with orphans: its live parents now, and its orphans per side;
+* ``manifest``-- one small file per committed version.
+
+A batch costs one pass over its own references: they meet the index by key in one window
+ordered by time, so a late reference is judged by the index as it stood when it was made. Of
+the orphans only their counts per key are carried on: an arriving parent resolves all that
+wait for its key, a removal reopens them, and both change one row. Where a parent's event comes
+late itself, what was judged without it is read from the log and judged again, for the keys
+in question only.
+
+A version counts once its manifest is there; whatever a lost run left behind is written over
+by the next one, which goes on from the last version of the folder.
+
+Keys that hold a large share of a batch's references are salted: their references are spread
+over as many tasks as there are shuffle partitions, and only their parents' events repeat.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
-from ripplegraph.session import Workspace
+from ripplegraph.session import Workspace, default_parallelism
 
-_STATE = "key string, live long, edge_id long, side string, seen_at timestamp_ntz, open boolean, was_open boolean, kind string"
+_REFS = "edge_id long, source string, target string, seen_at timestamp_ntz, slot int"
+_INDEX = "key string, ts timestamp_ntz, delta int, other timestamp_ntz, slot int"
+_FOUND = "edge_id long, side string, key string, seen_at timestamp_ntz, sign int, late boolean, version int"
+_JUDGED = "key string, edge_id long, side string, seen_at timestamp_ntz, orphan boolean, live long, kind string"
+_WAITING = "key string, live long, source long, target long, was_live long, was_source long, was_target long"
+_REF = ["edge_id", "side", "key", "seen_at"]
+#: Slot of what has no time at all: it comes last.
+NO_TIME = 999_999
+SIDES = ("source", "target")
 
 
 def instant(at: dt.datetime) -> Column:
@@ -37,186 +52,245 @@ def instant(at: dt.datetime) -> Column:
     return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-@dataclass(frozen=True)
-class Period:
-    """Half-open span of event time; None means unbounded."""
-
-    start: dt.datetime | None
-    end: dt.datetime | None
-
-    def holds(self, column: str):
-        c, ok = F.col(column), F.lit(True)
-        if self.start is not None:
-            ok = ok & (c >= instant(self.start))
-        if self.end is not None:
-            ok = ok & (c < instant(self.end))
-        return ok
-
-
-def periods(first: dt.datetime | None, last: dt.datetime | None, months: int) -> list[Period]:
-    """Calendar periods of ``months`` months that together cover all time."""
-    if first is None or last is None:
-        return [Period(None, None)]
-    cuts, year, month = [], first.year, first.month
-    while True:
-        month += months
-        year, month = year + (month - 1) // 12, (month - 1) % 12 + 1
-        cut = dt.datetime(year, month, 1)
-        if cut > last:
-            break
-        cuts.append(cut)
-    edges = [None, *cuts, None]
-    return [Period(a, b) for a, b in zip(edges, edges[1:])]
-
-
-def references(edges: DataFrame) -> DataFrame:
-    """One row per edge row and side with a reference that is neither null nor empty."""
-    return (
-        edges.select(
-            F.col("id").alias("edge_id"),
-            F.col("seen_at").cast("timestamp_ntz").alias("seen_at"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit("source").alias("side"), F.col("source").alias("key")),
-                    F.struct(F.lit("target").alias("side"), F.col("target").alias("key")),
-                )
-            ).alias("r"),
-        )
-        .select("edge_id", "seen_at", "r.side", "r.key")
-        .where(F.col("key").isNotNull() & (F.col("key") != ""))
-    )
+def _time(column: str) -> Column:
+    return F.col(column).cast("timestamp_ntz")
 
 
-def presence(nodes: DataFrame) -> DataFrame:
-    """Distinct index rows that cover some time at all; rows delivered again count once."""
-    return (
-        nodes.select(F.col("id").alias("key"), F.col("indexed_at").cast("timestamp_ntz").alias("indexed_at"), F.col("removed_at").cast("timestamp_ntz").alias("removed_at"))
-        .where(F.col("key").isNotNull() & F.col("indexed_at").isNotNull() & (F.col("removed_at").isNull() | (F.col("removed_at") > F.col("indexed_at"))))
-        .distinct()
-    )
+def month_of(ts: Column) -> Column:
+    return F.coalesce(F.year(ts) * 12 + F.month(ts) - 1, F.lit(NO_TIME)).cast("int")
+
+
+def month_start(month: int) -> dt.datetime:
+    return dt.datetime(month // 12, month % 12 + 1, 1)
+
+
+def arrivals(edges: DataFrame, arrival: str | None = "loaded_at") -> DataFrame:
+    """Edge rows with a reference that is neither null nor empty, by the month they arrived in.
+
+    A reference arrives no sooner than it was made: at the later of ``arrival`` and ``seen_at``.
+    """
+    seen = _time("seen_at")
+    arrived = F.greatest(seen, _time(arrival)) if arrival else seen
+    named = "coalesce(source, '') <> '' or coalesce(target, '') <> ''"
+    return edges.where(named).select(F.col("id").alias("edge_id"), "source", "target", seen.alias("seen_at"), month_of(arrived).alias("slot"))
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """One row per row and side with a reference that is neither null nor empty."""
+    ends = F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("key")) for side in SIDES))
+    return rows.select("edge_id", "seen_at", F.explode(ends).alias("r")).select("edge_id", "r.side", "r.key", "seen_at").where("key is not null and key <> ''")
+
+
+def parent_events(nodes: DataFrame) -> DataFrame:
+    """What happens to parents, each event once: ``key, ts, delta, other``.
+
+    ``other`` is the other end of the index row that the event belongs to. Rows that cover no
+    time at all and rows delivered again give nothing.
+    """
+    rows = nodes.select(F.col("id").alias("key"), _time("indexed_at").alias("indexed_at"), _time("removed_at").alias("removed_at"))
+    rows = rows.where("key is not null and indexed_at is not null and (removed_at is null or removed_at > indexed_at)").distinct()
+    both = F.array(F.struct(F.col("indexed_at").alias("ts"), F.lit(1).alias("delta"), F.col("removed_at").alias("other")), F.struct(F.col("removed_at").alias("ts"), F.lit(-1).alias("delta"), F.col("indexed_at").alias("other")))
+    return rows.select("key", F.explode(both).alias("e")).select("key", "e.*").where("ts is not null")
 
 
-def advance(state: DataFrame | None, refs: DataFrame, parents: DataFrame, period: Period, hot: list[str], salts: int) -> DataFrame:
-    """Fold the events of one period into ``state`` and return the state at its end."""
-    null = lambda kind: F.lit(None).cast(kind)
-    key = F.col("key")
-
-    def event(df: DataFrame, ts, order: int, delta, live_side: bool, kind: str, **more):
-        spread = F.explode(salts_of(key, hot, salts)) if live_side else salt_of(key, F.col("edge_id"), hot, salts)
-        columns = {"edge_id": null("long"), "side": null("string"), "seen_at": null("timestamp_ntz"), "was_open": null("boolean")} | more
-        return df.select(key, ts.alias("ts"), F.lit(order).alias("ord"), delta.cast("long").alias("delta"), F.lit(kind).alias("kind"), *(v.alias(k) for k, v in columns.items()), spread.alias("salt"))
-
-    ref = {"edge_id": F.col("edge_id"), "side": F.col("side"), "seen_at": F.col("seen_at")}
-    in_period = period.holds("seen_at")
-    if period.start is None:  # a reference without a time is seen before everything
-        in_period = in_period | F.col("seen_at").isNull()
-    parts = [
-        event(parents.where(period.holds("indexed_at")), F.col("indexed_at"), 0, F.lit(1), True, "live"),
-        event(parents.where(F.col("removed_at").isNotNull() & period.holds("removed_at")), F.col("removed_at"), 0, F.lit(-1), True, "live"),
-        event(refs.where(in_period), F.col("seen_at"), 1, F.lit(0), False, "ref", **ref),
-    ]
-    if state is not None:
-        parts.append(event(state.where("kind = 'live'"), instant(period.start) if period.start else null("timestamp_ntz"), -1, F.col("live"), True, "live"))
-        parts.append(event(state.where("kind = 'orphan'"), null("timestamp_ntz"), 1, F.lit(0), False, "orphan", **ref, was_open=F.col("open")))
-    events = parts[0]
-    for part in parts[1:]:
-        events = events.unionByName(part)
-
-    group = W.partitionBy("key", "salt").orderBy(F.asc_nulls_first("ts"), "ord")
-    so_far = group.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    is_live = F.when(F.col("kind") == "live", 1)
-    folded = events.select(
+def judge(refs: DataFrame, index: DataFrame, hot: list[str], salts: int) -> DataFrame:
+    """``refs`` (with ``again``: judged before) against ``index`` (with ``new``): one window by key.
+
+    Gives the references without a parent when they were made, those judged again whatever
+    comes out, and one row for every key whose parents changed, all with the key's live parents.
+    """
+    key, none = F.col("key"), lambda kind: F.lit(None).cast(kind)
+    said = refs.select("key", F.col("seen_at").alias("ts"), F.lit(1).alias("ord"), F.lit(0).alias("delta"), "edge_id", "side", "again", salt_of(key, F.col("edge_id"), hot, salts).alias("salt"))
+    known = index.select("key", "ts", F.lit(0).alias("ord"), "delta", none("long").alias("edge_id"), none("string").alias("side"), F.col("new").alias("again"), F.explode(salts_of(key, hot, salts)).alias("salt"))
+    group = W.partitionBy("key", "salt")
+    so_far = group.orderBy(F.asc_nulls_first("ts"), "ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    is_event = F.col("ord") == 0
+    met = said.unionByName(known).select(
         "*",
         F.coalesce(F.sum("delta").over(so_far), F.lit(0)).alias("now"),
-        F.coalesce(F.sum("delta").over(whole), F.lit(0)).alias("live"),
-        F.count(is_live).over(so_far).alias("nth"),
-        F.count(is_live).over(whole).alias("of"),
-    )
-    keep_live = (F.col("kind") == "live") & (F.col("salt") == 0) & (F.col("nth") == F.col("of")) & (F.col("live") > 0)
-    keep_orphan = (F.col("kind") == "orphan") | ((F.col("kind") == "ref") & (F.col("now") == 0))
-    return folded.where(keep_live | keep_orphan).select(
-        "key",
-        "live",
-        "edge_id",
-        "side",
-        "seen_at",
-        F.when(F.col("kind") != "live", F.col("live") == 0).alias("open"),
-        "was_open",
-        F.when(F.col("kind") == "live", F.lit("live")).otherwise(F.lit("orphan")).alias("kind"),
+        F.coalesce(F.sum("delta").over(group), F.lit(0)).cast("long").alias("live"),
+        F.when(is_event, F.count(F.when(is_event, 1)).over(so_far)).alias("nth"),
+        F.max(F.when(is_event, F.col("again"))).over(group).alias("touched"),
     )
+    kept = met.where((is_event & (F.col("nth") == 1) & (F.col("salt") == 0) & F.col("touched")) | (~is_event & (F.col("again") | (F.col("now") == 0))))
+    return kept.select("key", "edge_id", "side", F.when(~is_event, F.col("ts")).alias("seen_at"), (F.col("now") == 0).alias("orphan"), "live", F.when(is_event, "parent").otherwise("ref").alias("kind"))
 
 
 class OrphanTracker:
-    """Keeps the pending-orphan state in the shared folder, one version per period."""
-
-    def __init__(self, spark: SparkSession, hot: list[str] | None = None, salts: int = 16):
-        self.spark, self.hot, self.salts = spark, hot or [], salts
-        self.work, self.version = Workspace(spark, "orphans"), 0
-        self.state: DataFrame | None = None
-
-    def step(self, refs: DataFrame, parents: DataFrame, period: Period) -> DataFrame:
-        """Fold one period in; returns the new state, which has been written."""
-        after = advance(self.state, refs, parents, period, self.hot, self.salts)
-        self.version += 1
-        path = self.work.at(f"state-{self.version}")
-        after.write.mode("overwrite").partitionBy("kind").parquet(path)
-        self.state = self.spark.read.schema(_STATE).parquet(path)
-        if self.version > 1:
-            self.work.drop(f"state-{self.version - 1}")
-        return self.state
-
-    def orphans(self) -> DataFrame:
-        return self.state.where("kind = 'orphan'")
-
-
-def _bounds(edges: DataFrame) -> tuple:
-    return tuple(edges.select(F.col("seen_at").cast("timestamp_ntz").alias("t")).agg(F.min("t"), F.max("t")).first())
-
-
-def track(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 3, salts: int = 16, snapshots: list | None = None) -> OrphanTracker:
-    """Replay all periods of ``months`` months; ``snapshots`` collects one small table each."""
-    refs, parents = references(edges), presence(nodes)
-    tracker = OrphanTracker(spark, hot_keys(refs.select("key")), salts)
-    for period in periods(*_bounds(edges), months):
-        tracker.step(refs, parents, period)
+    """The pending-orphan state in a folder; opened on one that has versions, it goes on from the last."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, salts: int | None = None, hot: list[str] | None = None):
+        self.spark, self.hot, self.salts = spark, hot, salts or default_parallelism(spark)
+        self.work = Workspace(spark, "orphans", path)
+        committed = [name for name in self.work.names("manifest") if name.endswith(".json")]
+        state = json.loads(self.work.read_text(f"manifest/{max(committed)}")) if committed else {}
+        self.version, self.through = state.get("version", 0), state.get("through", -1)
+        self.horizon = dt.datetime.fromisoformat(state["horizon"]) if state.get("horizon") else None
+        self.taken_back, self.counts = state.get("taken_back", False), [tuple(c) for c in state.get("counts", [])]
+
+    def _log(self, name: str, schema: str, at_most: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.work.at(name)).where(at_most)
+
+    def step(self, refs: DataFrame, events: DataFrame, until: dt.datetime | None = None) -> list[tuple]:
+        """Take in one batch: rows as ``arrivals`` gives them and events as ``parent_events`` does.
+
+        Either may be late, repeated, or come in any order; ``until`` is the end of the period
+        in which the batch arrived. Returns the counts at its end.
+        """
+        slot = self.through + 1
+        refs.drop("slot").write.mode("overwrite").parquet(self.work.at(f"refs/slot={slot}"))
+        fresh = events.select("key", "ts", "delta", "other").distinct()
+        if self.version:  # an event delivered again in a later batch is none
+            held = self._log("index", _INDEX, f"slot < {slot}")
+            same = [fresh[c].eqNullSafe(held[c]) for c in ("key", "ts", "delta", "other")]
+            fresh = fresh.join(held, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(self.work.at(f"index/slot={slot}"))
+        return self.advance(slot, until)
+
+    def advance(self, through: int, until: dt.datetime | None = None, since: dt.datetime | None = None) -> list[tuple]:
+        """Judge what the logs hold up to slot ``through``; references made before ``since`` are late."""
+        version, mine = self.version + 1, f"slot > {self.through} and slot <= {through}"
+        batch = self._log("refs", _REFS, mine)
+        events = self._log("index", _INDEX, f"slot <= {through}").withColumn("new", F.col("slot") > self.through)
+        refs = references(batch).withColumn("again", F.lit(False))
+        late = events.where("new").where(F.col("ts") < instant(self.horizon)) if self.horizon else None
+        late = late if late is not None and not late.isEmpty() else None
+        if late is not None:  # what was judged without these events is judged again
+            since_event = late.groupBy("key").agg(F.min("ts").alias("from"))
+            before = references(self._log("refs", _REFS, f"slot <= {self.through}")).join(since_event, "key").where(F.col("seen_at") >= F.col("from"))
+            refs = refs.unionByName(before.select(*_REF, F.lit(True).alias("again")))
+        hot = hot_keys(refs.select("key")) if self.hot is None else self.hot
+        judged = self.work.save(judge(refs, events, hot, self.salts), f"judged-{version}")
+        self._log_findings(judged, version, since, late is not None)
+        self._count(judged, version)
+        self.horizon = max(filter(None, (self.horizon, until, self._latest(batch) if until is None else None)), default=None)
+        self.version, self.through, self.taken_back = version, through, self.taken_back or late is not None
+        state = {"version": version, "through": through, "horizon": self.horizon.isoformat() if self.horizon else None, "taken_back": self.taken_back, "counts": self.counts}
+        self.work.write_text(f"manifest/{version:06d}.json", json.dumps(state))
+        self.work.drop(f"judged-{version}")
+        self.work.drop(f"waiting-{version - 1}")
+        return self.counts
+
+    def _latest(self, batch: DataFrame) -> dt.datetime | None:
+        """A time after all that was judged."""
+        last = batch.agg(F.max("seen_at")).first()[0]
+        return last + dt.timedelta(microseconds=1) if last else None
+
+    def _log_findings(self, judged: DataFrame, version: int, since: dt.datetime | None, again: bool) -> None:
+        """Append what is an orphan and was not, and, where something was judged again, what is none any more."""
+        is_late = F.coalesce(F.col("seen_at") < instant(since), F.lit(False)) if since else F.lit(False)
+        found = judged.where("kind = 'ref' and orphan").select(*_REF).distinct()
+        if self.version:
+            held = self.current()
+            same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in _REF]
+            rows = found.join(held, same(found, held), "left_anti").select(*_REF, F.lit(1).alias("sign"))
+            if again:
+                covered = judged.where("kind = 'ref' and not orphan").select(*_REF).distinct()
+                rows = rows.unionByName(held.join(covered, same(held, covered), "left_semi").select(*_REF, F.lit(-1).alias("sign")))
+        else:
+            rows = found.withColumn("sign", F.lit(1))
+        rows.withColumn("late", is_late).write.mode("overwrite").parquet(self.work.at(f"orphans/version={version}"))
+
+    def _count(self, judged: DataFrame, version: int) -> None:
+        """Carry the counts per key on: all that wait for a key are resolved or reopened in one row."""
+        zero = F.lit(0).cast("long")
+        found = self._log("orphans", _FOUND, f"version = {version}")
+        now = judged.groupBy("key").agg(F.max("live").alias("live"))
+        more = found.groupBy("key").agg(*(F.sum(F.when(F.col("side") == s, F.col("sign"))).cast("long").alias(s) for s in SIDES))
+        empty = [zero.alias(f"was_{s}") for s in SIDES]
+        rows = now.select("key", "live", *(zero.alias(s) for s in SIDES), F.lit(None).cast("long").alias("was_live"), *empty)
+        rows = rows.unionByName(more.select("key", F.lit(None).cast("long").alias("live"), *(F.coalesce(s, zero).alias(s) for s in SIDES), F.lit(None).cast("long").alias("was_live"), *empty))
+        if self.version:
+            held = self.spark.read.schema(_WAITING).parquet(self.work.at(f"waiting-{self.version}"))
+            rows = rows.unionByName(held.select("key", F.lit(None).cast("long").alias("live"), *SIDES, F.col("live").alias("was_live"), *(F.col(s).alias(f"was_{s}") for s in SIDES)))
+        g = rows.groupBy("key").agg(F.max("live").alias("now"), F.max("was_live").alias("was_live"), *(F.sum(c).alias(c) for c in (*SIDES, *(f"was_{s}" for s in SIDES))))
+        after = g.where("source + target + was_source + was_target > 0").select("key", F.coalesce("now", "was_live").alias("live"), *SIDES, "was_live", *(f"was_{s}" for s in SIDES))
+        saved = self.work.save(after, f"waiting-{version}")
+        sums = []
+        for s in SIDES:
+            n, was = F.col(s), F.col(f"was_{s}")
+            open_, was_open = F.col("live") == 0, F.col("was_live") == 0
+            sums += [F.sum(n), F.sum(F.when(open_, n)), F.sum(F.when(was_open & ~open_, was)), F.sum(F.when(~was_open & open_, was))]
+        row = [int(v or 0) for v in saved.agg(*(x.alias(f"c{k}") for k, x in enumerate(sums))).first()]
+        self.counts = [(s, *row[4 * k : 4 * k + 4]) for k, s in enumerate(SIDES)]
+
+    def current(self) -> DataFrame:
+        """The orphans as they stand: ``edge_id, side, key, seen_at``."""
+        log = self._log("orphans", _FOUND, f"version <= {self.version}")
+        if not self.taken_back:
+            return log.select(*_REF)
+        return log.groupBy(*_REF).agg(F.sum("sign").alias("n")).where("n > 0").select(*_REF)
+
+    def late(self) -> DataFrame:
+        """Orphans whose reference was made in a period that had been closed when it arrived."""
+        return self._log("orphans", _FOUND, f"version <= {self.version}").where("late and sign > 0").select(*_REF)
+
+    def waiting(self) -> DataFrame:
+        """Keys with orphans and no live parent: ``key, source, target`` (numbers of orphans)."""
+        return self.spark.read.schema(_WAITING).parquet(self.work.at(f"waiting-{self.version}")).where("live = 0 and source + target > 0").select("key", *SIDES)
+
+
+def track(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 3, salts: int | None = None, snapshots: list | None = None, arrival: str | None = "loaded_at", path: str | None = None) -> OrphanTracker:
+    """Feed whole tables in the order of arrival, ``months`` months a batch.
+
+    Each table is read once, into the logs by month; a batch then reads its own months only.
+    ``snapshots`` collects the counts at the end of each period.
+    """
+    if arrival is not None and arrival not in edges.columns:
+        arrival = None
+    tracker = OrphanTracker(spark, path, salts)
+    work = tracker.work
+    arrivals(edges, arrival).write.mode("overwrite").partitionBy("slot").parquet(work.at("refs"))
+    events = parent_events(nodes)
+    events.withColumn("slot", month_of(F.col("ts"))).write.mode("overwrite").partitionBy("slot").parquet(work.at("index"))
+    slots = sorted(int(name.split("=")[1]) for name in work.names("refs") if name.startswith("slot="))
+    timed = [s for s in slots if s != NO_TIME]
+    start = timed[0] if timed else 0
+    ends = list(range(start + months, timed[-1] + 1, months)) if timed else []
+    since = None
+    for end in [*ends, None]:  # the last batch has all that is left
+        until = month_start(end) if end else None
+        counts = tracker.advance(end - 1 if end else NO_TIME, until, since)
+        since = until
         if snapshots is not None:
-            snapshots.append(snapshot(tracker.orphans(), period))
+            snapshots.append([(until, *c) for c in counts if c[1]])
     return tracker
 
 
-def snapshot(orphans: DataFrame, period: Period) -> list:
-    """Counts per side at the end of a period: one or two rows, whatever the input."""
-    once = orphans.groupBy("side", "edge_id").agg(F.bool_or("open").alias("open"), F.bool_or("was_open").alias("was_open"))
-    rows = once.groupBy("side").agg(
-        F.count(F.lit(1)).alias("found"),
-        F.count_if("open").alias("waiting"),
-        F.count_if(F.col("was_open") & ~F.col("open")).alias("resolved"),
-        F.count_if(~F.col("was_open") & F.col("open")).alias("reopened"),
-    )
-    return [(period.end, r["side"], r["found"], r["waiting"], r["resolved"], r["reopened"]) for r in rows.collect()]
-
-
-def find_orphans(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 3, salts: int = 16) -> DataFrame:
+def find_orphans(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 3, salts: int | None = None) -> DataFrame:
     """References that no index row covered when they were made: ``edge_id``, ``side``.
 
     Defined cases: null and empty references never come out; a reference without a time is
     covered by nothing and comes out; an index row without ``indexed_at``, or removed no
-    later than it arrived, covers nothing; repeated edge or index rows count once; an empty
+    later than it arrived, covers nothing; repeated edge or index rows count once, in
+    whatever batch they come; an edge without ``loaded_at`` arrives when it was seen; an empty
     index makes every reference an orphan; no edges give no rows; further columns of either
     table, whatever their names, are not read.
     """
-    return track(spark, nodes, edges, months, salts).orphans().select("edge_id", "side").distinct()
+    return track(spark, nodes, edges, months, salts).current().select("edge_id", "side").distinct()
 
 
-def orphan_report(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 3, salts: int = 16) -> DataFrame:
+def orphan_report(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 3, salts: int | None = None) -> DataFrame:
     """Per side and month of ``seen_at``: orphans found, and those still waiting at the end."""
-    once = track(spark, nodes, edges, months, salts).orphans().groupBy("edge_id", "side", F.date_format("seen_at", "yyyy-MM").alias("month")).agg(F.bool_or("open").alias("open"))
-    return once.groupBy("side", "month").agg(F.count(F.lit(1)).alias("found"), F.count_if("open").alias("waiting"))
+    tracker = track(spark, nodes, edges, months, salts)
+    per_key = tracker.current().groupBy("key", "side", F.date_format("seen_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    met = per_key.join(tracker.waiting().select("key", F.lit(True).alias("open")), "key", "left")
+    return met.groupBy("side", "month").agg(F.sum("n").alias("found"), F.coalesce(F.sum(F.when(F.col("open"), F.col("n"))), F.lit(0)).cast("long").alias("waiting"))
+
+
+_SNAPSHOT = "period_end timestamp_ntz, side string, found long, waiting long, resolved long, reopened long"
+
 
+def orphan_snapshots(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 1, salts: int | None = None, arrival: str | None = None) -> DataFrame:
+    """One row per period end and side: found so far, waiting, resolved and reopened in it.
 
-def orphan_snapshots(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 1, salts: int = 16) -> DataFrame:
-    """One row per period end and side: found so far, waiting, resolved and reopened in it."""
+    Periods are those of ``seen_at``, or, with ``arrival``, of the time that references came in.
+    """
     rows: list = []
-    track(spark, nodes, edges, months, salts, rows)
-    return spark.createDataFrame([x for part in rows for x in part], "period_end timestamp_ntz, side string, found long, waiting long, resolved long, reopened long")
+    track(spark, nodes, edges, months, salts, rows, arrival)
+    return spark.createDataFrame([x for part in rows for x in part], _SNAPSHOT)
+
+
+def late_orphans(spark: SparkSession, nodes: DataFrame, edges: DataFrame, months: int = 1) -> DataFrame:
+    """Orphans that came in after the period of their ``seen_at`` was closed: ``edge_id, side``."""
+    return track(spark, nodes, edges, months).late().select("edge_id", "side").distinct()

@@ -21,6 +21,15 @@ def p1_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_snapshots(spark, table(spark, sf_dir, "nodes"), table(spark, sf_dir, "edges"), months=3)
 
 
+def p1_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts as they stood when each quarter's deliveries were in, late ones among them."""
+    return orphans.orphan_snapshots(spark, table(spark, sf_dir, "nodes"), table(spark, sf_dir, "edges"), months=3, arrival="loaded_at")
+
+
+def p1_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.late_orphans(spark, table(spark, sf_dir, "nodes"), table(spark, sf_dir, "edges"), months=3)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_counts.wrong_fan_in(table(spark, sf_dir, "edges"), table(spark, sf_dir, "mealie_all"))
 
@@ -48,7 +57,7 @@ def p3_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat("traced_symbol")(spark, sf_dir).select("record_id", F.col("parent_key").alias("test_id"), "child_no", "relpath", "qualname")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_snapshots": p1_snapshots, "p2_found": p2_found, "p2_fan_in": p2_fan_in, "p3_found": p3_found, "p3_journeys": p3_journeys, "p3_traced": p3_traced}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_snapshots": p1_snapshots, "p1_arrivals": p1_arrivals, "p1_late": p1_late, "p2_found": p2_found, "p2_fan_in": p2_fan_in, "p3_found": p3_found, "p3_journeys": p3_journeys, "p3_traced": p3_traced}
 
 _REFS = """refs AS (
   SELECT id AS edge_id, 'source' AS side, source AS key, seen_at FROM edges WHERE source IS NOT NULL AND source <> ''
@@ -57,6 +66,13 @@ orphans AS (
   SELECT edge_id, side, key, seen_at FROM refs r WHERE NOT EXISTS (
     SELECT 1 FROM nodes n WHERE n.id = r.key AND n.indexed_at <= r.seen_at AND (n.removed_at IS NULL OR n.removed_at > r.seen_at)))"""
 
+# by arrival: a reference comes in at the later of its two times, its first delivery counts
+_ARRIVED = f"""{_REFS}, first AS (SELECT edge_id, side, key, seen_at, min(arrived) AS arrived FROM (
+  SELECT id AS edge_id, 'source' AS side, source AS key, seen_at, greatest(seen_at, loaded_at) AS arrived FROM edges UNION ALL SELECT id, 'target', target, seen_at, greatest(seen_at, loaded_at) FROM edges) GROUP BY ALL),
+span AS (SELECT date_trunc('month', min(arrived)) AS lo, max(arrived) AS hi FROM first WHERE key <> ''),
+ends AS (SELECT row_number() OVER (ORDER BY p NULLS LAST) AS k, p FROM (SELECT lo + to_months(CAST(3 * i AS INTEGER)) AS p FROM span, range(1, 400) r(i) WHERE lo + to_months(CAST(3 * i AS INTEGER)) <= hi UNION ALL SELECT NULL)),
+o AS (SELECT DISTINCT f.* FROM orphans x JOIN first f ON f.edge_id = x.edge_id AND f.side = x.side AND f.key = x.key AND f.seen_at = x.seen_at)"""
+
 _FAN_IN = "SELECT index_run, target, CAST(count(DISTINCT id) AS BIGINT) AS fan_in FROM edges WHERE kind IN ('calls','imports','references','instantiates') AND target IS NOT NULL AND index_run IS NOT NULL GROUP BY index_run, target"
 
 _TRACES = "t AS (SELECT trace_id, any_value(tests) AS tests, any_value(declared) AS declared FROM tgtrace GROUP BY trace_id)"
@@ -73,6 +89,11 @@ o AS (SELECT DISTINCT edge_id, side, key, seen_at FROM orphans),
 st AS (SELECT e.k, e.p, o.edge_id, o.side, NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = o.key AND (n.indexed_at < e.p OR e.p IS NULL) AND (n.removed_at IS NULL OR n.removed_at >= e.p)) AS open FROM o JOIN ends e ON e.p IS NULL OR o.seen_at < e.p)
 SELECT a.p AS period_end, a.side, count(*) AS found, coalesce(count_if(a.open), 0)::BIGINT AS waiting, coalesce(count_if(b.open AND NOT a.open), 0)::BIGINT AS resolved, coalesce(count_if(NOT b.open AND a.open), 0)::BIGINT AS reopened
 FROM st a LEFT JOIN st b ON b.k = a.k - 1 AND b.edge_id = a.edge_id AND b.side = a.side GROUP BY a.p, a.side""",
+    "p1_arrivals": f"""WITH {_ARRIVED},
+st AS (SELECT e.k, e.p, o.edge_id, o.side, NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = o.key AND (n.indexed_at < e.p OR e.p IS NULL) AND (n.removed_at IS NULL OR n.removed_at >= e.p)) AS open FROM o JOIN ends e ON e.p IS NULL OR o.arrived < e.p)
+SELECT a.p AS period_end, a.side, count(*) AS found, coalesce(count_if(a.open), 0)::BIGINT AS waiting, coalesce(count_if(b.open AND NOT a.open), 0)::BIGINT AS resolved, coalesce(count_if(NOT b.open AND a.open), 0)::BIGINT AS reopened
+FROM st a LEFT JOIN st b ON b.k = a.k - 1 AND b.edge_id = a.edge_id AND b.side = a.side GROUP BY a.p, a.side""",
+    "p1_late": f"WITH {_ARRIVED} SELECT DISTINCT o.edge_id, o.side FROM o WHERE EXISTS (SELECT 1 FROM ends e WHERE e.p IS NOT NULL AND o.seen_at < e.p AND o.arrived >= e.p)",
     "p2_found": f"WITH f AS ({_FAN_IN}) SELECT DISTINCT m.candidate_id FROM mealie_all m LEFT JOIN f ON f.index_run = m.index_run AND f.target = m.node_id WHERE m.fan_in IS NOT NULL AND m.fan_in <> coalesce(f.fan_in, 0)",
     "p2_fan_in": _FAN_IN,
     "p3_found": f"""WITH {_TRACES}, {_PAIRS},

@@ -66,6 +66,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors of a cluster need a folder they share")
         else:
             root = tempfile.mkdtemp(prefix="ripplegraph-")
             spark.sparkContext.setCheckpointDir(root)
@@ -77,9 +79,9 @@ def shared_root(spark: SparkSession) -> str:
 class Workspace:
     """A private sub-folder of the shared folder that holds an operator's written tables."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, path: str | None = None):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.path = path or f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -95,11 +97,38 @@ class Workspace:
     def load(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.at(name))
 
+    def _place(self, name: str):
+        """The file system of a place below the folder, and its path."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.at(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._place(name)
+        files.delete(path, True)
+
+    def names(self, name: str) -> list[str]:
+        """What lies directly below a place; nothing if it is not there."""
+        files, path = self._place(name)
+        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+    def write_text(self, name: str, text: str) -> None:
+        """A small file that is there whole or not at all: written beside its place and moved."""
+        files, path = self._place(name)
+        draft = path.suffix(".draft")
+        out = files.create(draft, True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        files.delete(path, False)
+        files.rename(draft, path)
+
+    def read_text(self, name: str) -> str:
+        files, path = self._place(name)
+        source = files.open(path)
+        try:
+            return bytes(source.readAllBytes()).decode("utf-8")
+        finally:
+            source.close()
 
 
 def save_observed(work: Workspace, df: DataFrame, name: str, flag: str) -> tuple[DataFrame, int]:

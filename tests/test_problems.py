@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ripplegraph.operators import dense_counts, nested, orphans, skew
 
@@ -50,12 +51,11 @@ def test_orphans_any_period(spark, months):
 def test_orphans_hot_key_is_salted(spark):
     edges = [(k, "hot", f"n{k}", T(1 + k % 12)) for k in range(3000)]
     nodes = [("hot", T(4), T(8)), *((f"n{k}", T(1), None) for k in range(0, 3000, 2))]
-    refs = orphans.references(edges_of(spark, edges))
-    assert "hot" in skew.hot_keys(refs.select("key"), fraction=1.0)
-    tracker = orphans.OrphanTracker(spark, ["hot"], salts=5)
-    for period in orphans.periods(T(1), T(12, 5), 3):
-        tracker.step(refs, orphans.presence(nodes_of(spark, nodes)), period)
-    assert {(r["edge_id"], r["side"]) for r in tracker.orphans().collect()} == brute(nodes, edges)
+    arrived = orphans.arrivals(edges_of(spark, edges), None)
+    assert "hot" in skew.hot_keys(orphans.references(arrived).select("key"), fraction=1.0)
+    tracker = orphans.OrphanTracker(spark, salts=5, hot=["hot"])
+    tracker.step(arrived, orphans.parent_events(nodes_of(spark, nodes)))
+    assert {(r["edge_id"], r["side"]) for r in tracker.current().collect()} == brute(nodes, edges)
 
 
 def test_orphans_wait_resolve_and_reopen(spark):
@@ -67,6 +67,57 @@ def test_orphans_wait_resolve_and_reopen(spark):
     assert orphans.find_orphans(spark, nodes, edges).count() == 1
 
 
+def test_late_references_of_closed_periods_come_out(spark):
+    edges = [(1, "ghost", "ghost", T(1)), (2, "p", None, T(2)), (3, "p", None, T(5))]
+    nodes = nodes_of(spark, [("p", T(4), None)])
+    late = edges_of(spark, edges).withColumn("loaded_at", F.expr("case id when 1 then timestamp'2025-09-03' when 2 then timestamp'2025-03-09' end"))
+    rows: list = []
+    tracker = orphans.track(spark, nodes, late, months=1, snapshots=rows)
+    assert {(r["edge_id"], r["side"]) for r in tracker.current().collect()} == {(1, "source"), (1, "target"), (2, "source")}
+    # when the second one came in, no period had been closed yet
+    assert {(r["edge_id"], r["side"]) for r in tracker.late().collect()} == {(1, "source"), (1, "target")}
+    assert [r[:4] for part in rows for r in part][0] == (T(4), "source", 1, 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_any_order_of_arrival_equals_the_replay(spark, seed):
+    """References and parents' events in shuffled batches, some twice; the tracker is reopened in between."""
+    rnd = random.Random(seed)
+    nodes = [(f"n{rnd.randrange(8)}", T(a := rnd.randrange(1, 11), rnd.randrange(1, 28)), rnd.choice([None, T(a + 1, rnd.randrange(1, 28))])) for _ in range(25)]
+    edges = [(k, f"n{rnd.randrange(10)}", rnd.choice(["hot", f"n{rnd.randrange(10)}", None]), rnd.choice([None, *(T(m) for m in range(1, 13))])) for k in range(120)]
+    rnd.shuffle(edges)
+    arrived = orphans.arrivals(edges_of(spark, edges), None)
+    events = [tuple(r) for r in orphans.parent_events(nodes_of(spark, nodes)).collect()]
+    rnd.shuffle(events)
+    path = orphans.OrphanTracker(spark, hot=["hot"]).work.path
+    for at in range(4):
+        some = spark.createDataFrame(events[at * len(events) // 4 : (at + 1) * len(events) // 4] + events[:2], "key string, ts timestamp_ntz, delta int, other timestamp_ntz")
+        mine = arrived.where(F.col("edge_id") % 4 == at).unionByName(arrived.where("edge_id < 3"))
+        tracker = orphans.OrphanTracker(spark, path, salts=3, hot=["hot"])
+        assert tracker.version == at
+        counts = tracker.step(mine, some)
+    want = brute(nodes, edges)
+    got = orphans.OrphanTracker(spark, path)
+    assert {(r["edge_id"], r["side"]) for r in got.current().collect()} == want
+    assert got.current().count() == len(want)
+    live = {n for n, a, r in nodes if r is None}
+    by_side = lambda s, keep: sum(1 for e in edges for side, key in (("source", e[1]), ("target", e[2])) if side == s and (e[0], side) in want and keep(key))
+    assert [c[:3] for c in counts] == [(s, by_side(s, lambda k: True), by_side(s, lambda k: k not in live)) for s in orphans.SIDES]
+
+
+def test_a_batch_that_was_cut_short_is_written_over(spark):
+    tracker = orphans.OrphanTracker(spark)
+    arrived = orphans.arrivals(edges_of(spark, [(1, "a", "b", T(1))]), None)
+    none = orphans.parent_events(nodes_of(spark, []))
+    tracker.step(arrived, none)
+    for left in ("refs/slot=1", "index/slot=1", "orphans/version=2", "waiting-2"):  # what a lost run may leave
+        arrived.drop("slot").write.parquet(tracker.work.at(left))
+    again = orphans.OrphanTracker(spark, tracker.work.path)
+    assert again.version == 1 and again.current().count() == 2
+    again.step(arrived.where("false"), orphans.parent_events(nodes_of(spark, [("a", T(2), None)])))
+    assert [tuple(r) for r in again.waiting().collect()] == [("b", 0, 1)] and again.current().count() == 2
+
+
 def test_orphans_empty(spark):
     some = edges_of(spark, [(1, "a", "b", T(1))])
     assert orphans.find_orphans(spark, nodes_of(spark, []), some).count() == 2
