@@ -23,6 +23,8 @@ from ripplegraph.session import default_parallelism
 FLUSH_KEYS = 500_000
 #: Cells in one emitted block row, so that no Arrow value grows without bound.
 CHUNK = 65_536
+#: Keys that one task of the second step adds up, about.
+BLOCK_KEYS = 500_000
 
 
 class _Dense:
@@ -65,9 +67,12 @@ def dense_counts(df: DataFrame, keys: list[str], distinct: list[str], count: str
 
     Defined cases: null is a key like any other; rows whose ``distinct`` columns are all
     null still count as one combination; an empty input gives no rows; other columns are
-    not read. ``blocks`` defaults to ``spark.sql.shuffle.partitions``.
+    not read. ``blocks`` follows the number of keys, at least ``spark.sql.shuffle.partitions``;
+    every block is one task of the second step.
     """
-    blocks = blocks or default_parallelism(df.sparkSession)
+    if blocks is None:
+        held = df.select(F.approx_count_distinct(F.struct(*keys)).alias("n")).first()["n"]
+        blocks = max(default_parallelism(df.sparkSession), -(-held // BLOCK_KEYS))
     names = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(F.col(d).alias(f"d{i}") for i, d in enumerate(distinct))).distinct()
     rows = rows.select(*names, F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int").alias("block"))
@@ -115,7 +120,7 @@ def dense_counts(df: DataFrame, keys: list[str], distinct: list[str], count: str
 
     arrays = rows.mapInArrow(count_split, array_schema)
     total_schema = T.StructType([*(T.StructField(n, rows.schema[n].dataType) for n in names), T.StructField("cells", T.LongType())])
-    total = arrays.repartition(blocks, "block").mapInArrow(add_blocks, total_schema)
+    total = arrays.repartitionById(blocks, F.col("block")).mapInArrow(add_blocks, total_schema)
     return total.select(*(F.col(n).alias(k) for k, n in zip(keys, names)), F.col("cells").alias(count))
 
 

@@ -200,5 +200,7 @@ def test_flat_tables_keep_links(spark):
     (journey,) = flat.table("journey").collect()
     assert (journey["name"], journey["route"], journey["n_entries"]) == ("n", ["GET /"], 1)
     (entry,) = flat.table("entry").collect()
+    assert entry["parent"] == journey["key"] and entry["key"] == journey["key"] + "/0"
+    assert {r["parent"] for r in flat.table("traced_symbol").collect()} == {r["key"] for r in flat.table("test").collect()}
     assert (entry["parent_key"], entry["name"], entry["file"]) == ("J1", "f", "a.py")
     assert nested.nested_children(spark, traces.limit(0), registries.limit(0)).count() == 0
