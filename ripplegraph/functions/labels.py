@@ -47,6 +47,43 @@ def tagged(title: Column, template: str = "@tg:{}") -> Column:
     return F.regexp_extract_all(title, F.lit(r"(?<![\w@])" + re.escape(head) + r"([A-Za-z0-9_]+)" + re.escape(tail) + r"(?![\w])"), 1)
 
 
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\.^$|?*+()\[\]{}\-#&~\s])", r"\\$1")
+
+
+def _tags(ids: Column, template: str) -> Column:
+    return F.array_join(F.transform(ids, lambda j: _escaped(tag(j, template))), "|")
+
+
+def marker_expression(ids: Column, template: str = "tg_{}") -> Column:
+    """``tg_J1 or tg_J2``: what a marker filter takes; any of the flows is in scope."""
+    return F.array_join(F.transform(ids, lambda j: tag(j, template)), " or ")
+
+
+def grep_expression(ids: Column, template: str = "@tg:{}") -> Column:
+    """A title filter for exactly these flows: what follows a tag must not go on with it."""
+    return F.concat(F.lit("("), _tags(ids, template), F.lit(r")(\s|$)"))
+
+
+def name_pattern(ids: Column, template: str = "@tg:{}") -> Column:
+    """A full-name filter for exactly these flows: tags are whole words on both sides."""
+    return F.concat(F.lit(r"(^|\s)("), _tags(ids, template), F.lit(r")(\s|$)"))
+
+
+#: What counts as white space to the runner whose names are read: not quite what Java's \s is.
+SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+def declares(name: Column, journey_id: Column, template: str = "@tg:{}") -> Column:
+    """Whether a test's full name holds the flow's tag as a whole word."""
+    return F.regexp_like(name, F.concat(F.lit(rf"(?:^|{SPACE})"), _escaped(tag(journey_id, template)), F.lit(rf"(?={SPACE}|\z)")))
+
+
+def date_text(epoch_seconds: Column) -> Column:
+    """Seconds since the epoch as a date, 'never' for none."""
+    return F.coalesce(F.date_format(F.timestamp_seconds(F.nullif(epoch_seconds, F.lit(0))), "yyyy-MM-dd"), F.lit("never"))
+
+
 def joined_name(handler: Column, routes: Column) -> Column:
     """Display name: the labelled routes joined by ' + ', else the handler."""
     labelled = F.filter(routes, lambda r: r["path"].isNotNull() & (r["path"] != ""))

@@ -85,6 +85,32 @@ def resolve_loose(forms: DataFrame, nodes: DataFrame) -> DataFrame:
     return hit.select("relpath", "qualname", "id").join(count, ["relpath", "qualname"])
 
 
+def resolve_harness(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Traced pairs as the harness reads them: ``relpath, qualname, id``, null where nothing answers.
+
+    Frames inside functions (``<locals>``) drop out, as no change is ever seeded on them; every node of
+    the name in that file counts.
+    """
+    forms = named_frames(pairs).where(~F.col("qualname").contains("<locals>"))
+    hit = _hits(forms, nodes).select("relpath", "qualname", "id")
+    return forms.select("relpath", "qualname").join(hit, ["relpath", "qualname"], "left")
+
+
+def journeys_of_tests(tests: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Flows of each test id by a hand-written map (``key, journey``): ``test, key, journey``.
+
+    The id itself goes first, with ever more leading folders taken off, then its file the same way: a
+    run's ids begin at the folder it was started in. A test without a key has null in both.
+    """
+    asked = tests.select("test").where("test is not null").distinct()
+    whole, file = F.split("test", "/"), F.split(F.substring_index("test", "::", 1), "/")
+    cuts = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    tried = asked.select("test", F.posexplode(F.concat(cuts(whole), cuts(file))).alias("at", "key"))
+    known = mapping.select("key").distinct()
+    best = tried.join(known, "key").groupBy("test").agg(F.min(F.struct("at", "key"))["key"].alias("key"))
+    return asked.join(best, "test", "left").join(mapping.select("key", "journey").distinct(), "key", "left").select("test", "key", "journey")
+
+
 def inverted(traced: DataFrame) -> DataFrame:
     """Node to all its tests: ``id, test, n_tests``, a row per distinct pair, as a hot node's
     tests need not fit into one array."""

@@ -29,6 +29,7 @@ MOST_LEVELS = 8
 def positions(rows: DataFrame, key: str) -> DataFrame:
     """Adds ``position``, dense from 0 in the order of the distinct ``key``, without one task's sort."""
     ordered = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id())
+    ordered = Workspace(rows.sparkSession, "positions").save(ordered, "ordered")  # ranges are drawn anew each time
     within = ordered.withColumn("within", F.row_number().over(W.partitionBy("part").orderBy(key)) - 1)
     sizes = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, before = [], 0

@@ -10,24 +10,34 @@ DEFAULT_CONFIDENCE = 0.9
 HEURISTIC_CONFIDENCE = 0.3
 COLLISION_CONFIDENCE = 0.5
 LOW_CONFIDENCE = 0.6
+FAN_IN_KINDS = ["calls", "references", "instantiates", "imports"]
 WALKED_KINDS = ["calls", "references", "instantiates", "extends", "imports"]
 
 METADATA = "confidence double, resolvedBy string, refName string, valueRef boolean"
 
 
+def last_version(rows: DataFrame, key: str, columns: list, at: str) -> DataFrame:
+    """One whole row per ``key``: the last by ``at`` (if there is such a column), of equal ones the
+    largest; never a mixture of several rows."""
+    order = [F.col(at).alias("at")] if at in rows.columns else []
+    return rows.groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("r")).select(key, *(F.col(f"r.{name}") for name in rows.select(*columns).columns))
+
+
 def symbols(nodes: DataFrame) -> DataFrame:
     """One row per id that is in the index now; rows delivered again collapse."""
-    columns = ["name", "qualified_name", "file_path", "start_line", "end_line"]
-    kind = F.max(F.lower(F.trim("kind"))).alias("kind")
-    return nodes.where("removed_at is null and id is not null").groupBy("id").agg(kind, *(F.max(c).alias(c) for c in columns))
+    columns = [F.lower(F.trim("kind")).alias("kind"), "name", "qualified_name", "file_path", "start_line", "end_line"]
+    return last_version(nodes.where("removed_at is null and id is not null"), "id", columns, "indexed_at")
 
 
-def links(edges: DataFrame) -> DataFrame:
-    """One row per edge id with both ends; metadata parsed once, unreadable text gives nulls."""
-    ends = "source is not null and source <> '' and target is not null and target <> ''"
-    columns = ["source", "target", "kind", "metadata", "provenance", "line"]
-    once = edges.where(ends).groupBy("id").agg(*(F.max(c).alias(c) for c in columns))
-    return once.withColumn("meta", F.from_json("metadata", METADATA)).drop("metadata")
+def links(edges: DataFrame, kinds: list[str] | None = None, columns: tuple[str, ...] = ("source", "target", "kind", "metadata", "provenance", "line")) -> DataFrame:
+    """One row per edge id with both ends; metadata parsed once, unreadable text gives nulls.
+
+    Deliveries of an edge differ in ``loaded_at`` at most, so ``kinds`` and ``columns`` cut the rows
+    before they are shuffled.
+    """
+    rows = edges.where("source is not null and source <> '' and target is not null and target <> ''")
+    once = last_version(rows.where(F.col("kind").isin(kinds)) if kinds else rows, "id", list(columns), "loaded_at")
+    return once.withColumn("meta", F.from_json("metadata", METADATA)).drop("metadata") if "metadata" in columns else once
 
 
 def is_file_id(column: Column) -> Column:
@@ -97,5 +107,5 @@ def dependency_relation(edge: DataFrame, dropped: DataFrame | None = None) -> Da
 
 def caller_counts(edge: DataFrame) -> DataFrame:
     """Edges per target over the four kinds that count as fan-in (``extends`` does not)."""
-    counted = edge.where(F.col("kind").isin("calls", "references", "instantiates", "imports"))
+    counted = edge.where(F.col("kind").isin(FAN_IN_KINDS))
     return counted.groupBy("target").agg(F.count(F.lit(1)).alias("callers"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplegraph.functions.paths import is_test_path
+from ripplegraph.operators.bitclosure import positions
 from ripplegraph.operators.closure import confidences, reachable
-from ripplegraph.operators.graph import LOW_CONFIDENCE, is_file_id
+from ripplegraph.operators.graph import FAN_IN_KINDS, LOW_CONFIDENCE, is_file_id
+from ripplegraph.operators.journeys import natural_key
+from ripplegraph.session import Workspace
 
 
 def _lines(nodes: DataFrame) -> DataFrame:
@@ -97,6 +101,49 @@ def with_fallback(rows: DataFrame, journeys: DataFrame, unmapped_files: DataFram
     return rows.unionByName(added)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """An answer (``journey, rank, ...``) with its ``position`` from 1: by rank, the highest first, then
+    so that J2 comes before J10. Sorted by ranges, not in one task."""
+    head, tail, whole = natural_key(F.col("journey"))
+    keyed = rows.withColumn("order", F.struct((-F.col("rank")).alias("rank"), head.alias("head"), tail.alias("tail"), whole.alias("id")))
+    keyed = Workspace(rows.sparkSession, "answer").save(keyed, "rows")
+    return keyed.join(positions(keyed, "order"), "order").drop("order").withColumn("position", F.col("position") + 1)
+
+
+def lost_files(changed: DataFrame, seeds: DataFrame, drifted: DataFrame | None = None) -> DataFrame:
+    """Changed files that no symbol answers to, or whose content no longer is what was indexed."""
+    lost = unmapped(changed, seeds)
+    if drifted is None:
+        return lost
+    stale = changed.where("file_path is not null").join(drifted.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("file_path")
+    return lost.unionByName(stale).distinct()
+
+
+def file_nodes(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The node that stands for each file: ``file_path, id``; of several the smallest id."""
+    held = nodes.where("kind = 'file' and file_path is not null").groupBy("file_path").agg(F.min("id").alias("id"))
+    return paths.select("file_path").where("file_path is not null").distinct().join(held, "file_path")
+
+
+def file_map(nodes: DataFrame) -> DataFrame:
+    """Every symbol with its file, '' where it has none."""
+    return nodes.select("id", F.coalesce("file_path", F.lit("")).alias("file_path"))
+
+
+def fan_in_by_name(edges: DataFrame, nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Callers per name and file, files and calls from tests left out: the ``k`` largest, and for
+    these the files that call them with the number of calls."""
+    source = nodes.select(F.col("id").alias("source"), F.col("file_path").alias("caller_file"))
+    target = nodes.where(F.coalesce(F.col("kind") != "file", F.lit(True)) & F.col("name").isNotNull()).select(F.col("id").alias("target"), "name", "file_path")
+    counted = edges.where(F.col("kind").isin(FAN_IN_KINDS)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    met = counted.join(target, "target").join(source, "source", "left").where(~F.coalesce(is_test_path(F.col("caller_file")), F.lit(False)))
+    per_file = Workspace(edges.sparkSession, "fan-in").save(met.groupBy("name", "file_path", "caller_file").agg(F.sum("n").alias("n")), "files")
+    top = per_file.groupBy("name", "file_path").agg(F.sum("n").alias("callers")).orderBy(F.desc("callers"), "name", "file_path").limit(k)
+    chosen = top.select(F.col("name").alias("top_name"), F.col("file_path").alias("top_file"))
+    callers = per_file.join(F.broadcast(chosen), per_file["name"].eqNullSafe(chosen["top_name"]) & per_file["file_path"].eqNullSafe(chosen["top_file"]), "left_semi")
+    return top, callers
+
+
 def reverse_index(entries: DataFrame, inverse_relation: DataFrame, nodes: DataFrame) -> DataFrame:
     """Every symbol with the flows a change of it can reach: ``journey, id, conf``.
 

@@ -26,6 +26,18 @@ def resolve_registries(registries: DataFrame) -> DataFrame:
     return registries.where("target is not null").select("registry_id", "target", "approved", "reviewed_at").distinct().withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank")
 
 
+def discover(found: DataFrame) -> DataFrame:
+    """The registry file that holds for each target, among ``folder_rank, file_name, target``.
+
+    The first folder with a match wins; in it approved files go before ``*.draft.json``, then by
+    name. Other files than ``*.json`` and those without a target are passed over.
+    """
+    draft = F.col("file_name").endswith(".draft.json")
+    rank = W.partitionBy("target").orderBy("folder_rank", draft, "file_name")
+    named = found.where(F.col("target").isNotNull() & F.col("file_name").endswith(".json")).select("folder_rank", "file_name", "target").distinct()
+    return named.withColumn("rank", F.row_number().over(rank)).where("rank = 1").drop("rank")
+
+
 class Journeys:
     """Long tables of the registries that hold: ``journeys`` and ``entries``."""
 

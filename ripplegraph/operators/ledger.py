@@ -76,6 +76,31 @@ def history(rows: DataFrame) -> DataFrame:
     )
 
 
+def ledger_counts(outcomes: DataFrame, selections: DataFrame) -> DataFrame:
+    """Per repo the rows of either kind as recorded: ``repo, selections, outcomes``.
+
+    A selection has a row per flow it named; those of one time and commit are one selection.
+    """
+    s = selections.select("repo", "commit", "base", "status", "ts").distinct().groupBy("repo").agg(F.count(F.lit(1)).alias("selections"))
+    o = outcomes.groupBy("repo").agg(F.count(F.lit(1)).alias("outcomes"))
+    zero = F.lit(0).cast("long")
+    return s.join(o, "repo", "full").select("repo", F.coalesce("selections", zero).alias("selections"), F.coalesce("outcomes", zero).alias("outcomes"))
+
+
+def export_payload(summary: DataFrame, detail: DataFrame) -> DataFrame:
+    """What a summary says in words and as evidence: ``repo, content, evidence`` (JSON).
+
+    ``summary`` is ``totals`` with ``ledger_counts``, ``detail`` the history per flow.
+    """
+    judged = F.col("caught") + F.col("missed")
+    told = F.when(judged > 0, F.format_string("Observed recall %.2f over %d judged failures (%d missed in silence).", "observed_recall", judged, "missed")).otherwise(F.lit("No failure was judged yet, so recall is not known."))
+    content = F.concat(F.format_string("Ledger of %s: %d selections, %d outcomes, %d commits with both. ", "repo", "selections", "outcomes", "judged_commits"), told)
+    flows = detail.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("journey", "runs", "passes", "failures", "caught", "missed", "unasked", "unbaselined"))).alias("per_journey"))
+    met = summary.join(flows, "repo", "left")
+    evidence = F.to_json(F.struct("repo", "selections", "outcomes", "judged_commits", "caught", "missed", "observed_recall", "per_journey"))
+    return met.select("repo", content.alias("content"), evidence.alias("evidence"))
+
+
 def totals(rows: DataFrame) -> DataFrame:
     """Per repo: judged commits, caught, missed, observed recall and whether it may rank."""
     n = lambda name: F.count_if(F.col("bucket") == name)
@@ -100,8 +125,9 @@ def precision_recall(selected: DataFrame, oracle: DataFrame, keys: list[str]) ->
 
 
 def selectivity(sizes: DataFrame, total: int) -> DataFrame:
-    """Summary of selection sizes (``n``) out of ``total`` flows."""
+    """Summary of selection sizes (``n``) out of ``total`` flows, and of how many were ``degraded``."""
     return sizes.agg(
+        F.count_if("degraded").alias("degraded"),
         F.count(F.lit(1)).alias("selections"), F.avg("n").alias("mean_selected"), (F.lit(1.0) - F.avg("n") / F.lit(float(total))).alias("avoided"),
         F.count_if(F.col("n") <= 2).alias("at_most_two"), F.count_if(F.col("n") == total).alias("all_flows"), F.count_if(F.col("n") == total - 1).alias("all_but_one"),
     )

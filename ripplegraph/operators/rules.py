@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplegraph.operators.journeys import clean_path, suffix_match
+
 # Fixed values of the guards.
 MTIME_SLOP_SECONDS = 2
 SPOT_CHECK_FLOOR = 0.8
@@ -38,9 +40,14 @@ def extraction_pin(registries: DataFrame, version: int | None) -> DataFrame:
 
 
 def approval(registries: DataFrame) -> DataFrame:
-    """A registry that is not approved warns, a missing flag in other words than a false one."""
+    """A registry that is not approved warns, a missing flag in other words than a false one; what it
+    declares not to see is counted, if it has ``blind_spots``."""
     rows = registries.where(F.coalesce(~F.col("approved"), F.lit(True)))
-    return rows.select(*finding("approval", "warning", F.col("registry_id"), F.when(F.col("approved").isNull(), "approval missing").otherwise("not approved")))
+    text = F.when(F.col("approved").isNull(), "approval missing").otherwise("not approved")
+    if "blind_spots" in registries.columns:
+        n = F.size(F.coalesce("blind_spots", F.array().cast("array<string>")))
+        text = F.when(n > 0, F.concat(text, F.format_string("; %d blind spots", n))).otherwise(text)
+    return rows.select(*finding("approval", "warning", F.col("registry_id"), text))
 
 
 def pending(refs: DataFrame, most: int, schema_matches: bool = True) -> DataFrame:
@@ -50,19 +57,21 @@ def pending(refs: DataFrame, most: int, schema_matches: bool = True) -> DataFram
 
 
 def spot_checks(checks: DataFrame, nodes: DataFrame, callers: DataFrame) -> DataFrame:
-    """``registry_id, name, min_caller_edges, suspended`` against the graph.
+    """``registry_id, name, file, min_caller_edges, suspended`` against the graph.
 
-    Suspended checks warn and are skipped; a name the index lacks blocks; callers of all
-    nodes of that name under the floor block.
+    A check with a reason to be suspended warns with it and is skipped; a name the index lacks (in
+    that file, where one is given) blocks; callers of all its nodes under the floor block.
     """
-    known = nodes.where("name is not null and kind is distinct from 'file'").select("id", "name")
-    counts = known.join(callers.select(F.col("target").alias("id"), "callers"), "id", "left").groupBy("name").agg(F.sum(F.coalesce("callers", F.lit(0))).alias("total"))
-    met = checks.join(counts, "name", "left")
-    held = F.coalesce("suspended", F.lit(False))
-    state = F.when(held, "suspended").when(F.col("total").isNull(), "missing").when(F.col("total") < F.col("min_caller_edges"), "below floor")
-    rows = met.withColumn("state", state).where("state is not null")
+    known = nodes.where("name is not null and kind is distinct from 'file'").select("id", "name", clean_path(F.col("file_path")).alias("path"))
+    counted = known.join(callers.select(F.col("target").alias("id"), "callers"), "id", "left").groupBy("name", "path").agg(F.sum(F.coalesce("callers", F.lit(0))).alias("callers"))
+    reason = F.nullif(F.trim("suspended"), F.lit(""))
+    asked = checks.select("registry_id", "name", "file", "min_caller_edges", reason.alias("reason")).distinct()
+    fits = F.col("file").isNull() | suffix_match(F.col("path"), F.col("file"))
+    met = asked.where("reason is null").join(counted, "name", "left").groupBy("registry_id", "name", "file", "min_caller_edges").agg(F.sum(F.when(fits, F.col("callers"))).alias("total"))
+    state = F.when(F.col("total").isNull(), "missing").when(F.col("total") < F.col("min_caller_edges"), "below floor")
     subject = F.concat_ws(":", F.col("registry_id").cast("string"), "name")
-    return rows.select(*finding("spot-check", F.when(F.col("state") == "suspended", "warning").otherwise("blocking"), subject, F.col("state")))
+    judged = met.withColumn("state", state).where("state is not null").select(*finding("spot-check", "blocking", subject, F.col("state")))
+    return judged.unionByName(asked.where("reason is not null").select(*finding("spot-check", "warning", subject, F.concat(F.lit("suspended: "), F.col("reason")))))
 
 
 def stale(files: DataFrame, newest_change: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import glob_problem, glob_to_regex, is_test_path
 from ripplegraph.operators.bitclosure import positions
+from ripplegraph.operators.graph import FAN_IN_KINDS
 from ripplegraph.operators.impact import coupling, shared_core
 from ripplegraph.operators.rules import MIN_TOLERANCE_EDGES, SPOT_CHECK_FLOOR
 
-FAN_IN = ["calls", "references", "instantiates", "imports"]
 #: Distinct globs that a registry set may hold; more are matched in several rounds.
 GLOBS_AT_ONCE = 500
 
@@ -28,8 +29,21 @@ def spot_check_scores(candidates: DataFrame) -> DataFrame:
     return rows.select("candidate_id", "index_run", "name", "fan_in", "floor", score.alias("score"))
 
 
-def churn_of_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Index runs in which a file's symbols made any reference: ``file_path, churn``."""
+def spot_check_picks(scores: DataFrame, entry_names: DataFrame, picked: int = 2, kept: int = 8) -> DataFrame:
+    """The ``kept`` best candidates that are no entry, in order, the first ``picked`` of them chosen:
+    ``position, picked, ...`` by score, then fan-in, then name, then id."""
+    rows = scores.join(entry_names.select("name").distinct(), "name", "left_anti")
+    order = [F.desc("score"), F.desc("fan_in"), F.col("name").asc_nulls_last(), F.col("candidate_id")]
+    best = rows.orderBy(*order).limit(kept)
+    position = F.row_number().over(W.orderBy(*order))  # of at most ``kept`` rows
+    return best.withColumn("position", position).withColumn("picked", F.col("position") <= picked)
+
+
+def churn_of_files(edges: DataFrame, nodes: DataFrame, last: int | None = None) -> DataFrame:
+    """Index runs, the ``last`` ones if given, in which a file's symbols made any reference: ``file_path, churn``."""
+    if last is not None:
+        runs = edges.where("index_run is not null").select("index_run").distinct().orderBy(F.desc("index_run")).limit(last)
+        edges = edges.join(F.broadcast(runs), "index_run", "left_semi")
     home = nodes.where("file_path is not null").select(F.col("id").alias("source"), "file_path")
     return edges.select("source", "index_run").distinct().join(home, "source").groupBy("file_path").agg(F.count_distinct("index_run").alias("churn"))
 
@@ -41,7 +55,7 @@ def caller_churn(edges: DataFrame, nodes: DataFrame, churn: DataFrame) -> DataFr
     with one row per caller file.
     """
     home = nodes.select(F.col("id").alias("source"), "file_path")
-    calls = edges.where(F.col("kind").isin(FAN_IN)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    calls = edges.where(F.col("kind").isin(FAN_IN_KINDS)).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
     per_file = calls.join(home, "source", "left").groupBy("target", "file_path").agg(F.sum("n").alias("n"))
     met = per_file.join(churn, "file_path", "left")
     return met.groupBy("target").agg((F.sum(F.coalesce("churn", F.lit(0)) * F.col("n")) / F.sum("n")).alias("churn"), F.sum("n").alias("callers"))

@@ -102,23 +102,11 @@ def _natural(i: Inputs) -> DataFrame:
     return i.journeys.flat.table("journey").select("journey_id").distinct().select("journey_id", head.alias("head"), tail.alias("tail"))
 
 
-def _top_fanin(i: Inputs, k: int = 40) -> DataFrame:
-    """Fan-in by name and file, files and calls from tests left out, the ``k`` largest."""
-    source = i.nodes.select(F.col("id").alias("source"), F.col("file_path").alias("source_path"))
-    target = i.nodes.where(F.coalesce(F.col("kind") != "file", F.lit(True)) & F.col("name").isNotNull()).select(F.col("id").alias("target"), "name", "file_path")
-    counted = i.edges.where(F.col("kind").isin("calls", "references", "instantiates", "imports")).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
-    met = counted.join(target, "target").join(source, "source", "left")
-    from ripplegraph.functions.paths import is_test_path
-
-    kept = met.where(~F.coalesce(is_test_path(F.col("source_path")), F.lit(False)))
-    return kept.groupBy("name", "file_path").agg(F.sum("n").alias("callers")).orderBy(F.desc("callers"), "name", "file_path").limit(k)
-
-
 QUERIES = {
     "edge_confidence_caps": query(lambda i: graph.weighted(i.edges, i.nodes).select("id", "conf", "cap")),
-    "ambiguous_names": query(lambda i: graph.ambiguous_names(i.nodes)),
-    "caller_edge_count": query(lambda i: graph.caller_counts(i.edges)),
-    "top_fanin": query(_top_fanin),
+    "ambiguous_names": query(lambda i: graph.ambiguous_names(graph.symbols(table(i.spark, i.dir, "nodes")))),
+    "caller_edge_count": query(lambda i: graph.caller_counts(graph.links(table(i.spark, i.dir, "edges"), graph.FAN_IN_KINDS, ("target", "kind", "source")))),
+    "top_fanin": query(lambda i: impact.fan_in_by_name(i.edges, i.nodes, 40)[0]),
     "seed_interval_join": query(lambda i: impact.seeds_of_hunks(i.hunks, i.nodes)),
     "whole_file_seeds": query(lambda i: impact.seeds_of_files(i.hunks.select("file_path"), i.nodes)),
     "unmapped_antijoin": query(lambda i: impact.unmapped(i.hunks, impact.seeds_of_hunks(i.hunks, i.nodes))),
@@ -138,8 +126,10 @@ QUERIES = {
     "natural_sort_key": query(_natural),
 }
 
-NODES = "sym AS (SELECT id, max(lower(trim(kind))) AS kind, max(name) AS name, max(qualified_name) AS qualified_name, max(file_path) AS file_path, max(start_line) AS start_line, max(end_line) AS end_line FROM nodes WHERE removed_at IS NULL AND id IS NOT NULL GROUP BY id)"
-EDGES = "lnk AS (SELECT id, max(source) AS source, max(target) AS target, max(kind) AS kind, max(metadata) AS metadata, max(provenance) AS provenance FROM edges WHERE source IS NOT NULL AND source <> '' AND target IS NOT NULL AND target <> '' GROUP BY id)"
+_ROW = ", ".join(f"{c} DESC NULLS LAST" for c in ("indexed_at", "lower(trim(kind))", "name", "qualified_name", "file_path", "start_line", "end_line"))
+NODES = f"sym AS (SELECT id, kind, name, qualified_name, file_path, start_line, end_line FROM (SELECT id, lower(trim(kind)) AS kind, name, qualified_name, file_path, start_line, end_line, row_number() OVER (PARTITION BY id ORDER BY {_ROW}) AS version FROM nodes WHERE removed_at IS NULL AND id IS NOT NULL) WHERE version = 1)"
+_EDGE_ROW = ", ".join(f"{c} DESC NULLS LAST" for c in ("loaded_at", "source", "target", "kind", "metadata", "provenance", "line"))
+EDGES = f"lnk AS (SELECT id, source, target, kind, metadata, provenance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {_EDGE_ROW}) AS version FROM edges WHERE source IS NOT NULL AND source <> '' AND target IS NOT NULL AND target <> '') WHERE version = 1)"
 _SHARED = "amb AS (SELECT name, count(*) AS n FROM sym WHERE name IS NOT NULL AND kind IS DISTINCT FROM 'file' GROUP BY name HAVING count(*) > 1), ambid AS (SELECT id FROM sym WHERE name IN (SELECT name FROM amb) AND kind IS DISTINCT FROM 'file')"
 _WEIGHTED = f"""{_SHARED}, parts AS (SELECT id, source, target, coalesce(CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.confidence') AS DOUBLE) END, 0.9) AS meta,
   CASE WHEN provenance = 'heuristic' THEN 0.3 ELSE 1.0 END::DOUBLE AS heur,

@@ -93,15 +93,15 @@ def _edge_verdicts(i: Inputs) -> DataFrame:
 
 
 def spot_check_rows(i: Inputs) -> DataFrame:
-    """``registry_id, name, min_caller_edges, suspended`` of all registries."""
+    """``registry_id, name, file, min_caller_edges, suspended`` of all registries; a reason to suspend is a text."""
     r = table(i.spark, i.dir, "signedintake").select("registry_id", "spot_checks").distinct()
-    parsed = F.from_json("spot_checks", "map<string, struct<min_caller_edges: bigint, file: string, suspended: boolean>>")
+    parsed = F.from_json("spot_checks", "map<string, struct<min_caller_edges: bigint, file: string, suspended: string>>")
     rows = r.select("registry_id", F.explode(parsed).alias("name", "c"))
-    return rows.select("registry_id", "name", F.coalesce("c.min_caller_edges", F.lit(0).cast("bigint")).alias("min_caller_edges"), F.col("c.suspended").alias("suspended"))
+    return rows.select("registry_id", "name", F.coalesce("c.min_caller_edges", F.lit(0).cast("bigint")).alias("min_caller_edges"), F.col("c.file").alias("file"), F.when(F.col("c.suspended") != "false", F.col("c.suspended")).alias("suspended"))
 
 
 def _registry_rows(i: Inputs) -> DataFrame:
-    return table(i.spark, i.dir, "signedintake").select("registry_id", "approved", "codegraph_schema_version", "codegraph_extraction_version").distinct()
+    return table(i.spark, i.dir, "signedintake").select("registry_id", "approved", "codegraph_schema_version", "codegraph_extraction_version", "blind_spots").distinct()
 
 
 def _findings(i: Inputs) -> DataFrame:
@@ -198,10 +198,10 @@ ob AS (SELECT DISTINCT c.id FROM cl c JOIN pr a ON a.id = c.source JOIN pr b ON
 su AS (SELECT c.id, c.provenance, CASE WHEN c.id IN (SELECT id FROM ob) THEN 'observed' WHEN c.source IN (SELECT id FROM pr) THEN 'not-observed' ELSE 'untested' END AS support FROM cl c)"""
 _PATHS = "ap AS (SELECT file_path AS path FROM sym WHERE file_path IS NOT NULL UNION SELECT path FROM files WHERE path IS NOT NULL UNION SELECT source || '/' || coalesce(lang, 'docs') || ['.md', '.yaml', '.sql', '.html', '.d.ts', ''][length(source) % 6 + 1] FROM documents WHERE source IS NOT NULL)"
 _EXT = "regexp_extract(regexp_extract(path, '[^/]*$'), '[^.](\\.[^.]*)$', 1)"
-_PINS = "rr AS (SELECT DISTINCT registry_id, approved, codegraph_schema_version AS sv, codegraph_extraction_version AS ev FROM signedintake)"
+_PINS = "rr AS (SELECT DISTINCT registry_id, approved, codegraph_schema_version AS sv, codegraph_extraction_version AS ev, blind_spots AS bs FROM signedintake)"
 _FINDINGS = f"""{_PINS}, fi AS (SELECT 'schema' AS rule, CASE WHEN sv IS NULL THEN 'warning' ELSE 'blocking' END AS severity, CAST(registry_id AS VARCHAR) AS subject, CASE WHEN sv IS NULL THEN 'unpinned' ELSE 'differs' END AS message FROM rr WHERE sv IS NULL OR sv <> 9
   UNION ALL SELECT 'extraction', 'warning', CAST(registry_id AS VARCHAR), CASE WHEN ev IS NULL THEN 'unpinned' WHEN ev > 28 THEN 'older' ELSE 'newer' END FROM rr WHERE ev IS NULL OR ev <> 28
-  UNION ALL SELECT 'approval', 'warning', CAST(registry_id AS VARCHAR), CASE WHEN approved IS NULL THEN 'approval missing' ELSE 'not approved' END FROM rr WHERE approved IS NULL OR NOT approved)"""
+  UNION ALL SELECT 'approval', 'warning', CAST(registry_id AS VARCHAR), CASE WHEN approved IS NULL THEN 'approval missing' ELSE 'not approved' END || CASE WHEN len(bs) > 0 THEN '; ' || len(bs) || ' blind spots' ELSE '' END FROM rr WHERE approved IS NULL OR NOT approved)"""
 
 ORACLES = {
     "qualified_resolution": f"WITH {NODES}, {_TRACED}, {_HITS} SELECT relpath, qualname, id, state FROM st",
@@ -222,9 +222,9 @@ SELECT DISTINCT d.journey, r.id FROM rn r JOIN dc d ON d.test = r.test WHERE d.j
     "edge_runtime_support": f"{_SUPPORT} SELECT id, support FROM su",
     "edge_verdict_counts": f"{_SUPPORT} SELECT CASE support WHEN 'observed' THEN 'oracle-gap' WHEN 'not-observed' THEN 'phantom-confirmed' ELSE 'phantom-source-only' END AS verdict, count(*) AS n FROM su WHERE provenance = 'heuristic' GROUP BY 1",
     "spot_check_findings": f"""WITH {NODES}, {EDGES}, c AS (SELECT target, count(*) AS n FROM lnk WHERE kind IN ('calls', 'references', 'instantiates', 'imports') GROUP BY target),
-k AS (SELECT s.name, sum(coalesce(c.n, 0)) AS total FROM sym s LEFT JOIN c ON c.target = s.id WHERE s.name IS NOT NULL AND s.kind IS DISTINCT FROM 'file' GROUP BY s.name),
-q AS (SELECT r.registry_id, e.key AS name, coalesce(CAST(e.value ->> '$.min_caller_edges' AS BIGINT), 0) AS least, coalesce(CAST(e.value ->> '$.suspended' AS BOOLEAN), false) AS held FROM (SELECT DISTINCT registry_id, spot_checks FROM signedintake WHERE json_valid(spot_checks)) r, json_each(r.spot_checks::JSON) e)
-SELECT 'spot-check' AS rule, CASE WHEN held THEN 'warning' ELSE 'blocking' END AS severity, CAST(registry_id AS VARCHAR) || ':' || q.name AS subject, CASE WHEN held THEN 'suspended' WHEN total IS NULL THEN 'missing' ELSE 'below floor' END AS message FROM q LEFT JOIN k ON k.name = q.name WHERE held OR total IS NULL OR total < least""",
+q AS (SELECT DISTINCT r.registry_id, e.key AS name, e.value ->> '$.file' AS file, coalesce(CAST(e.value ->> '$.min_caller_edges' AS BIGINT), 0) AS least, nullif(nullif(trim(e.value ->> '$.suspended'), ''), 'false') AS held FROM (SELECT DISTINCT registry_id, spot_checks FROM signedintake WHERE json_valid(spot_checks)) r, json_each(r.spot_checks::JSON) e),
+m AS (SELECT q.*, (SELECT sum(coalesce(c.n, 0)) FROM sym s LEFT JOIN c ON c.target = s.id WHERE s.name = q.name AND s.kind IS DISTINCT FROM 'file' AND (q.file IS NULL OR s.file_path = ltrim(q.file, '/') OR ends_with(s.file_path, '/' || ltrim(q.file, '/')))) AS total FROM q)
+SELECT 'spot-check' AS rule, CASE WHEN held IS NOT NULL THEN 'warning' ELSE 'blocking' END AS severity, CAST(registry_id AS VARCHAR) || ':' || name AS subject, CASE WHEN held IS NOT NULL THEN 'suspended: ' || held WHEN total IS NULL THEN 'missing' ELSE 'below floor' END AS message FROM m WHERE held IS NOT NULL OR total IS NULL OR total < least""",
     "schema_and_pin_findings": f"WITH {_FINDINGS} SELECT rule, severity, subject, message FROM fi",
     "blocked_status": f"WITH {_FINDINGS} SELECT CASE WHEN count_if(severity = 'blocking') > 0 THEN 'BLOCKED' ELSE 'OK' END AS status, count_if(severity = 'blocking')::BIGINT AS blocking, count_if(severity = 'warning')::BIGINT AS warnings FROM fi",
     "content_hash_drift": "SELECT DISTINCT 'doc/' || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE text IS NOT NULL AND sha256(CASE WHEN doc_id % 17 = 0 THEN text || ' ' ELSE text END) <> sha256(text)",

@@ -28,19 +28,19 @@ def unquote(path: str | None) -> str | None:
 
     def byte(match: re.Match) -> bytes:
         code = match[1]
-        if code[:1].isdigit():
+        if b"0" <= code[:1] <= b"7":
             return bytes([int(code, 8) & 255])
         text = code.decode("latin-1")
         return bytes([_ESCAPES[text]]) if text in _ESCAPES else code
 
     raw = _ESCAPE.sub(byte, path[1:-1].encode("utf-8", "surrogateescape"))
-    return raw.decode("utf-8", "backslashreplace")
+    return raw.decode("utf-8", "surrogateescape")
 
 
 @F.pandas_udf(StringType())
 def _unquoted(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in paths:
-        yield part.map(unquote)
+    for part in paths:  # bytes that are no UTF-8 have no place in a column: they show as their codes
+        yield part.map(lambda p: p and unquote(p).encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace"))
 
 
 def _plain(path: Column) -> Column:

@@ -112,10 +112,14 @@ def suite_statuses(tests: DataFrame, journeys: DataFrame, prefix: str = "tg:") -
     return hit.select("journey", "title", "status"), stray, unknown
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace files with their nested schema; a file of another shape fails the read."""
-    schema = "root string, backend string, file string, tests map<string, array<array<string>>>, declared map<string, array<string>>, duplicates array<string>"
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Trace files with their nested schema, and the files that are refused (``file, reason``): what is
+    no JSON object of that shape, or holds no tests, is not taken in part."""
+    shape = "root string, backend string, file string, tests map<string, array<array<string>>>, declared map<string, array<string>>, duplicates array<string>"
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("at"), "value")
+    read = raw.select("at", F.from_json("value", f"{shape}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("t"))
+    whole = F.col("t").isNotNull() & F.col("t._broken").isNull() & F.col("t.tests").isNotNull()
+    return read.where(whole).select("t.*").drop("_broken"), read.where(~whole).select(F.col("at").alias("file"), F.lit("not a trace").alias("reason"))
 
 
 def merge_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:

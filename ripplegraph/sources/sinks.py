@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplegraph.operators import guards
 from ripplegraph.sources.ledger_io import append_rows
 
 
@@ -13,6 +14,14 @@ def outcome_rows(verdicts: DataFrame, repo: str, commit: str, ts: float, note: s
     return verdicts.select(F.lit("outcome").alias("kind"), F.lit(ts).alias("ts"), F.lit(repo).alias("repo"), F.lit(commit).alias("commit"), "journey", "verdict", F.lit(note).cast("string").alias("note"))
 
 
+def append_verdicts(verdicts: DataFrame, journeys: DataFrame, path: str, repo: str, commit: str, ts: float, note: str) -> tuple[bool, DataFrame]:
+    """Record verdicts of traced or declared runs (``journey, verdict``); what may not be written comes
+    back with its reason and is left out."""
+    rows = verdicts.select("journey", "verdict", F.lit(commit).alias("commit"))
+    done = append_rows(outcome_rows(guards.accepted_outcomes(rows, journeys), repo, commit, ts, note), path)
+    return done, guards.refused_outcomes(rows, journeys)
+
+
 def append_e2e_outcomes(judged: DataFrame, path: str, repo: str, commit: str, ts: float) -> bool:
     """Of end-to-end answers only pass and fail are evidence and are written."""
     return append_rows(outcome_rows(judged.where("verdict in ('pass', 'fail')"), repo, commit, ts, "end-to-end run"), path)

@@ -7,7 +7,7 @@ import pytest
 from ripplegraph import api
 from test_graph import EDGES, NODES, make_links, make_nodes
 
-FLOWS = [("t", "J1", "t:J1", "top", "conf.py"), ("t", "J2", "t:J2", "handler_a", None), ("t", "J3", "t:J3", "leaf", "app/leaf.py")]
+FLOWS = [("t", "J1", "t:J1", "quote", "quote.py"), ("t", "J2", "t:J2", "checkout", None), ("t", "J3", "t:J3", "stock", "shop/stock.py")]
 ENTRY = "target string, journey_id string, journey string, name string, file string"
 FINDING = "rule string, severity string, subject string, message string"
 
@@ -27,12 +27,12 @@ def run(spark, world, text, triggers=(), findings=()):
 
 
 def test_select_ranks_what_a_change_reaches(spark, world):
-    s = run(spark, world, diff_of(("app/conf.py", 2), ("README.md", 1)))
-    assert [(r["journey"], r["confidence"]) for r in s.flows.collect()] == [("t:J1", 0.9)] and s.status.first()["status"] == "OK"
+    s = run(spark, world, diff_of(("shop/money.py", 4), ("README.md", 1)))
+    assert sorted((r["journey"], r["confidence"]) for r in s.flows.collect()) == [("t:J1", 0.8), ("t:J2", 0.8)] and s.status.first()["status"] == "OK"
 
 
 def test_select_falls_back_and_triggers(spark, world):
-    s = run(spark, world, diff_of(("app/new.py", 1)))
+    s = run(spark, world, diff_of(("shop/new.py", 1)))
     assert {r["reason"] for r in s.flows.collect()} == {"unmapped-files"} and s.flows.count() == 3
     s = run(spark, world, diff_of(("db/x.sql", 1)), [(1, "**/*.sql", "J3")])
     assert [(r["journey"], r["reason"], r["triggered_by"]) for r in s.flows.collect()] == [("t:J3", "file-trigger", "**/*.sql")]
@@ -40,9 +40,9 @@ def test_select_falls_back_and_triggers(spark, world):
 
 
 def test_select_refuses_and_admits_not_knowing(spark, world):
-    s = run(spark, world, diff_of(("app/conf.py", 2)), findings=[("schema", "blocking", "1", "differs")])
+    s = run(spark, world, diff_of(("shop/price.py", 2)), findings=[("schema", "blocking", "1", "differs")])
     assert s.status.first()["status"] == "BLOCKED" and s.flows.count() == 0
-    s = run(spark, world, diff_of(("app/othercaller.py", 2)), findings=[("approval", "warning", "1", "not approved")])
+    s = run(spark, world, diff_of(("shop/jobs.py", 2)), findings=[("approval", "warning", "1", "not approved")])
     assert s.status.first()["status"] == "UNKNOWN" and s.flows.count() == 0
     assert run(spark, world, "").status.first()["status"] == "OK"
 
@@ -50,7 +50,7 @@ def test_select_refuses_and_admits_not_knowing(spark, world):
 def test_map_agrees_with_select(spark, world):
     nodes, edges, _, entries = world
     rows = {r["name"]: r for r in api.export_map(nodes, edges, entries).collect()}
-    assert rows["base"]["journeys"] == "t:J1" and rows["get_settings"]["journeys"] == "t:J2" and "external_caller" not in rows
+    assert rows["tax"]["journeys"] == "t:J1, t:J2" and rows["stock"]["journeys"] == "t:J3" and "nightly" not in rows
 
 
 def test_summary(spark, tmp_path):
@@ -62,19 +62,19 @@ def test_summary(spark, tmp_path):
 
 
 def test_propose(spark, world):
-    sources = spark.createDataFrame([("app/svc.py", "@r.get('/a')\n@r.post('/b')\ndef handler_a(): ...\n@r.get('/c')\ndef ghost(): ..."), ("src/app/x/page.tsx", "export default function Home() {}")], "path string, content string")
+    sources = spark.createDataFrame([("shop/cart.py", "@r.get('/a')\n@r.post('/b')\ndef checkout(): ...\n@r.get('/c')\ndef ghost(): ..."), ("src/app/x/page.tsx", "export default function Home() {}")], "path string, content string")
     got = {r["journey_id"]: (r["title"], r["id"]) for r in api.propose(sources, world[0]).collect()}
-    assert got == {"J_svc_handler_a": ("GET /a + POST /b", "handler_a"), "J_svc_ghost": ("GET /c", None), "J_x_Home": ("PAGE /x", None)}
+    assert got == {"J_cart_checkout": ("GET /a + POST /b", "checkout"), "J_cart_ghost": ("GET /c", None), "J_x_Home": ("PAGE /x", None)}
 
 
 def test_verify_and_reconcile(spark, world):
     nodes, edges, flows, entries = world
     declared = spark.createDataFrame([("t1", "t:J1", "pass"), ("t2", "t:J2", "pass"), ("t3", "t:J3", "fail")], "test string, journey string, verdict string")
-    traced = spark.createDataFrame([("t1", "app/conf.py", "top"), ("t1", "app/leaf.py", "leaf"), ("t1", "app/conf.py", "mid_a")], "test string, relpath string, qualname string")
+    traced = spark.createDataFrame([("t1", "shop/quote.py", "quote"), ("t1", "shop/stock.py", "stock"), ("t1", "shop/price.py", "net")], "test string, relpath string, qualname string")
     assert {r["journey"]: r["verdict"] for r in api.verify(flows, declared, traced, entries, nodes).collect()} == {"t:J1": "pass", "t:J2": "uncovered", "t:J3": "fail"}
     ids = {(r["source"], r["target"]): r["id"] for r in edges.collect()}
-    support = spark.createDataFrame([(ids["mid_a", "base"], "unsupported"), (ids["top", "mid_a"], "unsupported"), (ids["mid_b", "base"], "supported")], "id long, support string")
+    support = spark.createDataFrame([(ids["net", "tax"], "unsupported"), (ids["quote", "net"], "unsupported"), (ids["gross", "tax"], "supported")], "id long, support string")
     misses, verdicts, lost = api.reconcile(nodes, edges, entries, declared, traced, support)
-    assert {tuple(r) for r in misses.collect()} == {("t:J1", "leaf")}
-    assert {r["id"]: r["verdict"] for r in verdicts.collect()} == {ids["mid_a", "base"]: "phantom-confirmed", ids["top", "mid_a"]: "oracle-gap"}
+    assert {tuple(r) for r in misses.collect()} == {("t:J1", "stock")}
+    assert {r["id"]: r["verdict"] for r in verdicts.collect()} == {ids["net", "tax"]: "phantom-confirmed", ids["quote", "net"]: "oracle-gap"}
     assert lost.count() == 0

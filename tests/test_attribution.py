@@ -75,11 +75,12 @@ def test_rules_block_and_warn(spark):
 
 
 def test_spot_check_floors(spark):
-    nodes = spark.createDataFrame([("1", "function", "a"), ("2", "function", "b")], "id string, kind string, name string")
+    nodes = spark.createDataFrame([("1", "function", "a", "x/one.py"), ("2", "function", "b", "x/two.py"), ("3", "function", "a", "y/one.py")], "id string, kind string, name string, file_path string")
     callers = spark.createDataFrame([("1", 5)], "target string, callers long")
-    checks = spark.createDataFrame([(1, "a", 4, None), (1, "b", 1, None), (1, "gone", 1, None), (1, "a", 9, True)], "registry_id long, name string, min_caller_edges long, suspended boolean")
-    got = sorted((r["severity"], r["message"]) for r in rules.spot_checks(checks, nodes, callers).collect())
-    assert got == [("blocking", "below floor"), ("blocking", "missing"), ("warning", "suspended")]
+    rows = [(1, "a", None, 4, None), (1, "a", "two.py", 1, None), (2, "a", "y/one.py", 1, " "), (1, "b", None, 1, None), (1, "gone", None, 1, None), (1, "a", None, 9, "made up edges")]
+    checks = spark.createDataFrame(rows, "registry_id long, name string, file string, min_caller_edges long, suspended string")
+    got = sorted((r["subject"], r["severity"], r["message"]) for r in rules.spot_checks(checks, nodes, callers).collect())
+    assert got == [("1:a", "blocking", "missing"), ("1:a", "warning", "suspended: made up edges"), ("1:b", "blocking", "below floor"), ("1:gone", "blocking", "missing"), ("2:a", "blocking", "below floor")]
     cand = spark.createDataFrame([(1, 1, "tiny", "a.py", 3, 0.0), (2, 1, "calm", "a.py", 20, 1.0), (3, 1, "hot", "a.py", 30, 40.0), (4, 1, "t", "tests/a.py", 50, 0.0)], "candidate_id long, index_run long, name string, file string, fan_in long, caller_churn double")
     rows = {r["name"]: r["score"] for r in scoring.spot_check_scores(cand).collect()}
     assert set(rows) == {"calm", "hot"} and rows["calm"] > rows["hot"]

@@ -98,3 +98,33 @@ def test_stream_keeps_the_last_verdict(spark, tmp_path):
     seen = []
     ledger_stream.keep_totals(spark, path, str(tmp_path / "cp"), lambda df: seen.extend(df.collect())).awaitTermination()
     assert seen[-1]["caught"] == 1
+
+
+def test_equal_times_go_by_line(spark, tmp_path):
+    row = lambda v: json.dumps({"kind": "outcome", "ts": 5, "repo": "r", "commit": "a" * 40, "journey": "J1", "verdict": v})
+    (tmp_path / "l.jsonl").write_text("\n".join(map(row, ["fail", "skip", "pass"])))
+    rows = ledger_io.outcomes_of(ledger_io.read_ledger(spark, str(tmp_path)))
+    assert ledger.latest_outcomes(rows.repartition(3)).first()["verdict"] == "pass"
+
+
+def test_a_table_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (1, 2):
+        ledger_io.write_atomically(spark.createDataFrame([(n,)], "n long"), path)
+        assert [r["n"] for r in ledger_io.read_current(spark, path, "n long").collect()] == [n]
+    assert sorted(p.name[:2] for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == ["cu", "v-"]
+
+
+def test_a_faulty_plan_is_no_failed_write(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)divi|zero"):
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+        ledger_io.append_rows(spark.range(3).selectExpr("1 / (id - 1) as x"), str(tmp_path / "o"))
+
+
+def test_ledger_in_words(spark):
+    o = spark.createDataFrame([("r", "1", "J1", "pass", 1, 1), ("r", "2", "J1", "fail", 2, 2), ("q", "2", "J1", "skip", 2, 2)], OUT)
+    s = spark.createDataFrame([("r", "2", "1", "OK", "J1", 3), ("r", "2", "1", "OK", "J2", 3)], SEL)
+    rows = ledger.buckets(o, s)
+    out = {r["repo"]: r for r in ledger.export_payload(ledger.totals(rows).join(ledger.ledger_counts(o, s), "repo"), ledger.history(rows)).collect()}
+    assert out["r"]["content"] == "Ledger of r: 1 selections, 2 outcomes, 1 commits with both. Observed recall 1.00 over 1 judged failures (0 missed in silence)."
+    assert out["q"]["content"].endswith("recall is not known.") and json.loads(out["r"]["evidence"])["per_journey"][0]["caught"] == 1

@@ -50,6 +50,13 @@ def test_diff(spark):
 
 def test_unquote():
     assert diff.unquote(r'"a\"b\\c\t"') == 'a"b\\c\t' and diff.unquote("plain") == "plain" and diff.unquote(r'"\303\251"') == "é"
+    assert diff.unquote(r'"a\8b\9"') == "a8b9" and diff.unquote(r'"\377"') == "\udcff"
+
+
+def test_quoted_bytes_that_are_no_text(spark):
+    text = 'diff --git "a/x\\377\\8.py" "b/x\\377\\8.py"\n--- "a/x\\377\\8.py"\n+++ "b/x\\377\\8.py"\n@@ -1 +1 @@\n'
+    parsed = diff.blocks(spark.createDataFrame([(1, text)], "diff_id long, text string"))
+    assert [r["file_path"] for r in diff.changed_ranges(parsed).collect()] == ["x\\xff8.py"]
 
 
 def test_junit(spark, tmp_path):
@@ -89,7 +96,12 @@ def test_nested_suites(spark, tmp_path):
 def test_trace_parts(spark, tmp_path):
     for n, tests in enumerate([{"a": [["x.py", "f"]]}, {"a": [], "b": None}]):
         (tmp_path / f"{n}.json").write_text(json.dumps({"root": "/r", "tests": tests, "declared": {}, "duplicates": ["z"] if n else []}))
-    tests, refused = reports.merge_parts(reports.read_traces(spark, str(tmp_path)))
+    (tmp_path / "torn.json").write_text('{"root": "/r", "tests": {"a":')
+    (tmp_path / "list.json").write_text('["not a trace"]')
+    (tmp_path / "bare.json").write_text('{"root": "/r"}')
+    traces, odd = reports.read_traces(spark, str(tmp_path))
+    assert sorted(r["file"].rsplit("/")[-1] for r in odd.collect()) == ["bare.json", "list.json", "torn.json"]
+    tests, refused = reports.merge_parts(traces)
     assert tests.count() == 3 and {r["test"] for r in refused.collect()} == {"a", "z"}
 
 
