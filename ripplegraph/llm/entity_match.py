@@ -2,24 +2,23 @@
 
 Two sides describe the same code: a trace names a symbol by a path as its machine saw it and
 a runtime name, the index by its own path, name and qualified name. The match is made in
-four steps, each over distinct spellings only:
-
-1. *Paths.* Every traced path is aligned with index paths: first by whole suffixes, then, for
-   symbols that found nothing there, by any two ordered directories they share, so that a
-   directory may be misspelled, versioned, added or missing.
-2. *Candidates.* Within the aligned files, symbols meet nodes by the letters of their name,
-   or, if cut off, by the beginning of it. Each candidate gets log-odds from path, language,
-   name, owner and kind.
-3. *Belief propagation.* A mention takes one node or none, a node is taken by one mention; as
+three steps, each over distinct spellings only:
+
+1. *Candidates.* Both sides are cut into blocks by the letters of the name (or, as names may be
+   cut off, its beginning), the letters of the file's name, and one directory. Paths may differ
+   in what leads them, in the spelling of directories, and by one directory that only one side
+   has; then one of the last two directories of either side meets one of the other's, so the
+   blocks lose no pair. A pair of a block gets log-odds from path, language, name, owner and kind.
+2. *Belief propagation.* A mention takes one node or none, a node is taken by one mention; as
    a mention may be a second spelling of one that has the node already, the node lets a
-   further one in at ``SHARED`` of its odds. Mentions and nodes exchange messages until the beliefs stand still:
-   both kinds are window sums over one table of pairs, by mention and by node. Where a
+   further one in at ``SHARED`` of its odds. Mentions and nodes exchange messages through joins until
+   the beliefs stand still: each side's sum is aggregated by key and joined to the pairs again. Where a
    mention has one candidate that no other mention wants, the fixed point is written down
    directly; only the contested rest is iterated.
-4. The marginal probability is reported with the best node of each mention.
+3. The marginal probability is reported with the best node of each mention.
 
-All steps are equi-joins on keys that include a file or two directories; no step emits the
-pairs of a group.
+Only numbers are joined while pairs are searched: a block is a hash of its key, and the key itself
+is compared once the pair's parts are at hand.
 """
 
 from __future__ import annotations
@@ -27,14 +26,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
-from ripplegraph.session import Workspace
+from ripplegraph.session import Workspace, default_parallelism
 
 #: Log-odds of a candidate against "no node"; inspected on the smallest tables, see README.
 WEIGHTS = {
@@ -56,11 +58,19 @@ _CACHE = re.compile(r"\.cpython-\d+|\.pypy\d+")
 _FAMILIES = {"py": "py", "pyc": "py", "pyi": "py", "ts": "js", "tsx": "js", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "vue": "js"}
 
 
+@lru_cache(200_000)
 def letters(text: str) -> str:
     """The letters in order: equal for words that differ by swapped letters."""
     return "".join(sorted(text))
 
 
+@lru_cache(200_000)
+def _directory(part: str) -> tuple[str, str]:
+    """A directory's letters and digits, and the key that other spellings of it share."""
+    return _NOISE.sub("", part), letters(_NOISE.sub("", _VERSION.sub("", part)))
+
+
+@lru_cache(20_000)
 def read_path(path: str | None) -> tuple[list[str], list[str], str, str, str]:
     """(directories, their keys, file stem, its key, language family) of a path."""
     parts = [p for p in (path or "").replace("\\", "/").lower().split("/") if p not in ("", ".", "__pycache__")]
@@ -70,10 +80,9 @@ def read_path(path: str | None) -> tuple[list[str], list[str], str, str, str]:
     while "." in stem and stem.rsplit(".", 1)[1] in _FAMILIES:
         stem, extension = stem.rsplit(".", 1)
         family = family or _FAMILIES[extension]
-    plain = [_NOISE.sub("", p) for p in parts[:-1]]
-    keys = [letters(_NOISE.sub("", _VERSION.sub("", p))) for p in parts[:-1]]
+    read = [_directory(p) for p in parts[:-1]]
     stem = _NOISE.sub("", stem)
-    return plain, keys, stem, letters(stem), family
+    return [plain for plain, _ in read], [key for _, key in read], stem, letters(stem), family
 
 
 def read_qualname(qualname: str, stem: str) -> tuple[str, str, str, str, str] | None:
@@ -142,17 +151,6 @@ def _map(df: DataFrame, columns: list[str], read, schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def _files(paths: DataFrame) -> DataFrame:
-    """Distinct paths of the one column of ``paths`` with their parts."""
-    column = paths.columns[0]
-
-    def read(path):
-        dirs, keys, stem, stem_key, family = read_path(path)
-        return (path, dirs, keys, stem, stem_key, family) if stem else None
-
-    return _map(paths.where(F.col(column).isNotNull()).distinct(), [column], read, f"{column} string, dirs array<string>, keys array<string>, stem string, stem_key string, family string")
-
-
 def traced_pairs(traces: DataFrame) -> DataFrame:
     """Distinct ``trace_id, relpath, qualname`` of all tests; pairs without a name are left out."""
     lists = traces.select("trace_id", F.explode(F.map_values("tests")).alias("pairs"))
@@ -161,73 +159,110 @@ def traced_pairs(traces: DataFrame) -> DataFrame:
     return named.where("trace_id is not null and relpath <> '' and qualname <> ''").distinct()
 
 
-def _suffix_keys(files: DataFrame, column: str) -> DataFrame:
-    size = F.size("keys")
-    every = files.where(size > 0).select(column, "stem_key", "keys", F.explode(F.sequence(F.lit(1), size)).alias("n"))
-    return every.select(column, F.concat_ws("/", F.slice("keys", F.size("keys") - F.col("n") + 1, F.col("n")), "stem_key").alias("key"), (F.col("n") == F.size("keys")).alias("whole"))
+def _starts(owner: str | None, folded: str) -> list[str]:
+    """Keys of a name's beginning: with its owner, and, if long enough, without."""
+    return ([f"{owner}.{folded[:2]}"] if owner else []) + ([f"?{folded[:6]}"] if len(folded) >= 6 else [])
 
 
-def _pair_keys(files: DataFrame, column: str, singles: bool) -> DataFrame:
-    """One key per two ordered directories and stem; with ``singles`` also one per directory."""
-    at = files.select(column, "stem_key", "keys", F.posexplode("keys").alias("i", "a"))
-    pairs = at.select(column, "stem_key", "a", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("b")).select(column, F.concat_ws("/", "a", "b", "stem_key").alias("key"))
-    alone = at if singles else at.where(F.size("keys") == 1)
-    return pairs.unionByName(alone.select(column, F.concat_ws("/", F.lit("."), "a", "stem_key").alias("key"))).distinct()
+def mention_blocks(names: set[str], starts: list[str], stem_key: str, keys: list[str]) -> list[str]:
+    """Blocks of a mention: its last two directories may be a node's last, its last a node's second last."""
+    near = {*keys[-2:], keys[-1] + "|"}
+    return [f"{kind}{name}|{stem_key}|{key}" for kind, some in (("=", names), ("^", starts)) for name in some for key in near]
 
 
-def _with_cost(pairs: DataFrame, mentioned: DataFrame, indexed: DataFrame) -> DataFrame:
-    """``relpath, file_path, cost, same_family`` for aligned path pairs within the cost limit."""
-    left = mentioned.select("relpath", F.col("dirs").alias("md"), F.col("keys").alias("mk"), F.col("family").alias("mf"))
-    right = indexed.select("file_path", F.col("dirs").alias("nd"), F.col("keys").alias("nk"), F.col("family").alias("nf"))
-    full = pairs.join(left, "relpath").join(right, "file_path")
+def node_blocks(name: str, start: list[str], stem_key: str, keys: list[str]) -> list[str]:
+    """Blocks of a node, as ``mention_blocks`` meets them."""
+    return [f"{kind}{n}|{stem_key}|{key}" for kind, some in (("=", [name]), ("^", start)) for n in some for key in (keys[-1], *(k + "|" for k in keys[-2:-1]))]
 
-    def read(relpath, file_path, md, mk, nd, nk, mf, nf):
-        cost = path_cost(md, mk, nd, nk)
-        return (relpath, file_path, cost, mf == nf) if cost <= MAX_PATH_COST else None
 
-    return _map(full, ["relpath", "file_path", "md", "mk", "nd", "nk", "mf", "nf"], read, "relpath string, file_path string, cost double, same_family boolean")
+_PARTS = "dirs string, keys string, stem_key string, family string, blocks array<string>"
 
 
-def _symbols(forms: DataFrame, mentioned: DataFrame) -> DataFrame:
-    """Distinct spellings with the parts of their name; anonymous frames drop out here."""
+def _symbols(forms: DataFrame) -> DataFrame:
+    """Distinct spellings with the parts of their path and name; anonymous frames, and paths without
+    a directory, drop out here."""
 
-    def read(relpath, qualname, stem):
-        parts = read_qualname(qualname, stem)
+    def read(relpath, qualname):
+        dirs, keys, stem, stem_key, family = read_path(relpath)
+        parts = read_qualname(qualname, stem) if keys and stem else None
         if parts is None:
             return None
         name, folded, base, owner, private = parts
-        return relpath, qualname, name, folded, base, owner, private, sorted({letters(folded), letters(base)})
+        known = {letters(folded), letters(base)}
+        blocks = mention_blocks(known, _starts(owner, folded), stem_key, keys)
+        return relpath, qualname, name, folded, base, owner, letters(owner), private, sorted(known), "/".join(dirs), "/".join(keys), stem_key, family, blocks
 
-    joined = forms.join(mentioned.select("relpath", "stem"), "relpath")
-    return _map(joined, ["relpath", "qualname", "stem"], read, "relpath string, qualname string, name string, folded string, base string, owner string, private string, name_keys array<string>")
+    schema = f"relpath string, qualname string, name string, folded string, base string, owner string, owner_key string, private string, name_keys array<string>, {_PARTS}"
+    return _map(forms, ["relpath", "qualname"], read, schema)
+
+
+def _spellings(nodes: DataFrame) -> DataFrame:
+    """Every way a node is written in the index, once: ``id, kind, name, qualified_name, file_path``.
+
+    A row with nulls is another delivery of the node: it takes what it lacks from the node's
+    last row that has it. File nodes drop out.
+    """
+    columns = ["kind", "name", "qualified_name", "file_path"]
+    at = F.col("indexed_at") if "indexed_at" in nodes.columns else F.lit(None).cast("timestamp")
+    rows = nodes.where(F.col("id").isNotNull() & ~F.col("id").startswith("file:")).select("id", *columns, at.alias("indexed_at")).distinct()
+    lacks = " or ".join(f"{c} is null" for c in columns)
+    torn = rows.where(lacks)
+    given = rows.join(torn.select("id").distinct(), "id", "left_semi")
+    last = given.groupBy("id").agg(*(F.max(F.when(F.col(c).isNotNull(), F.struct("indexed_at", c)))[c].alias(f"last_{c}") for c in columns))
+    mended = torn.join(last, "id").select("id", *(F.coalesce(c, f"last_{c}").alias(c) for c in columns))
+    whole = rows.where(f"not ({lacks})").select("id", *columns).unionByName(mended)
+    return whole.where("file_path is not null and (name is not null or qualified_name is not null)").repartition("file_path").dropDuplicates()
 
 
 def _nodes(nodes: DataFrame) -> DataFrame:
-    """One row per node id with the parts of its name; file nodes and nodes without path or name drop out."""
-    once = nodes.where(F.col("id").isNotNull() & ~F.col("id").startswith("file:")).groupBy("id").agg(*(F.max(c).alias(c) for c in ("kind", "name", "qualified_name", "file_path")))
-    once = once.where(F.col("file_path").isNotNull() & (F.col("name").isNotNull() | F.col("qualified_name").isNotNull()))
+    """The spellings of all nodes with the parts of their path and name; what has no path or name drops out."""
     kinds = {letters(k) for k in CALLABLE}
+    method = letters("method")
 
     def read(node_id, kind, name, qualified, file_path):
+        dirs, keys, stem, stem_key, family = read_path(file_path)
         parts = [p for p in re.split(r"\.|::", (qualified or "").strip()) if p]
         name = (name or (parts[-1] if parts else "")).strip()
         folded = _NOISE.sub("", name.lower())
-        if not folded:
+        if not folded or not keys or not stem:
             return None
         kind = re.split(r"[^a-z]", (kind or "").strip().lower())[0]
         role = "unknown" if not kind else "callable" if letters(kind) in kinds else "other"
         if len(parts) > 1:
             owner = _NOISE.sub("", "".join(parts[:-1]).lower())
         else:
-            owner = "" if parts and letters(kind) != letters("method") else None
-        return node_id, file_path, name, folded, letters(folded), owner, role
+            owner = "" if parts and letters(kind) != method else None
+        blocks = node_blocks(letters(folded), _starts(owner, folded)[:1], stem_key, keys)
+        return node_id, name, folded, letters(folded), owner, letters(owner or ""), role, "/".join(dirs), "/".join(keys), stem_key, family, blocks
+
+    schema = f"node_id string, node_name string, node_folded string, node_key string, node_owner string, node_owner_key string, role string, {_PARTS}"
+    return _map(_spellings(nodes), ["id", "kind", "name", "qualified_name", "file_path"], read, schema)
+
 
-    return _map(once, ["id", "kind", "name", "qualified_name", "file_path"], read, "node_id string, file_path string, node_name string, node_folded string, node_key string, node_owner string, role string")
+#: Added to the cost of an alignment that leaves a directory out.
+LEFT_OUT = 100.0
+
+
+@lru_cache(50_000)
+def _alignment(dirs: str, keys: str, node_dirs: str, node_keys: str) -> float:
+    """``path_cost`` of two paths, marked where not all directories of the shorter one end the other."""
+    mention, node = keys.split("/"), node_keys.split("/")
+    size = min(len(mention), len(node))
+    plain, other = dirs.split("/"), node_dirs.split("/")
+    if mention[-size:] == node[-size:]:
+        odd = sum(a != b for a, b in zip(plain[-size:], other[-size:]))
+        return 0.5 * odd if odd < 3 else path_cost(plain, mention, other, node)
+    return LEFT_OUT + path_cost(plain, mention, other, node)
+
+
+@F.pandas_udf(DoubleType())
+def _aligned(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for columns in parts:
+        yield pd.Series([_alignment(*row) for row in zip(*columns)], dtype="float64")
 
 
 def _weigh(pairs: DataFrame) -> DataFrame:
     """Log-odds of every candidate pair, by built-in expressions."""
-    sorted_letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     w = WEIGHTS
 
     def choose(table: dict, *cases: tuple[str, Column], last: str) -> Column:
@@ -255,58 +290,80 @@ def _weigh(pairs: DataFrame) -> DataFrame:
         ("same", F.col("owner") == F.col("node_owner")),
         ("bare", F.col("node_owner") == ""),
         ("extra", F.col("owner") == ""),
-        ("letters", sorted_letters(F.col("owner")) == sorted_letters(F.col("node_owner"))),
+        ("letters", F.col("owner_key") == F.col("node_owner_key")),
         last="other",
     )
     kind = choose(w["kind"], ("callable", F.col("role") == "callable"), ("unknown", F.col("role") == "unknown"), last="other")
     return pairs.withColumn("weight", path + family + name + owner + kind)
 
 
-def _candidates(symbols: DataFrame, aligned: DataFrame, index: DataFrame) -> DataFrame:
-    """Weighted candidate pairs of symbols and nodes in aligned files."""
-    located = symbols.join(aligned, "relpath")
-    by_name = located.withColumn("node_key", F.explode("name_keys")).join(index, ["file_path", "node_key"])
+def _candidates(symbols: DataFrame, index: DataFrame) -> DataFrame:
+    """Weighted pairs of spellings: ``form, node_id, weight, whole`` and the mention's own keys.
+
+    ``whole`` tells that all directories of the shorter path end the other.
+    """
+    said = symbols.select("form", F.explode("blocks").alias("block")).select("form", F.xxhash64("block").alias("block"))
+    known = index.select("spelling", F.explode("blocks").alias("block")).select("spelling", F.xxhash64("block").alias("block"))
+    pairs = said.join(known, "block").select("form", "spelling").repartition("form").dropDuplicates()
+    left = symbols.drop("relpath", "qualname", "blocks").withColumnsRenamed({c: f"mention_{c}" for c in ("dirs", "keys", "family")})
+    right = index.drop("blocks").withColumnsRenamed({"stem_key": "node_stem_key"})
+    met = pairs.join(left, "form").join(right, "spelling").where(F.col("stem_key") == F.col("node_stem_key"))
     # a name that was cut off: its owner is whole, or, where the index has no owner, its beginning is long enough
-    owned = lambda owner, folded: F.when(owner != "", F.concat(owner, F.lit("."), F.left(folded, F.lit(2))))
-    long = lambda folded: F.when(F.length(folded) >= 6, F.concat(F.lit("?"), F.left(folded, F.lit(6))))
-    cut = located.withColumn("start_key", F.explode(F.array_compact(F.array(owned(F.col("owner"), F.col("folded")), long(F.col("folded"))))))
-    node_owner = F.coalesce("node_owner", F.lit(""))
-    longer = index.withColumn("start_key", F.coalesce(owned(node_owner, F.col("node_folded")), long(F.col("node_folded")))).where("start_key is not null")
-    by_start = cut.join(longer, ["file_path", "start_key"]).where(F.col("node_folded").startswith(F.col("folded")) & (F.length("node_folded") > F.length("folded"))).drop("start_key")
-    columns = by_name.columns
-    return _weigh(by_name.unionByName(by_start.select(*columns))).select("form", "node_id", "file_path", "weight")
+    owned = (F.col("owner") != "") & (F.col("owner") == F.col("node_owner"))
+    begun = F.col("node_folded").startswith(F.col("folded")) & (F.length("node_folded") > F.length("folded")) & (owned | ((F.length("folded") >= 6) & (F.coalesce("node_owner", F.lit("")) == "")))
+    met = met.where(F.array_contains("name_keys", F.col("node_key")) | begun)
+    cost = met.withColumn("marked", _aligned("mention_dirs", "mention_keys", "dirs", "keys")).withColumn("whole", F.col("marked") < LEFT_OUT)
+    near = cost.withColumn("cost", F.when(F.col("whole"), F.col("marked")).otherwise(F.col("marked") - LEFT_OUT)).where(F.col("cost") <= MAX_PATH_COST)
+    weighed = _weigh(near.withColumn("same_family", F.col("mention_family") == F.col("family")))
+    return weighed.where("weight > -2").select("form", "node_id", "weight", "whole", "owner_key", "base", "private")
+
+
+def _mentions(candidates: DataFrame) -> DataFrame:
+    """``form, entity, node_id, weight``: spellings of one symbol are one mention.
+
+    They have the same best nodes and the same letters of owner and name. Where a good candidate
+    has the whole path, those with a directory left out are none. All by ``form``, in one shuffle.
+    """
+    form = W.partitionBy("form")
+    rows = candidates.repartition("form").withColumn("good", F.coalesce(F.max(F.when(F.col("whole"), F.col("weight"))).over(form) > 2, F.lit(False)))
+    found = rows.where("whole or not good").groupBy("form", "node_id").agg(F.max("weight").alias("weight"), F.min("owner_key").alias("owner_key"), F.min("base").alias("base"), F.min("private").alias("private"))
+    top = F.when(F.col("weight") == F.max("weight").over(form), F.col("node_id"))
+    best = [F.min(top_node := F.col("top")).over(form), F.count(top_node).over(form).cast("string"), F.bit_xor(F.when(top_node.isNotNull(), F.xxhash64("node_id"))).over(form).cast("string")]
+    spread = F.array_join(F.array_sort(F.split("base", "")), "")
+    entity = F.md5(F.concat_ws("|", *best, "owner_key", spread, "private"))
+    return found.withColumn("top", top).select("form", entity.alias("entity"), "node_id", "weight")
 
 
 def _propagate(work: Workspace, pairs: DataFrame, rounds: int, tolerance: float) -> DataFrame:
     """Marginals of ``entity, node_id, odds`` under one-to-one factors, by loopy propagation.
 
     ``say`` is what an entity tells a node (how far it wants it), ``free`` what a node answers
-    (how far it is free of the others). Each round is two window sums; both are spread by key.
+    (how far it is free of the others). A message needs the sum of all others' messages: the sums
+    are aggregated by key, partly before the shuffle, and joined to the pairs, so that a node that
+    very many mentions want is split like any skewed key of a join.
     Rounds go on until no message moves by ``tolerance``; after ``rounds`` it is an error.
     """
-    e, n = W.partitionBy("entity"), W.partitionBy("node_id")
-    counted = pairs.withColumn("of_entity", F.count(F.lit(1)).over(e)).withColumn("of_node", F.count(F.lit(1)).over(n))
-    lone = F.max("of_node").over(e) == 1
-    counted = work.save(counted.withColumn("lone", lone), "pairs")
-    total = F.sum("odds").over(e)
-    settled = counted.where("lone").withColumn("belief", F.col("odds") / (1 + total)).select("entity", "node_id", "belief")
-    contested = counted.where("not lone").select("entity", "node_id", "odds", F.lit(1.0).alias("free"))
-    state, change = work.save(contested, "state-0"), math.inf
+    count = F.count(F.lit(1))
+    wanted = pairs.groupBy("node_id").agg(count.alias("of_node"))
+    per_entity = pairs.join(wanted, "node_id").groupBy("entity").agg(F.max("of_node").alias("most"), F.sum("odds").alias("total"))
+    counted = work.save(pairs.join(per_entity, "entity"), "pairs")
+    settled = counted.where("most = 1").select("entity", "node_id", (F.col("odds") / (1 + F.col("total"))).alias("belief"))
+    state, change = work.save(counted.where("most > 1").select("entity", "node_id", "odds", F.lit(1.0).alias("free")), "state-0"), math.inf
+    held = F.col("odds") * F.col("free")
     for k in range(1, rounds + 1):
-        say = state.withColumn("say", F.col("odds") / (1 + F.sum(F.col("odds") * F.col("free")).over(e) - F.col("odds") * F.col("free")))
-        others = F.greatest(F.sum("say").over(n) - F.col("say"), F.lit(0.0))
-        answer = SHARED + (1 - SHARED) / (1 + others)
+        said = state.join(state.groupBy("entity").agg(F.sum(held).alias("total")), "entity").withColumn("say", F.col("odds") / (1 + F.greatest(F.col("total") - held, F.lit(0.0))))
+        heard = said.groupBy("node_id").agg(F.sum("say").alias("all"))
+        answer = SHARED + (1 - SHARED) / (1 + F.greatest(F.col("all") - F.col("say"), F.lit(0.0)))
         damped = 0.3 * F.col("free") + 0.7 * answer
-        state = work.save(say.select("entity", "node_id", "odds", damped.alias("free"), F.abs(damped - F.col("free")).alias("moved")), f"state-{k}")
+        state = work.save(said.join(heard, "node_id").select("entity", "node_id", "odds", damped.alias("free"), F.abs(damped - F.col("free")).alias("moved")), f"state-{k}")
         if k > 1:
-            work.drop(f"state-{k - 1}")
+            work.drop(f"state-{k - 2}")
         change = state.agg(F.max("moved")).first()[0]
         if change is None or change < tolerance:
             break
     else:
         raise RuntimeError(f"beliefs still move by {change} after {rounds} rounds")
-    held = F.col("odds") * F.col("free")
-    beliefs = state.withColumn("belief", held / (1 + F.sum(held).over(e))).select("entity", "node_id", "belief")
+    beliefs = state.join(state.groupBy("entity").agg(F.sum(held).alias("total")), "entity").select("entity", "node_id", (held / (1 + F.col("total"))).alias("belief"))
     return settled.unionByName(beliefs)
 
 
@@ -315,51 +372,28 @@ def match_symbols(spark: SparkSession, traces: DataFrame, nodes: DataFrame, roun
 
     One row per distinct pair as spelled in ``tests``; pairs without a node, with a marginal
     probability under ``least``, or with an anonymous frame, give none. Defined cases: null or
-    empty maps, lists, pairs and names denote nothing; a node's repeated rows count once, and
-    nulls in some of them are filled from the others; nodes without path or name cannot be
-    found; ties in probability go to the smaller node id; empty tables give no rows.
+    empty maps, lists, pairs and names denote nothing; a node's repeated rows count once, each of
+    its spellings can be matched, and nulls in a row are filled from the node's last row that has
+    a value; nodes without path or name cannot be found, nor paths without a directory; ties in
+    probability go to the smaller node id; empty tables give no rows.
     """
     work = Workspace(spark, "match")
     pairs = work.save(traced_pairs(traces), "traced")
-    forms = pairs.select("relpath", "qualname").distinct()
-    mentioned = work.save(_files(forms.select("relpath")), "mentioned")
-    # once written, a spelling goes by its number
-    symbols = work.save(_symbols(forms, mentioned).withColumn("form", F.monotonically_increasing_id()), "symbols")
-    index = work.save(_nodes(nodes), "index")
-    indexed = work.save(_files(index.select("file_path")), "indexed")
-
-    # whole suffixes: all directories of one path end the other
-    said, known = _suffix_keys(mentioned, "relpath"), _suffix_keys(indexed, "file_path")
-    whole = said.where("whole").drop("whole").join(known.drop("whole"), "key").unionByName(said.drop("whole").join(known.where("whole").drop("whole"), "key"))
-    aligned = _with_cost(whole.select("relpath", "file_path").distinct(), mentioned, indexed)
-    first = work.save(_candidates(symbols, aligned, index), "candidates-1")
-
-    # the rest: any two directories in order
-    good = first.where("weight > 2").select("form").distinct()
-    rest = work.save(symbols.join(good, "form", "left_anti"), "rest")
-    loose = mentioned.join(rest.select("relpath").distinct(), "relpath", "left_semi")
-    near = _pair_keys(loose, "relpath", False).join(_pair_keys(indexed, "file_path", True), "key").select("relpath", "file_path").distinct()
-    second = work.save(_candidates(rest, _with_cost(near, mentioned, indexed), index), "candidates-2")
-
-    found = first.unionByName(second).where("weight > -2").groupBy("form", "node_id").agg(F.max(F.struct("weight", "file_path")).alias("m"))
-    # spellings of one symbol are one mention: same best nodes, same letters of owner and name
-    top = found.withColumn("top", F.max("m.weight").over(W.partitionBy("form"))).where(F.col("m.weight") == F.col("top"))
-    nodes_of = F.concat_ws(",", F.min("node_id"), F.count(F.lit(1)), F.bit_xor(F.xxhash64("node_id")))
-    best = top.groupBy("form").agg(F.max("m.file_path").alias("best_file"), nodes_of.alias("best_nodes"))
-    spread = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    entity = F.md5(F.concat_ws("|", "best_file", "best_nodes", spread(F.col("owner")), spread(F.col("base")), "private"))
-    mention = best.join(symbols.select("form", "owner", "base", "private"), "form").select("form", entity.alias("entity"))
-    mention = work.save(mention, "mention")
-    found = found.select("form", "node_id", F.col("m.weight").alias("weight"))
-    odds = found.join(mention, "form").groupBy("entity", "node_id").agg(F.exp(F.max("weight")).alias("odds"))
+    # once written, spellings go by their numbers
+    forms = pairs.select("relpath", "qualname").repartition("relpath").dropDuplicates()
+    symbols = work.save(_symbols(forms).withColumn("form", F.monotonically_increasing_id()), "symbols")
+    index = work.save(_nodes(nodes).withColumn("spelling", F.monotonically_increasing_id()), "index")
+    found = work.save(_mentions(_candidates(symbols, index)), "mentions")
+    odds = found.groupBy("entity", "node_id").agg(F.exp(F.max("weight")).alias("odds"))
     beliefs = _propagate(work, odds, rounds, tolerance)
-    pick = beliefs.groupBy("entity").agg(F.max_by(F.struct("node_id", "belief"), F.struct("belief", F.expr("-hash(node_id)"), "node_id")).alias("m"))
-    pick = pick.select("entity", "m.node_id", F.col("m.belief").alias("confidence")).where(F.col("confidence") >= least)
-    named = symbols.select("form", "relpath", "qualname")
-    matched = work.save(mention.join(pick, "entity").drop("entity").join(named, "form").select("relpath", "qualname", "node_id", "confidence"), "matched")
+    order = F.struct("belief", F.expr("-hash(node_id)"), "node_id")
+    pick = beliefs.groupBy("entity").agg(F.max_by(F.struct("node_id", "belief"), order).alias("m")).where(F.col("m.belief") >= least)
+    told = found.select("form", "entity").distinct().join(pick, "entity").select("form", F.col("m.node_id").alias("node_id"), F.col("m.belief").alias("confidence"))
+    matched = work.save(symbols.select("form", "relpath", "qualname").join(told, "form").drop("form"), "matched")
 
     key = F.concat_ws("\u0001", "relpath", "qualname")
     hot = hot_keys(pairs.select(key.alias("key")))
-    left = pairs.withColumn("salt", salt_of(key, F.col("trace_id"), hot, 16))
-    right = matched.withColumn("salt", F.explode(salts_of(key, hot, 16)))
+    salts = default_parallelism(spark)
+    left = pairs.withColumn("salt", salt_of(key, F.col("trace_id"), hot, salts))
+    right = matched.withColumn("salt", F.explode(salts_of(key, hot, salts)))
     return left.join(right, ["relpath", "qualname", "salt"]).select("trace_id", "relpath", "qualname", "node_id", "confidence")

@@ -66,6 +66,55 @@ def test_siblings_of_one_file_stay_apart(spark):
     assert {r["qualname"]: r["node_id"] for r in got} == want
 
 
+def test_words_of_the_same_letters_in_one_file(spark):
+    names = ["listen", "silent", "form", "from_", "enlist"]
+    nodes = [(f"n_{name}", "function", name, name, "src/proj/api/flow.py", 1.0) for name in names]
+    got = em.match_symbols(spark, spark.createDataFrame([(1, {"t": [["src/proj/api/flow.py", name] for name in names]}, "x", "y")], TRACES), spark.createDataFrame(nodes, NODES)).collect()
+    assert {r["qualname"]: r["node_id"] for r in got} == {name: f"n_{name}" for name in names}
+
+
+def test_every_spelling_of_a_node_can_be_matched(spark):
+    """A node that moved: both places match, and no place takes the name of the other."""
+    rows = [("n1", "function", "load_all", "load_all", "src/old/jobs.py", "2025-01-01"), ("n1", None, "fetch_all", None, "src/new/jobs.py", "2025-02-01"), ("n2", "method", None, "K::load_all", "src/new/jobs.py", "2025-01-01")]
+    nodes = spark.createDataFrame(rows, "id string, kind string, name string, qualified_name string, file_path string, indexed_at string")
+    pairs = [["src/old/jobs.py", "load_all"], ["src/new/jobs.py", "fetch_all"], ["src/new/jobs.py", "K.load_all"], ["src/old/jobs.py", "fetch_all"]]
+    got = em.match_symbols(spark, spark.createDataFrame([(1, {"t": pairs}, "x", "y")], TRACES), nodes).collect()
+    assert {(r["relpath"], r["qualname"]): r["node_id"] for r in got} == {("src/old/jobs.py", "load_all"): "n1", ("src/new/jobs.py", "fetch_all"): "n1", ("src/new/jobs.py", "K.load_all"): "n2"}
+    mended = {(r["file_path"], r["kind"], r["name"], r["qualified_name"]) for r in em._spellings(nodes).where("id = 'n1'").collect()}
+    assert mended == {("src/old/jobs.py", "function", "load_all", "load_all"), ("src/new/jobs.py", "function", "fetch_all", "load_all")}
+
+
+def test_blocks_lose_no_pair():
+    """Whatever two paths align within the cost limit, they share a block."""
+    rnd, met = random.Random(9), 0
+    words = ["api", "aip", "core", "jobs", "web", "api_v2"]
+    for _ in range(20_000):
+        some = [rnd.choice(words) for _ in range(rnd.randrange(1, 6))]
+        other = [w for w in some if rnd.random() > 0.1]
+        if rnd.random() < 0.4:
+            other.insert(rnd.randrange(len(other) + 1), rnd.choice(words))
+        if rnd.random() < 0.4 and other:
+            other = other[rnd.randrange(len(other)) :]
+        a, b = em.read_path("/".join([*some, "x.py"])), em.read_path("/".join([*other, "x.py"]))
+        if not a[1] or not b[1]:
+            continue
+        cost = em.path_cost(*a[:2], *b[:2])
+        marked = em._alignment("/".join(a[0]), "/".join(a[1]), "/".join(b[0]), "/".join(b[1]))
+        assert min(marked, abs(marked - em.LEFT_OUT)) == cost
+        if cost <= em.MAX_PATH_COST:
+            met += 1
+            assert set(em.mention_blocks({"f"}, [], a[3], a[1])) & set(em.node_blocks("f", [], b[3], b[1])), (some, other)
+    assert met > 5_000
+
+
+def test_a_node_that_everybody_wants(spark):
+    """A hub of the pair graph: sums come from aggregates, and every spelling still finds it."""
+    nodes = [("hub", "function", "main_loop", "main_loop", "src/app/core/run.py", 1.0), ("rim", "function", "main_loop", "K::main_loop", "src/app/core/run.py", 1.0)]
+    pairs = [[f"{'x/' * (k % 9)}m{k}/src/app/core/run.py", "main_loop"] for k in range(300)]
+    got = em.match_symbols(spark, spark.createDataFrame([(1, {"t": pairs}, "x", "y")], TRACES), spark.createDataFrame(nodes, NODES)).collect()
+    assert len(got) == 300 and {r["node_id"] for r in got} == {"hub"}
+
+
 def test_beliefs_prefer_one_to_one(spark):
     """Two mentions and two nodes: the undecided mention is pushed to the node nobody else wants."""
     from ripplegraph.session import Workspace
