@@ -1,11 +1,17 @@
 """Per-document text quality, and a Gaussian mixture that tells prose from lists, tables and junk.
 
 Documents are read once. Each gives its own statistics and, as many mix several kinds of
-text, the same kind of statistics per passage (a run of lines of one make between blank
-lines). A Gaussian mixture with diagonal covariances is fitted to the standardized passage
+text, the form of every passage (a run of lines of one make between blank lines) with its words
+as numbers. What the collection itself says about words comes from these: words of many
+documents that keep to running clauses are *common words*, and two frequent words that stand
+side by side again and again are a *known pair*. So there is no word list, and no language is
+preferred. The share of common words, and of pairs nobody else writes, complete a passage's
+statistics.
+
+A Gaussian mixture with diagonal covariances is fitted to the standardized passage
 statistics of *all* documents by expectation-maximization: one distributed pass per
 iteration, of which only the sums of the sufficient statistics (a few hundred numbers,
-whatever the input) reach the driver. Its components start from inspected example passages
+whatever the input) reach the driver, until the likelihood stands still. Its components start from inspected example passages
 and are named, after fitting, by the examples they hold. A document's share of prose is the
 mean probability of prose over its passages, weighted by their characters.
 """
@@ -15,9 +21,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,43 +33,15 @@ from pyspark.sql import functions as F
 from ripplegraph.llm.quality_examples import EXAMPLES
 from ripplegraph.session import Workspace
 
-#: Function words of six languages: words that bind a sentence, whatever it is about.
-FUNCTION_WORDS = frozenset(
-    """a an the and or but of to in on at by for from with as that this it we i you they its their our my not no so if than when while where which
-    who what how there here both each every only still already after before because although whether without nobody nothing neither
-    der die das den dem des ein eine einen einem einer und oder aber nicht kein keine mit von zu zum zur im am auf für dass ob wenn ich wir es
-    sie sich nur noch mehr niemand keiner ohne dabei um weil
-    le la les un une du de et ou mais ne pas plus que qui dans sur pour par avec sans ce cette se sa son nous on il elle au aux en si personne
-    el los las del y o pero quien por para con sin su nadie lo al este esta antes
-    lo gli di della e ma non che chi nel per senza nessuno questo dalla
-    het een of maar niet geen dat op te van voor met zonder om er ik ze als alleen niemand nog hun dit""".split()
-)
-#: Finite verbs and auxiliaries: what a heading, an item or a cell does without.
-VERBS = frozenset(
-    """is are was were be been has have had do does did will would can cannot could should must may came come comes went goes gone kept keep keeps looks
-    look looked fails passes moved moves move renamed reran dropped rebuilt reverted replaced replaces broke calls called call waiting wrote
-    noticed suspects agree agreed disagreed asked asks took stayed stay stops explains know knows counts exports imports returns owns reached
-    mention compare compared found names named return needs holds left split enter claims prove explain rank compute show decide list
-    ist sind war wird wurde wurden hat haben hatte habe kann darf muss soll möchte steht stimmt blieb bleibt kennt braucht gezeigt gewarnt verlor
-    bemerkt erreicht geprüft hätte gebaut umbenannt laufen lassen zeige berechne begründe angenommen
-    est sont était ont avait été fait doit peut aurait demande vu restée perdu garde touche sert reçoit répondre refait
-    changé relancé montrez calculez dites
-    son fue era han debe puede habría vio pregunta guarda llega recibe rehizo perdió tardé usa revisa contestar
-    cambió volvimos mostrado demuestre calcule diga decida
-    è sono hanno stato stata rifatto deve può avrebbe chiede visto perso riceve sia tocca serviti mostrato
-    cambiato conserva rilanciato rimasta dimostra calcola
-    zijn waren heeft hebben wordt werd kan mag moet zou vraagt zag bleef krijgt kreeg kostte verloor gedraaid bereikt""".split()
-)
-#: Words that stand before a noun, and words that do not stand after them: shuffled words do not keep to that.
-BEFORE_NOUN = frozenset("the a an of from with by ein eine einen einem einer den dem zum zur von mit un une du les el los por della dalla een".split())
-NOT_AFTER = frozenset(
-    """is are was were be been has have had do does did will would can cannot could should must and or but than if when because
-    ist sind war wird wurde wurden hat haben hatte kann darf muss soll und oder aber dass wenn est sont était ont avait doit peut aurait et ou mais
-    fue era han debe puede habría y pero sono ha hanno deve può avrebbe zijn waren heeft hebben wordt werd moet zou maar""".split()
-)
-#: Words that lean on the next one: no mark stands between.
-CLINGING = frozenset("the a of from and or der dem den eine einen einem und oder dass le les un une du et de au el los del y por della e een en van".split())
-STATS = ("words_per_line", "function_words", "verbs", "symbols", "digits", "stops", "clause", "marked", "columns", "code", "variety", "word_length", "disorder")
+#: What a passage's form alone says, and what the collection's words add to it.
+FORM = ("words_per_line", "symbols", "digits", "stops", "clause", "marked", "columns", "code", "variety", "word_length")
+STATS = (*FORM, "common", "disorder")
+#: A word is frequent if it stands in this share of the documents, and in three at least ...
+FREQUENT, FREQUENT_LEAST = 0.01, 3
+#: ... and common if that share of its occurrences stands in running clauses.
+RUNNING = 0.8
+#: A pair of frequent words is known if it stands in that many passages, as a share of the documents.
+KNOWN, KNOWN_LEAST = 0.0004, 4
 _MARKED = re.compile(r"\s*(?:[-*•+–]\s|\d{1,4}[.)]\s|[A-Za-z][.)]\s|\[[ xX]\]\s)")
 _CELLS = re.compile(r"[|│┃\t]|\S {3,}\S|</?t[dhr]>")
 _CODE = re.compile(
@@ -111,9 +88,22 @@ def passages(text: str) -> Iterator[list[str]]:
         yield run
 
 
-def statistics(lines: list[str]) -> tuple[tuple[int, int, int, int], list[float]]:
-    """Raw counts of a passage (words, visible characters, symbols, function words) and its
-    statistics in the order of ``STATS``.
+_MARKS = frozenset(",.;:!?")
+_numbers: dict[str, int] = {}
+
+
+def word_number(word: str) -> int:
+    """A word of letters as an even number, 0 for any other; rare words may share theirs with others."""
+    if word not in _numbers:
+        if len(_numbers) > 500_000:
+            _numbers.clear()
+        _numbers[word] = zlib.crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFE if word.isalpha() else 0
+    return _numbers[word]
+
+
+def statistics(lines: list[str]) -> tuple[tuple[int, int, int], list[float], list[int]]:
+    """Raw counts of a passage (words, visible characters, symbols), its statistics in the order of
+    ``FORM``, and its words as numbers, odd where a mark follows.
 
     Costly patterns are tried only where the passage holds a character that they need.
     """
@@ -122,8 +112,7 @@ def statistics(lines: list[str]) -> tuple[tuple[int, int, int, int], list[float]
     n, rows = len(tokens), len(lines)
     visible = sum(map(len, tokens))
     bare = [t.strip(_EDGE) for t in tokens]
-    function = sum(map(FUNCTION_WORDS.__contains__, bare))
-    verbs = sum(map(VERBS.__contains__, bare))
+    numbers = [word_number(w) | (t[-1] in _MARKS) for w, t in zip(bare, tokens)]
     symbols = len(_SYMBOL.findall(body))
     stops = len(_STOP.findall(body))
     count = body.count
@@ -135,14 +124,8 @@ def statistics(lines: list[str]) -> tuple[tuple[int, int, int, int], list[float]
         cells += marks - sum(map(count, (", ", ",\n", "; ", ";\n"))) - (body[-1] in ",;")
     code = sum(1 for line in lines if _CODE.search(line)) if _CODE_HINT.search(body) else 0
     marked = sum(1 for line in lines if _MARKED.match(line))
-    distinct = len(set(bare))
-    again = sum(map(eq, bare, bare[1:]))  # words said twice running; once is no sign of anything
-    cut = sum(t[-1] in ",.;:!?" for t in compress(tokens, map(CLINGING.__contains__, bare)))
-    before = list(compress(bare[1:], map(BEFORE_NOUN.__contains__, bare)))
-    return (n, visible, symbols, function), [
+    return (n, visible, symbols), [
         math.log1p(min(n / rows, 60.0)),
-        function / n,
-        verbs / n,
         symbols / visible,
         len(_DIGIT.findall(body)) / visible,
         min(stops / rows, 1.5),
@@ -150,57 +133,196 @@ def statistics(lines: list[str]) -> tuple[tuple[int, int, int, int], list[float]
         marked / rows,
         min(cells / n, 1.0),
         code / rows,
-        math.log1p(distinct) / math.log1p(n),
+        math.log1p(len(set(bare))) / math.log1p(n),
         math.log(min(visible / n, 200.0)),
-        min((sum(map(NOT_AFTER.__contains__, before)) + max(0, again - 1) + cut) / (len(before) + 2), 1.0),
-    ]
+    ], numbers
 
 
-def read_text(text: str) -> tuple[int, float, float, float, float, list[int], list[float]]:
-    """A document's words, mean word length, symbol ratio, share of lines ending in punctuation
-    and share of common words; and its passages' visible characters and statistics, flat.
+def read_text(text: str) -> tuple[int, float, float, float, list[int], list[int], list[float], list[int]]:
+    """A document's words, mean word length, symbol ratio and share of lines ending in punctuation;
+    and of its passages the visible characters, the words, the form statistics and the words as numbers, flat.
 
     Signs of quoting at the start of lines are no words.
     """
     if not text.isascii():  # wide letters, odd blanks and invisible signs say nothing about the kind of text
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    words = visible = symbols = function = ended = rows = 0
+    words = visible = symbols = ended = rows = 0
     chars: list[int] = []
+    sizes: list[int] = []
     flat: list[float] = []
+    said: list[int] = []
     for lines in passages(text):
-        (n, seen, marks, bound), stats = statistics(lines)
-        words, visible, symbols, function = words + n, visible + seen, symbols + marks, function + bound
+        (n, seen, marks), stats, numbers = statistics(lines)
+        words, visible, symbols = words + n, visible + seen, symbols + marks
         rows += len(lines)
         ended += sum(1 for line in lines if line.rstrip()[-1] in ".!?…")
         chars.append(seen)
+        sizes.append(n)
         flat += stats
-    return words, visible / max(words, 1), symbols / max(visible, 1), ended / max(rows, 1), function / max(words, 1), chars, flat
+        said += numbers
+    return words, visible / max(words, 1), symbols / max(visible, 1), ended / max(rows, 1), chars, sizes, flat, said
 
 
-_READ = "doc_id long, words long, word_length double, symbol_ratio double, ended_lines double, common_words double, chars array<int>, stats array<float>"
-_READ_ARROW = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("ended_lines", pa.float64()), ("common_words", pa.float64()), ("chars", pa.list_(pa.int32())), ("stats", pa.list_(pa.float32()))])
+_READ = "doc_id long, words long, word_length double, symbol_ratio double, ended_lines double, chars array<int>, sizes array<int>, form array<float>, said array<int>, shown boolean"
+_READ_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("words", pa.int64()), ("word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("ended_lines", pa.float64())]
+    + [("chars", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("form", pa.list_(pa.float32())), ("said", pa.list_(pa.int32())), ("shown", pa.bool_())]
+)
 
 
 def read_documents(documents: DataFrame, signs: bool = False) -> DataFrame:
     """Statistics of every document that is not null or blank, and of its passages (flat).
 
     Texts of nothing but signs of quoting or invisible signs have no passages; they are given
-    only with ``signs``.
+    only with ``signs``. The examples come along as ``shown`` rows: their words count like any others'.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, shown in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if not text or not text.strip():
                     continue
                 read = read_text(text)
                 if read[0] or signs:
-                    rows.append((doc, *read))
+                    rows.append((doc, *read, shown))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _READ_ARROW.types)], schema=_READ_ARROW)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, _READ)
+    given = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("shown")).where("text is not null")
+    shown = documents.sparkSession.createDataFrame([(None, text, True) for texts in EXAMPLES.values() for text in texts], given.schema)
+    return given.unionByName(shown.coalesce(1)).mapInArrow(run, _READ)
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class Passages:
+    """A batch of documents as flat arrays: which word is of which passage, which passage of which document."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.size = _values(batch.column("sizes")).astype(np.int64)
+        self.document = np.repeat(np.arange(batch.num_rows), _lengths(batch.column("sizes")))
+        self.form = _values(batch.column("form")).astype(np.float64).reshape(-1, len(FORM))
+        said = _values(batch.column("said"))
+        self.passage = np.repeat(np.arange(len(self.size)), self.size)
+        self.word, self.marked = said & ~1, (said & 1).astype(bool)
+
+    def running(self) -> np.ndarray:
+        """Passages of running clauses, by their form alone."""
+        at = {name: self.form[:, i] for i, name in enumerate(FORM)}
+        return (at["clause"] >= math.log1p(4)) & (at["words_per_line"] >= math.log1p(6)) & (at["marked"] == 0) & (at["columns"] == 0) & (at["code"] == 0)
+
+    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passage and number of every two frequent words side by side with no mark between."""
+        if not len(frequent) or len(self.word) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(frequent, self.word), len(frequent) - 1)
+        held = (frequent[place] == self.word) & (self.word > 0)
+        both = held[:-1] & held[1:] & ~self.marked[:-1] & (self.passage[:-1] == self.passage[1:])
+        return self.passage[:-1][both], place[:-1][both] * len(frequent) + place[1:][both]
+
+
+def _totals(rows: DataFrame, keys: str, counts: int, of) -> DataFrame:
+    """Sums of ``of(batch)``, (keys, counts ...) arrays, added up in the task first: ``key, n0, n1 ...``"""
+    names = ["key", *(f"n{i}" for i in range(counts))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def merged() -> list[np.ndarray]:
+            key, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return [key, *(np.bincount(inverse, np.concatenate([h[i + 1] for h in held]), len(key)) for i in range(counts))]
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(of(batch))
+            if sum(len(h[0]) for h in held) > 2_000_000:
+                held = [tuple(merged())]
+                if len(held[0][0]) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in held.pop()], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in merged()], names=names)
+
+    parts = rows.select("sizes", "form", "said").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("key").agg(*(F.sum(n).alias(n) for n in names[1:]))
+
+
+def _count_words(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Words of a batch with the documents that hold them, their occurrences, and those in running clauses."""
+    p = Passages(batch)
+    words = p.word > 0
+    word, running, document = p.word[words].astype(np.int64), p.running()[p.passage][words], p.document[p.passage][words]
+    key, inverse = np.unique(word, return_inverse=True)
+    documents = np.unique(document * len(key) + inverse) % max(len(key), 1)
+    size = len(key)
+    return key, np.bincount(documents, minlength=size), np.bincount(inverse, minlength=size), np.bincount(inverse, running, size)
+
+
+class Words:
+    """What the collection says about words: the frequent ones, which of them are common, and the known pairs.
+
+    A document of ``w`` distinct words adds at most ``w`` to the counts that ``FREQUENT`` of the
+    documents must reach, so there are at most ``w / FREQUENT`` frequent words, and as many pairs
+    known as ``w / KNOWN``, however large the collection.
+    """
+
+    def __init__(self, frequent: np.ndarray, common: np.ndarray, known: np.ndarray):
+        self.frequent, self.common, self.known = frequent, common, known
+
+    def statistics(self, p: Passages) -> np.ndarray:
+        """Share of common words and of unknown pairs of every passage."""
+        n = len(p.size)
+        common = np.isin(p.word, self.common) & (p.word > 0)
+        passage, pair = p.pairs(self.frequent)
+        unknown = ~np.isin(pair, self.known)
+        disorder = np.bincount(passage, unknown, n) / (np.bincount(passage, minlength=n) + 2)
+        return np.column_stack([np.bincount(p.passage, common, n) / np.maximum(p.size, 1), disorder])
+
+
+def learn_words(rows: DataFrame) -> Words:
+    """Count words, then pairs of frequent words, over all documents."""
+    documents = rows.count()
+    counted = _totals(rows, "said", 3, _count_words).where(F.col("n0") >= max(FREQUENT_LEAST, FREQUENT * documents)).collect()
+    counted = sorted((r["key"], r["n1"], r["n2"]) for r in counted)
+    frequent = np.array([c[0] for c in counted], np.int64)
+    common = np.array([c[0] for c in counted if c[2] >= RUNNING * c[1]], np.int64)
+
+    def count_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        passage, pair = Passages(batch).pairs(frequent)
+        once = np.unique(np.column_stack([passage, pair]), axis=0)[:, 1] if len(pair) else pair
+        key, n = np.unique(once, return_counts=True)
+        return key, n
+
+    known = _totals(rows, "said", 1, count_pairs).where(F.col("n0") >= max(KNOWN_LEAST, KNOWN * documents)).select("key").collect()
+    return Words(frequent, common, np.array(sorted(r["key"] for r in known), np.int64))
+
+
+_FULL = "doc_id long, words long, word_length double, symbol_ratio double, ended_lines double, common_words double, chars array<int>, stats array<float>, shown boolean"
+
+
+def complete(rows: DataFrame, words: Words) -> DataFrame:
+    """The read documents with all statistics of their passages (flat, in the order of ``STATS``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = Passages(batch)
+            more = words.statistics(p)
+            flat = np.column_stack([p.form, more]).astype(np.float32)
+            share = np.bincount(p.document, more[:, 0] * p.size, batch.num_rows) / np.maximum(np.bincount(p.document, p.size, batch.num_rows), 1)
+            lengths = np.concatenate([[0], np.cumsum(np.bincount(p.document, minlength=batch.num_rows))]).astype(np.int32)
+            stats = pa.ListArray.from_arrays(pa.array(lengths * len(STATS), pa.int32()), pa.array(flat.ravel()))
+            given = [batch.column(c) for c in ("doc_id", "words", "word_length", "symbol_ratio", "ended_lines")]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(share), batch.column("chars"), stats, batch.column("shown")], names=[c.split()[0] for c in _FULL.split(", ")])
+
+    return rows.mapInArrow(run, _FULL)
 
 
 class Mixture:
@@ -237,15 +359,16 @@ class Mixture:
         return Mixture((count + prior) / (count.sum() + prior * k), mean, np.maximum(var, floor))
 
 
-def example_rows() -> tuple[list[str], np.ndarray]:
+def example_rows(words: Words) -> tuple[list[str], np.ndarray]:
     """Component of each example passage, and its raw statistics."""
     names, rows = [], []
     for name, texts in EXAMPLES.items():
-        for text in texts:
-            for lines in passages(text):
-                names.append(name)
-                rows.append(statistics(lines)[1])
-    return names, np.array(rows)
+        read = [read_text(text) for text in texts]
+        columns = [pa.array([r[i] for r in read], kind) for i, kind in ((5, pa.list_(pa.int32())), (6, pa.list_(pa.float32())), (7, pa.list_(pa.int32())))]
+        p = Passages(pa.RecordBatch.from_arrays(columns, names=["sizes", "form", "said"]))
+        names += [name] * len(p.size)
+        rows.append(np.column_stack([p.form, words.statistics(p)]))
+    return names, np.concatenate(rows)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -283,15 +406,19 @@ class PassageModel:
         return {c: p[:, classes == c].sum(1) for c in ("prose", "list", "table", "junk")}
 
 
-def fit(rows: DataFrame, iterations: int = 8, tolerance: float = 1e-3, floor: float = 0.02) -> PassageModel | None:
-    """Fit the mixture to the ``stats`` of all rows; None if there are none."""
+def fit(rows: DataFrame, words: Words, iterations: int = 300, tolerance: float = 1e-3, floor: float = 0.02) -> PassageModel | None:
+    """Fit the mixture to the ``stats`` of all rows; None if there are none.
+
+    Iterations go on until the mean log likelihood of a passage grows by less than ``tolerance``;
+    ``iterations`` without that are an error.
+    """
     moments = _summed(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     if not len(moments):
         return None
     d = len(STATS)
     n, center = moments[0], moments[1 : d + 1] / moments[0]
     scale = np.sqrt(np.maximum(moments[d + 1 :] / n - center**2, 1e-4))
-    names, raw = example_rows()
+    names, raw = example_rows(words)
     examples, keys = (raw - center) / scale, list(EXAMPLES)
     which = np.array([keys.index(name) for name in names])
     mean = np.array([examples[which == k].mean(0) for k in range(len(keys))])
@@ -300,10 +427,12 @@ def fit(rows: DataFrame, iterations: int = 8, tolerance: float = 1e-3, floor: fl
     mixture, before = start, -math.inf
     for _ in range(iterations):
         sums = _summed(rows, lambda x, m=mixture: m.sums((x - center) / scale))
-        mixture = mixture.updated(sums, 0.001 * n + 5.0, start, floor)
-        if sums[-1] - before < tolerance * abs(sums[-1]):
+        mixture = mixture.updated(sums, 0.003 * n + 5.0, start, floor)
+        if sums[-1] - before < tolerance * n:
             break
         before = sums[-1]
+    else:
+        raise RuntimeError(f"the likelihood still grows after {iterations} iterations")
     # name the components by the examples they hold; one that holds none keeps the name it started with
     held = mixture.posterior(examples)[0]
     classes = []
@@ -316,7 +445,7 @@ def fit(rows: DataFrame, iterations: int = 8, tolerance: float = 1e-3, floor: fl
     return PassageModel(center, scale, mixture, classes)
 
 
-def judge(spark: SparkSession, documents: DataFrame, iterations: int = 8, signs: bool = False) -> DataFrame:
+def judge(spark: SparkSession, documents: DataFrame, iterations: int = 300, signs: bool = False) -> DataFrame:
     """Every document that is not null or blank with its statistics and shares of each class.
 
     ``doc_id, words, word_length, symbol_ratio, ended_lines, common_words, prose, lists,
@@ -326,8 +455,11 @@ def judge(spark: SparkSession, documents: DataFrame, iterations: int = 8, signs:
     invisible signs give a row, of 0 words and junk, only with ``signs``.
     """
     work = Workspace(spark, "quality")
-    rows = work.save(read_documents(documents, signs), "passages")
-    model = fit(rows, iterations)
+    read = work.save(read_documents(documents, signs), "read")
+    words = learn_words(read)
+    rows = work.save(complete(read, words), "passages").where("not shown")
+    work.drop("read")
+    model = fit(rows, words, iterations)
     schema = "doc_id long, words long, word_length double, symbol_ratio double, ended_lines double, common_words double, prose double, lists double, tables double, junk double"
     if model is None and rows.isEmpty():
         return spark.createDataFrame([], schema)
@@ -346,7 +478,7 @@ def judge(spark: SparkSession, documents: DataFrame, iterations: int = 8, signs:
             columns = [pa.array(np.bincount(doc, weight * shares[c], len(sizes)) / np.where(bare, 1, total) + (bare if c == "junk" else 0)) for c in ("prose", "list", "table", "junk")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), *columns], names=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.mapInArrow(run, schema)
+    return rows.drop("shown").mapInArrow(run, schema)
 
 
 def not_prose(spark: SparkSession, documents: DataFrame, share: float = 0.5) -> DataFrame:

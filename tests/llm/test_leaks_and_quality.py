@@ -119,9 +119,59 @@ def test_texts_of_signs_only_are_no_prose(spark):
 
 
 def test_statistics_of_a_document():
-    words, length, symbols, ended, common, chars, flat = quality.read_text("The cat sat.\n> on the mat\n\n- item")
-    assert words == 8 and ended == 1 / 3 and common == 3 / 8 and sum(chars) == 23 and len(flat) == len(chars) * len(quality.STATS)
-    assert length == 23 / 8 and symbols > 0
+    words, length, symbols, ended, chars, sizes, flat, said = quality.read_text("The cat sat.\n> on the mat\n\n- item 4")
+    assert words == 9 and ended == 1 / 3 and sum(chars) == 24 and len(flat) == len(chars) * len(quality.FORM)
+    assert length == 24 / 9 and symbols > 0 and sizes == [6, 3]
+    assert said[0] == said[4] == quality.word_number("the") and said[2] == quality.word_number("sat") | 1 and said[6] == said[8] == 0
+
+
+def test_common_words_come_from_the_collection(spark):
+    """Words of many documents that keep to clauses are common; pairs that nobody else writes are disorder."""
+    rnd = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in "lmnr"]
+    clause = lambda: " ".join(w for k in range(6) for w in (("zat", "vor", "nuk")[k % 3], rnd.choice(words))) + "."
+    texts = [" ".join(clause() for _ in range(4)) for _ in range(200)] + ["\n".join(f"- {rnd.choice(words)}" for _ in range(40)) for _ in range(100)]
+    read = quality.read_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    learned = quality.learn_words(read)
+    numbers = {w: quality.word_number(w) for w in ("zat", "vor", "nuk")}
+    assert set(numbers.values()) <= set(learned.common.tolist())
+    assert not {quality.word_number(w) for w in words} & set(learned.common.tolist())
+    rows = {r["doc_id"]: r for r in quality.complete(read, learned).collect()}
+    assert rows[0]["common_words"] == 0.5 and rows[250]["common_words"] == 0
+
+
+def invented(rnd):
+    """A language nobody listed: function words, content words, and sentences of both."""
+    syllables = [a + b for a in "kvtplzgn" for b in ("ra", "mo", "ui", "esh", "yl", "on")]
+    small = rnd.sample(syllables, 24)
+    large = ["".join(rnd.choice(syllables) for _ in range(rnd.choice([2, 3]))) for _ in range(300)]
+    pairs = [(a, b) for a in small for b in rnd.sample(small, 3)]
+
+    def sentence():
+        out = []
+        for _ in range(rnd.randrange(3, 6)):
+            out += [*rnd.choice(pairs), rnd.choice(large)] if rnd.random() < 0.6 else [rnd.choice(small), rnd.choice(large)]
+        return " ".join(out).capitalize() + "."
+
+    return large, sentence
+
+
+def test_quality_of_a_language_nobody_listed(spark):
+    rnd = random.Random(11)
+    large, sentence = invented(rnd)
+    rows = []
+    for k in range(400):
+        prose = " ".join(sentence() for _ in range(rnd.randrange(3, 12)))
+        if k % 5 == 1:
+            text = "\n".join(f"- {rnd.choice(large)} {rnd.choice(large)}" for _ in range(rnd.randrange(8, 25)))
+        elif k % 5 == 2:
+            text = "\n".join(f"| {rnd.choice(large)} | {rnd.randrange(99)} | {rnd.choice(large)} |" for _ in range(rnd.randrange(8, 25)))
+        else:
+            text = prose
+        rows.append((k, text))
+    found = {r[0] for r in quality.not_prose(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {k for k in range(400) if k % 5 in (1, 2)}
+    assert len(found & want) >= 0.98 * len(want) and len(found - want) <= 0.02 * 240
 
 
 def test_em_does_not_lose_likelihood():
