@@ -85,12 +85,19 @@ def read_path(path: str | None) -> tuple[list[str], list[str], str, str, str]:
     return [plain for plain, _ in read], [key for _, key in read], stem, letters(stem), family
 
 
+_LEAD = re.compile(r"^(async|static|get|set|new)\s+")
+_TAIL = re.compile(r"(\(\)|…)$")
+_PARTS_OF_NAME = re.compile(r"\.|::")
+_MANGLED = re.compile(r"_+([A-Za-z0-9]\w*?)__(\w+)$")
+_NUMBER = re.compile(r"(\$\d+|_?\d+)$")
+
+
+@lru_cache(50_000)
 def read_qualname(qualname: str, stem: str) -> tuple[str, str, str, str, str] | None:
     """(name, folded name, name without a build's suffix, owner, sign of privacy); None if anonymous."""
     text = qualname.replace("<locals>", "").strip()
-    text = re.sub(r"^(async|static|get|set|new)\s+", "", text)
-    text = re.sub(r"(\(\)|…)$", "", text)
-    parts = [p for p in re.split(r"\.|::", text) if p]
+    text = _TAIL.sub("", _LEAD.sub("", text))
+    parts = [p for p in _PARTS_OF_NAME.split(text) if p]
     if not parts or "<" in parts[-1] or ">" in parts[-1]:
         return None
     name = parts[-1]
@@ -98,13 +105,13 @@ def read_qualname(qualname: str, stem: str) -> tuple[str, str, str, str, str] |
         parts = parts[1:]
     owner = _NOISE.sub("", "".join(parts[:-1]).lower())
     if len(parts) > 1:
-        mangled = re.match(r"_+([A-Za-z0-9]\w*?)__(\w+)$", name)
+        mangled = _MANGLED.match(name)
         if mangled and _NOISE.sub("", parts[-2].lower()) == _NOISE.sub("", mangled[1].lower()):
             name = "__" + mangled[2]
     folded = _NOISE.sub("", name.lower())
     if not folded:
         return None
-    base = _NOISE.sub("", re.sub(r"(\$\d+|_?\d+)$", "", name).lower()) or folded
+    base = _NOISE.sub("", _NUMBER.sub("", name).lower()) or folded
     return name, folded, base, owner, "_" if name.startswith("_") else ""
 
 
@@ -148,7 +155,8 @@ def _map(df: DataFrame, columns: list[str], read, schema: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    out = df.select(*columns).mapInArrow(run, schema)
+    return out.withColumn("blocks", F.transform("blocks", lambda b: F.xxhash64(b))) if "blocks" in out.columns else out
 
 
 def traced_pairs(traces: DataFrame) -> DataFrame:
@@ -188,11 +196,10 @@ def _symbols(forms: DataFrame) -> DataFrame:
         if parts is None:
             return None
         name, folded, base, owner, private = parts
-        known = {letters(folded), letters(base)}
-        blocks = mention_blocks(known, _starts(owner, folded), stem_key, keys)
-        return relpath, qualname, name, folded, base, owner, letters(owner), private, sorted(known), "/".join(dirs), "/".join(keys), stem_key, family, blocks
+        blocks = mention_blocks({letters(folded), letters(base)}, _starts(owner, folded), stem_key, keys)
+        return relpath, qualname, name, folded, base, letters(folded), letters(base), owner, letters(owner), private, "/".join(dirs), "/".join(keys), stem_key, family, blocks
 
-    schema = f"relpath string, qualname string, name string, folded string, base string, owner string, owner_key string, private string, name_keys array<string>, {_PARTS}"
+    schema = f"relpath string, qualname string, name string, folded string, base string, folded_key string, base_key string, owner string, owner_key string, private string, {_PARTS}"
     return _map(forms, ["relpath", "qualname"], read, schema)
 
 
@@ -280,7 +287,7 @@ def _weigh(pairs: DataFrame) -> DataFrame:
         ("raw", F.col("name") == F.col("node_name")),
         ("folded", (F.col("folded") == F.col("node_folded")) & ~F.col("name").rlike(r"\$\d+$")),  # a build's number is none of the name's
         ("base", F.col("base") == F.col("node_folded")),
-        ("letters", F.array_contains("name_keys", F.col("node_key"))),
+        ("letters", F.col("node_key").isin(F.col("folded_key"), F.col("base_key"))),
         last="start",
     )
     owner = choose(
@@ -302,8 +309,8 @@ def _candidates(symbols: DataFrame, index: DataFrame) -> DataFrame:
 
     ``whole`` tells that all directories of the shorter path end the other.
     """
-    said = symbols.select("form", F.explode("blocks").alias("block")).select("form", F.xxhash64("block").alias("block"))
-    known = index.select("spelling", F.explode("blocks").alias("block")).select("spelling", F.xxhash64("block").alias("block"))
+    said = symbols.select("form", F.explode("blocks").alias("block"))
+    known = index.select("spelling", F.explode("blocks").alias("block"))
     pairs = said.join(known, "block").select("form", "spelling").repartition("form").dropDuplicates()
     left = symbols.drop("relpath", "qualname", "blocks").withColumnsRenamed({c: f"mention_{c}" for c in ("dirs", "keys", "family")})
     right = index.drop("blocks").withColumnsRenamed({"stem_key": "node_stem_key"})
@@ -311,11 +318,11 @@ def _candidates(symbols: DataFrame, index: DataFrame) -> DataFrame:
     # a name that was cut off: its owner is whole, or, where the index has no owner, its beginning is long enough
     owned = (F.col("owner") != "") & (F.col("owner") == F.col("node_owner"))
     begun = F.col("node_folded").startswith(F.col("folded")) & (F.length("node_folded") > F.length("folded")) & (owned | ((F.length("folded") >= 6) & (F.coalesce("node_owner", F.lit("")) == "")))
-    met = met.where(F.array_contains("name_keys", F.col("node_key")) | begun)
+    met = met.where(F.col("node_key").isin(F.col("folded_key"), F.col("base_key")) | begun)
     cost = met.withColumn("marked", _aligned("mention_dirs", "mention_keys", "dirs", "keys")).withColumn("whole", F.col("marked") < LEFT_OUT)
     near = cost.withColumn("cost", F.when(F.col("whole"), F.col("marked")).otherwise(F.col("marked") - LEFT_OUT)).where(F.col("cost") <= MAX_PATH_COST)
     weighed = _weigh(near.withColumn("same_family", F.col("mention_family") == F.col("family")))
-    return weighed.where("weight > -2").select("form", "node_id", "weight", "whole", "owner_key", "base", "private")
+    return weighed.where("weight > -2").select("form", "node_id", "weight", "whole", "owner_key", "base_key", "private")
 
 
 def _mentions(candidates: DataFrame) -> DataFrame:
@@ -326,11 +333,10 @@ def _mentions(candidates: DataFrame) -> DataFrame:
     """
     form = W.partitionBy("form")
     rows = candidates.repartition("form").withColumn("good", F.coalesce(F.max(F.when(F.col("whole"), F.col("weight"))).over(form) > 2, F.lit(False)))
-    found = rows.where("whole or not good").groupBy("form", "node_id").agg(F.max("weight").alias("weight"), F.min("owner_key").alias("owner_key"), F.min("base").alias("base"), F.min("private").alias("private"))
+    found = rows.where("whole or not good").groupBy("form", "node_id", "owner_key", "base_key", "private").agg(F.max("weight").alias("weight"))
     top = F.when(F.col("weight") == F.max("weight").over(form), F.col("node_id"))
     best = [F.min(top_node := F.col("top")).over(form), F.count(top_node).over(form).cast("string"), F.bit_xor(F.when(top_node.isNotNull(), F.xxhash64("node_id"))).over(form).cast("string")]
-    spread = F.array_join(F.array_sort(F.split("base", "")), "")
-    entity = F.md5(F.concat_ws("|", *best, "owner_key", spread, "private"))
+    entity = F.md5(F.concat_ws("|", *best, "owner_key", "base_key", "private"))
     return found.withColumn("top", top).select("form", entity.alias("entity"), "node_id", "weight")
 
 
