@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -89,16 +90,33 @@ def passages(text: str) -> Iterator[list[str]]:
 
 
 _MARKS = frozenset(",.;:!?")
-_numbers: dict[str, int] = {}
 
 
 def word_number(word: str) -> int:
     """A word of letters as an even number, 0 for any other; rare words may share theirs with others."""
-    if word not in _numbers:
-        if len(_numbers) > 500_000:
-            _numbers.clear()
-        _numbers[word] = zlib.crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFE if word.isalpha() else 0
-    return _numbers[word]
+    return zlib.crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFE if word.isalpha() else 0
+
+
+class _Numbers(dict):
+    """The number of every token met: that of its word, odd where a mark follows."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        number = self[token] = word_number(token.strip(_EDGE)) | (token[-1] in _MARKS)
+        return number
+
+
+_numbers = _Numbers()
+_SYMBOLS = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c) in "_ \t\n\r\f\v\x1c\x1d\x1e\x1f"))
+
+
+def signs_of(body: str) -> tuple[int, int]:
+    """Numbers of symbols (neither of words nor blank) and of digits."""
+    if body.isascii():
+        raw = body.encode("ascii")
+        return len(raw) - len(raw.translate(None, _SYMBOLS)), len(raw) - len(raw.translate(None, b"0123456789"))
+    return len(_SYMBOL.findall(body)), len(_DIGIT.findall(body))
 
 
 def statistics(lines: list[str]) -> tuple[tuple[int, int, int], list[float], list[int]]:
@@ -111,9 +129,8 @@ def statistics(lines: list[str]) -> tuple[tuple[int, int, int], list[float], lis
     tokens = body.lower().split()
     n, rows = len(tokens), len(lines)
     visible = sum(map(len, tokens))
-    bare = [t.strip(_EDGE) for t in tokens]
-    numbers = [word_number(w) | (t[-1] in _MARKS) for w, t in zip(bare, tokens)]
-    symbols = len(_SYMBOL.findall(body))
+    numbers = list(map(_numbers.__getitem__, tokens))
+    symbols, digits = signs_of(body)
     stops = len(_STOP.findall(body))
     count = body.count
     marks = count(",") + count(";")
@@ -122,18 +139,18 @@ def statistics(lines: list[str]) -> tuple[tuple[int, int, int], list[float], lis
     cells = len(_CELLS.findall(body)) if may_hold_cells(body) else 0
     if marks:
         cells += marks - sum(map(count, (", ", ",\n", "; ", ";\n"))) - (body[-1] in ",;")
-    code = sum(1 for line in lines if _CODE.search(line)) if _CODE_HINT.search(body) else 0
+    code = sum(1 for line in lines if _CODE_HINT.search(line) and _CODE.search(line)) if _CODE_HINT.search(body) else 0
     marked = sum(1 for line in lines if _MARKED.match(line))
     return (n, visible, symbols), [
         math.log1p(min(n / rows, 60.0)),
         symbols / visible,
-        len(_DIGIT.findall(body)) / visible,
+        digits / visible,
         min(stops / rows, 1.5),
         math.log1p(min(n / (breaks + 1), 25.0)),
         marked / rows,
         min(cells / n, 1.0),
         code / rows,
-        math.log1p(len(set(bare))) / math.log1p(n),
+        math.log1p(len(set(tokens))) / math.log1p(n),
         math.log(min(visible / n, 200.0)),
     ], numbers
 
@@ -218,14 +235,17 @@ class Passages:
         at = {name: self.form[:, i] for i, name in enumerate(FORM)}
         return (at["clause"] >= math.log1p(4)) & (at["words_per_line"] >= math.log1p(6)) & (at["marked"] == 0) & (at["columns"] == 0) & (at["code"] == 0)
 
-    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Passage and number of every two frequent words side by side with no mark between."""
-        if not len(frequent) or len(self.word) < 2:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def places(self, frequent: np.ndarray) -> np.ndarray:
+        """Place of every word among the frequent ones, -1 for all others."""
+        if not len(frequent):
+            return np.full(len(self.word), -1)
         place = np.minimum(np.searchsorted(frequent, self.word), len(frequent) - 1)
-        held = (frequent[place] == self.word) & (self.word > 0)
-        both = held[:-1] & held[1:] & ~self.marked[:-1] & (self.passage[:-1] == self.passage[1:])
-        return self.passage[:-1][both], place[:-1][both] * len(frequent) + place[1:][both]
+        return np.where((frequent[place] == self.word) & (self.word > 0), place, -1)
+
+    def pairs(self, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Passage and number of every two frequent words (of ``size``) side by side with no mark between."""
+        both = (place[:-1] >= 0) & (place[1:] >= 0) & ~self.marked[:-1] & (self.passage[:-1] == self.passage[1:])
+        return self.passage[:-1][both], place[:-1][both].astype(np.int64) * size + place[1:][both]
 
 
 def _totals(rows: DataFrame, keys: str, counts: int, of) -> DataFrame:
@@ -257,11 +277,11 @@ def _count_words(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Words of a batch with the documents that hold them, their occurrences, and those in running clauses."""
     p = Passages(batch)
     words = p.word > 0
-    word, running, document = p.word[words].astype(np.int64), p.running()[p.passage][words], p.document[p.passage][words]
-    key, inverse = np.unique(word, return_inverse=True)
-    documents = np.unique(document * len(key) + inverse) % max(len(key), 1)
-    size = len(key)
-    return key, np.bincount(documents, minlength=size), np.bincount(inverse, minlength=size), np.bincount(inverse, running, size)
+    place, key = pd.factorize(p.word[words])
+    size, passage = len(key), p.passage[words]
+    held = pd.unique(p.document[passage] * max(size, 1) + place) % max(size, 1)
+    running = p.running()[passage]
+    return key.astype(np.int64), np.bincount(held, minlength=size), np.bincount(place, minlength=size), np.bincount(place[running], minlength=size)
 
 
 class Words:
@@ -278,9 +298,12 @@ class Words:
     def statistics(self, p: Passages) -> np.ndarray:
         """Share of common words and of unknown pairs of every passage."""
         n = len(p.size)
-        common = np.isin(p.word, self.common) & (p.word > 0)
-        passage, pair = p.pairs(self.frequent)
-        unknown = ~np.isin(pair, self.known)
+        place = p.places(self.frequent)
+        common = np.append(np.isin(self.frequent, self.common), False)[place]  # the last for all other words
+        passage, pair = p.pairs(place, len(self.frequent))
+        unknown = np.ones(len(pair), bool)
+        if len(self.known):
+            unknown = self.known[np.minimum(np.searchsorted(self.known, pair), len(self.known) - 1)] != pair
         disorder = np.bincount(passage, unknown, n) / (np.bincount(passage, minlength=n) + 2)
         return np.column_stack([np.bincount(p.passage, common, n) / np.maximum(p.size, 1), disorder])
 
@@ -294,10 +317,11 @@ def learn_words(rows: DataFrame) -> Words:
     common = np.array([c[0] for c in counted if c[2] >= RUNNING * c[1]], np.int64)
 
     def count_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        passage, pair = Passages(batch).pairs(frequent)
-        once = np.unique(np.column_stack([passage, pair]), axis=0)[:, 1] if len(pair) else pair
-        key, n = np.unique(once, return_counts=True)
-        return key, n
+        p = Passages(batch)
+        passage, pair = p.pairs(p.places(frequent), len(frequent))
+        number, key = pd.factorize(pair)
+        once = pd.unique(passage * max(len(key), 1) + number) % max(len(key), 1)
+        return key, np.bincount(once, minlength=len(key))
 
     known = _totals(rows, "said", 1, count_pairs).where(F.col("n0") >= max(KNOWN_LEAST, KNOWN * documents)).select("key").collect()
     return Words(frequent, common, np.array(sorted(r["key"] for r in known), np.int64))
@@ -406,7 +430,7 @@ class PassageModel:
         return {c: p[:, classes == c].sum(1) for c in ("prose", "list", "table", "junk")}
 
 
-def fit(rows: DataFrame, words: Words, iterations: int = 300, tolerance: float = 1e-3, floor: float = 0.02) -> PassageModel | None:
+def fit(rows: DataFrame, words: Words, iterations: int = 300, tolerance: float = 5e-3, floor: float = 0.02) -> PassageModel | None:
     """Fit the mixture to the ``stats`` of all rows; None if there are none.
 
     Iterations go on until the mean log likelihood of a passage grows by less than ``tolerance``;
@@ -484,3 +508,19 @@ def judge(spark: SparkSession, documents: DataFrame, iterations: int = 300, sign
 def not_prose(spark: SparkSession, documents: DataFrame, share: float = 0.5) -> DataFrame:
     """Documents of whose characters less than ``share`` stand in running sentences."""
     return judge(spark, documents, signs=True).where(F.col("prose") < share).select("doc_id").distinct()
+
+
+def plain_statistics(documents: DataFrame) -> DataFrame:
+    """``doc_id, words, word_length, symbol_ratio, ended_lines`` of the text as it stands, by built-in expressions.
+
+    Words are what blanks part, symbols what is neither letter, digit, ``_`` nor blank; lines that are blank
+    do not count. Null and blank texts give no row.
+    """
+    blank = r"[ \t\n\r\f\x0B]"
+    words = F.filter(F.split("text", blank + "+"), lambda w: w != "")
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^ \t\n\r\f\x0B]"))
+    rows = documents.where(F.col("text").rlike(r"[^ \t\n\r\f\x0B]")).select("doc_id", "text", words.alias("w"), lines.alias("l"))
+    visible = F.length(F.regexp_replace("text", blank, ""))
+    symbols = F.length(F.regexp_replace("text", r"[\p{L}\p{N}_ \t\n\r\f\x0B]", ""))
+    ended = F.size(F.filter("l", lambda line: line.rlike(r"[.!?…][ \t\r\f\x0B]*\z")))
+    return rows.select("doc_id", F.size("w").cast("long").alias("words"), (visible / F.size("w")).alias("word_length"), (symbols / visible).alias("symbol_ratio"), (ended / F.size("l")).alias("ended_lines"))
