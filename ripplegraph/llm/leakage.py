@@ -6,17 +6,17 @@ characters are folded away first. Every test item is cut into adjacent pieces of
 holds at least ``budget + 1`` whole pieces: with up to ``budget`` edits, one piece is still
 intact. An Aho-Corasick automaton over all pieces finds the exact piece hits in one pass
 over a document; around each hit, Myers' bit-parallel distance (over words) verifies the
-passage, and the longest run of equal words is measured.
+passage; of the passages it lets through, the longest run of equal words is measured.
 
-The test items are a stated, bounded set. Their pieces go to the executors in blocks of at
-most ``BLOCK_BYTES`` of text; a larger set is searched block by block, each against all
-documents.
+The test items are a stated, bounded set. Their pieces go to the executors in blocks of about
+``BLOCK_BYTES`` of text. A larger set is searched block by block, each against all documents; the
+driver holds one block at a time, as a block's findings are written before the next is read.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplegraph.session import Workspace
+
 BLOCK_BYTES = 16_000_000
 _MARKS = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 _BREAKS = regex.compile(r"[^\p{L}\p{N}]+")
@@ -127,16 +129,14 @@ class PieceIndex:
         while offset + right < n and place + right < m and item[offset + right] == body[place + right]:
             right += 1
         run = left + right
-        if run >= self.min_words:
-            return place + right, (run, 0)
         if run < self.least:
             return place + right, None
-        # A passage that cuts the run is no closer than the one moved along to hold all of it; and as
-        # the words on both sides of the run differ, one edit allows to go on to one side only.
+        # A passage that cuts the run is no closer than the one moved along to hold all of it, or to lie in
+        # it; and as the words on both sides of the run differ, one edit allows to go on to one side only.
         distance, size = self.budget + 1, self.min_words
         first, last = max(0, offset + right - size), min(offset - left, n - size)
-        for start in {first, last} if self.budget == 1 else range(first, last + 1):
-            if start <= offset - left and start + size >= offset + right:
+        for start in {last} if run >= size else {first, last} if self.budget == 1 else range(first, last + 1):
+            if run >= size or (start <= offset - left and start + size >= offset + right):
                 at = place - (offset - start)
                 region = body[max(0, at - self.budget) : at + size + self.budget]
                 distance = min(distance, myers(item[start : start + size], region))
@@ -146,14 +146,12 @@ class PieceIndex:
 _INDEXES: dict[str, PieceIndex] = {}
 
 
-def _blocks(items: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``limit`` bytes of text, read one block at a time."""
+def _blocks(items: DataFrame, limit: int) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
+    """The number of blocks of about ``limit`` bytes of text, and how to read one of them."""
     rows = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    count = max(1, -(-int(total) * 2 // limit))
-    if count == 1:
-        return [[tuple(r) for r in rows.collect()]]
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).collect()] for b in range(count)]
+    count = max(1, -(-int(total) // limit))
+    return count, lambda block: [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, budget: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -167,8 +165,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, budg
     """
     spark, parts = documents.sparkSession, []
     bodies = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    for block in _blocks(items, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+    count, read = _blocks(items, block_bytes)
+    work = Workspace(spark, "leaks") if count > 1 else None
+    for block in range(count):
+        shared = spark.sparkContext.broadcast(read(block))
         name = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}-{min_words}-{budget}"
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
@@ -181,11 +181,18 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, budg
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _FOUND.types)], schema=_FOUND)
 
-        parts.append(bodies.mapInArrow(run, "doc_id long, item_id long, run int, distance int"))
+        part = bodies.mapInArrow(run, "doc_id long, item_id long, run int, distance int")
+        if work is not None:
+            part = work.save(part, f"block-{block}")
+            shared.unpersist()
+        parts.append(part)
     found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("distance").alias("distance"))
 
 
 def exact_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12) -> DataFrame:
-    """Documents that hold at least ``min_words`` consecutive words of an item, letter for letter after folding."""
+    """Documents that hold at least ``min_words`` consecutive words of an item, letter for letter after folding.
+
+    The passages are those that the distance lets through; the exact check of their runs comes last.
+    """
     return find_leaks(documents, items, min_words).where(F.col("run") >= min_words).select("doc_id", "item_id")
