@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import base64
 import bisect
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Where the public tokenizer's ranks lie, and the pattern that splits text before merging.
+#: Where the public tokenizer's ranks lie on the driver, and the pattern that splits text before merging.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CAPACITY = 2048
@@ -44,6 +46,15 @@ def token_count(text: str | None, path: str = TOKENIZER) -> int:
     return len(encoder(path).encode_ordinary(text)) if text else 0
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Send the rank file to all executors, once; returns the name it goes by there."""
+    context, name = spark.sparkContext, os.path.basename(path)
+    if name not in (sent := getattr(context, "_tokenizers_sent", set())):
+        context.addFile(path)
+        context._tokenizers_sent = sent | {name}
+    return name
+
+
 class SumOfSquares:
     """Open windows by fill level; ``place`` returns a window that has become full, if any.
 
@@ -114,14 +125,16 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity
     than a window give one row per piece, numbered from 0, all but the last filling a window.
     Defined cases: null and empty texts have 0 tokens and come out in a window of their
     split that takes no room for them; repeated ``key`` values are packed once per row; no
-    document is ever split unless it exceeds the capacity; an empty table gives no rows.
+    document is ever split unless it exceeds the capacity; an empty table gives no rows. The rank
+    file ``tokenizer`` need lie on the driver only.
     """
+    shipped = ship(documents.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, count = TaskContext.get(), 0
         split = context.partitionId() if context else 0
         packer, rows, empty = SumOfSquares(capacity), [], []
-        encode = encoder(tokenizer).encode_ordinary
+        encode = encoder(SparkFiles.get(shipped)).encode_ordinary
 
         def put(window: list) -> None:
             nonlocal count
@@ -157,3 +170,17 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity
             yield out()
 
     return documents.select(documents[key].cast("long").alias("doc_id"), documents[text].alias("text")).mapInArrow(run, "doc_id long, piece int, window string, offset int, n_tokens int")
+
+
+def packing_faults(packed: DataFrame, capacity: int = CAPACITY, least: float = 0.98) -> DataFrame:
+    """One row of what must hold of any packing, counted where it does not.
+
+    ``placed`` documents; windows ``over_capacity``; documents ``split_needlessly`` (in several pieces
+    although they fit); pieces ``not_full`` before a document's last; windows with ``gaps`` or
+    overlaps between their documents; and whether windows are ``well_filled`` on the whole.
+    """
+    windows = packed.where("n_tokens > 0").groupBy("window").agg(F.sum("n_tokens").alias("used"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"), F.count_distinct("offset").alias("starts"), F.count(F.lit(1)).alias("items"))
+    over = windows.agg(F.count_if(F.col("used") > capacity).alias("over_capacity"), F.count_if((F.col("used") != F.col("end")) | (F.col("starts") != F.col("items"))).alias("gaps"), (F.coalesce(F.avg("used"), F.lit(capacity)) >= least * capacity).alias("well_filled"))
+    documents = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.count_if(F.col("n_tokens") < capacity).alias("short"))
+    split = documents.agg(F.count(F.lit(1)).alias("placed"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).alias("split_needlessly"), F.coalesce(F.sum(F.when(F.col("pieces") > 1, F.greatest(F.col("short") - 1, F.lit(0)))), F.lit(0)).cast("long").alias("not_full"))
+    return split.withColumn("one", F.lit(1)).join(F.broadcast(over.withColumn("one", F.lit(1))), "one").drop("one")

@@ -34,6 +34,10 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.agg(F.count(F.lit(1)).alias("windows"), F.sum("used").alias("tokens"), (F.sum("used") / F.count(F.lit(1)) / F.lit(packing.CAPACITY)).alias("fill"))
 
 
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_faults(p6_packed(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.exact_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,11 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, table(spark, sf_dir, "documents"), signs=True)
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_matches": p5_matches, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_statistics": p8_statistics}
+def p8_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.plain_statistics(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p5_found": p5_found, "p5_matches": p5_matches, "p6_packed": p6_packed, "p6_fill": p6_fill, "p6_faults": p6_faults, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_plain": p8_plain}
 
 _TERMS = """WITH total AS (SELECT count(DISTINCT id) AS n FROM nodes),
 tokens AS (
@@ -62,4 +70,9 @@ marked AS (SELECT field, term, occurrences, records, CASE WHEN records <= 2 THEN
 ORACLES = {
     "p4_found": _TERMS + " SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_terms": _TERMS + " SELECT field, term, occurrences, records, mark FROM marked",
+    # what must hold of any packing, whatever the tokenizer
+    "p6_faults": "SELECT count(DISTINCT doc_id) AS placed, 0::BIGINT AS split_needlessly, 0::BIGINT AS not_full, 0::BIGINT AS over_capacity, 0::BIGINT AS gaps, true AS well_filled FROM documents",
+    "p8_plain": r"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\r\f\v]')) AS l FROM documents WHERE regexp_matches(text, '[^ \t\n\r\f\v]')),
+c AS (SELECT *, length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')) AS visible FROM d)
+SELECT doc_id, len(w) AS words, visible / len(w) AS word_length, length(regexp_replace(text, '[\p{L}\p{N}_ \t\n\r\f\v]', '', 'g')) / visible AS symbol_ratio, len(list_filter(l, lambda x: regexp_matches(x, '[.!?…][ \t\r\f\v]*$'))) / len(l) AS ended_lines FROM c""",
 }

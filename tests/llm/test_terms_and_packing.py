@@ -88,3 +88,14 @@ def test_a_window_takes_an_exact_fit():
     assert packer.place("a", 6) is None and packer.place("b", 4) == [10, ("a", 6), ("b", 4)] and packer.place("c", 10) == [10, ("c", 10)]
     assert packer.place("d", 3) is None and packer.close() == [[3, ("d", 3)]] and packer.close() == []
     assert packing.pieces(25, 10) == [10, 10, 5] and packing.pieces(20, 10) == [10, 10] and packing.pieces(10, 10) == [10]
+
+
+def test_faults_of_a_packing_are_counted(spark):
+    schema = "doc_id long, piece int, window string, offset int, n_tokens int"
+    good = [(1, 0, "a", 0, 6), (2, 0, "a", 6, 4), (3, 0, "b", 0, 10), (3, 1, "c", 0, 7), (4, 0, "a", 0, 0)]
+    row = packing.packing_faults(spark.createDataFrame(good, schema), 10, 0.9).first()
+    assert tuple(row[c] for c in ("placed", "split_needlessly", "not_full", "over_capacity", "gaps", "well_filled")) == (4, 0, 0, 0, 0, True)
+    bad = [(1, 0, "a", 0, 6), (2, 0, "a", 5, 6), (3, 0, "b", 0, 3), (3, 1, "c", 1, 4), (3, 2, "d", 0, 2)]
+    row = packing.packing_faults(spark.createDataFrame(bad, schema), 10, 0.9).first()
+    assert (row["split_needlessly"], row["not_full"], row["over_capacity"], row["gaps"], row["well_filled"]) == (1, 2, 1, 2, False)
+    assert packing.packing_faults(spark.createDataFrame([], schema), 10).first()["placed"] == 0
