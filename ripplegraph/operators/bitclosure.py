@@ -1,17 +1,21 @@
 """Closures of many sources at once, with the sources as bits.
 
-A node's state is a few machine words in which each bit stands for a source that reaches it,
-so a round moves one row per node and not one per source and node: new bits go along the
-edges and are merged by ``bit_or``, which combines before the shuffle. Confidences are kept
+A node's state is a few machine words in which each bit stands for a source that reaches it.
+The state lies in buckets by node and is never shuffled: a round sends only the bits that are
+new along the edges, which lie in buckets too, and merges what arrives, combined by ``bit_or``
+before the shuffle, with the state where it lies. Confidences are kept
 by levels: the bits of level L are the sources that reach the node over edges of at least L,
-hence a source's confidence is the highest level that holds its bit. Sources are taken in
-batches of as many bits as keep the rows narrow.
+hence a source's confidence is the highest level that holds its bit. Levels do not depend on
+each other, so many of them are taken in groups; sources are taken in
+batches of as many bits as keep the rows narrow. Groups and batches run side by side.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import count
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,11 +23,14 @@ from pyspark.sql import functions as F
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
 from ripplegraph.session import Workspace, default_parallelism, save_observed
 
-SALTS = 8
 #: Columns of words in a row; batches are cut so that levels times words stay within it.
 MOST_WORDS = 32
-#: Confidence levels that are kept as bits; relations with more go through the general loop.
-MOST_LEVELS = 8
+#: Confidence levels in a row; more are walked in groups.
+LEVELS_AT_ONCE = 8
+#: Relations of more distinct confidences than that go through the general loop.
+MOST_LEVELS = 64
+#: Walks that run at the same time.
+SIDE_BY_SIDE = 4
 
 
 def positions(rows: DataFrame, key: str) -> DataFrame:
@@ -55,56 +62,78 @@ def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_
     fresh; a closure that needs more than ``max_rounds``, where given, is an error.
     """
     spark = seeds.sparkSession
-    work = Workspace(spark, "bits")
+    work, buckets = Workspace(spark, "bits"), default_parallelism(spark)
     clean = work.save(seeds.where("id is not null and source_key is not null").select("source_key", "id").distinct(), "seeds")
     keys = clean.select("source_key").distinct()
-    hot = hot_keys(relation.select("frm"))
-    edges = relation.where("frm is not null and nxt is not null").select("frm", "nxt", "ec").distinct().withColumn("salt", salt_of(F.col("frm"), F.col("nxt"), hot, SALTS))
-    edges = work.save(edges, "relation")
     total = keys.count()
     if not total:
         return clean.select("source_key", "id", F.lit(1.0).alias("conf"))
-    words = max(1, min(MOST_WORDS // len(levels), -(-total // 64)))
+    hot = hot_keys(relation.select("frm"))
+    salt = salt_of(F.col("frm"), F.col("nxt"), hot, buckets)
+    edges = relation.where("frm is not null and nxt is not null").select("frm", "nxt", "ec").distinct().select(slot_of(F.col("frm"), salt).alias("slot"), "nxt", "ec")
+    edges = work.save_bucketed(edges, "relation", "slot", buckets)
     numbered = work.save(clean.join(positions(keys, "source_key"), "source_key"), "numbered")
     names = work.save(numbered.select("source_key", "position").distinct(), "names")
-    parts = []
-    for batch in range(-(-total // (words * 64))):
+    walks = []
+    for first in range(0, len(levels), LEVELS_AT_ONCE):
+        some = levels[first : first + LEVELS_AT_ONCE]
+        words = max(1, min(MOST_WORDS // len(some), -(-total // 64)))
+        walks += [(some, words, batch) for batch in range(-(-total // (words * 64)))]
+
+    def walk(k: int) -> DataFrame:
+        some, words, batch = walks[k]
         mine = numbered.where(F.floor(F.col("position") / (words * 64)) == batch).withColumn("bit", (F.col("position") % (words * 64)).cast("int"))
-        state = _walk(work, f"b{batch}", mine, edges, hot, levels, words, max_rounds)
+        state = _walk(work, f"w{k}", mine, edges, hot, some, words, buckets, max_rounds)
         # packed, the state is small and lies in few files; unpacked, it is the size of the result
-        parts.append(_unpack(state.repartition(default_parallelism(spark), "id"), levels, words, batch * words * 64))
+        return _unpack(state.repartition(buckets, "id"), some, words, batch * words * 64)
+
+    try:
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            parts = list(pool.map(inheritable_thread_target(spark)(walk), range(len(walks))))
+    finally:
+        work.forget()
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
+    if len(levels) > LEVELS_AT_ONCE:
+        found = found.groupBy("position", "id").agg(F.max("conf").alias("conf"))
     return found.join(names, "position").select("source_key", "id", "conf")
 
 
-def _walk(work: Workspace, name: str, seeds: DataFrame, edges: DataFrame, hot: list[str], levels: list[float], words: int, max_rounds: int | None) -> DataFrame:
+def slot_of(key, salt):
+    """Where a node's edges lie: under its own name, or, for a hot node, under one name per salt."""
+    return F.when(salt == 0, key).otherwise(F.concat(key, F.lit("\u0001"), salt.cast("string")))
+
+
+def _walk(work: Workspace, name: str, seeds: DataFrame, edges: DataFrame, hot: list[str], levels: list[float], words: int, buckets: int, max_rounds: int | None) -> DataFrame:
     cells = [f"{k}_{w}" for k in range(len(levels)) for w in range(words)]
     level = {f"{k}_{w}": levels[k] for k in range(len(levels)) for w in range(words)}
     # whole expressions as text: rounds are many and short, and building columns one by one would rule them
     own = [F.expr(f"bit_or(case when floor(bit / 64) = {w} then shiftleft(1L, bit % 64) else 0L end) as s{w}") for w in range(words)]
     word = lambda c: f"s{c.split('_')[1]}"
     first = seeds.groupBy("id").agg(*own).selectExpr("id", *(f"{word(c)} as w{c}" for c in cells), *(f"{word(c)} as d{c}" for c in cells), "true as fresh")
-    state = work.save(first, f"{name}-0")
-    salts = salts_of(F.col("id"), hot, SALTS)
-    passed = [f"case when ec is null or ec >= {level[c]!r}D then d{c} else 0L end as c{c}" for c in cells]
-    merge = [F.expr(f"bit_or({p}{c}) as {p}{c}") for p in "co" for c in cells]
-    fresh = " or ".join(f"c{c} <> o{c}" for c in cells)
+    state = work.save_bucketed(first, f"{name}_0", "id", buckets)
+    salts = salts_of(F.col("id"), hot, buckets)
+    passed = [f"bit_or(case when ec is null or ec >= {level[c]!r}D then d{c} else 0L end) as c{c}" for c in cells]
+    kept = [f"coalesce(w{c}, 0L) | coalesce(c{c}, 0L) as w{c}" for c in cells]
+    new = [f"coalesce(c{c}, 0L) & ~coalesce(w{c}, 0L) as d{c}" for c in cells]
+    fresh = " or ".join(f"coalesce(c{c}, 0L) & ~coalesce(w{c}, 0L) <> 0L" for c in cells)
     for k in count(1):
         if max_rounds is not None and k > max_rounds:
             raise RuntimeError(f"rows are still fresh after {max_rounds} rounds")
-        frontier = state.where("fresh").select(F.col("id").alias("frm"), *(f"d{c}" for c in cells), F.explode(salts).alias("salt"))
-        found = frontier.join(edges, ["frm", "salt"]).selectExpr("nxt as id", *passed, *(f"0L as o{c}" for c in cells))
-        held = state.selectExpr("id", *(f"w{c} as c{c}" for c in cells), *(f"w{c} as o{c}" for c in cells))
-        merged = found.union(held).groupBy("id").agg(*merge)
-        after = merged.selectExpr("id", *(f"c{c} as w{c}" for c in cells), *(f"c{c} & ~o{c} as d{c}" for c in cells), f"{fresh} as fresh")
-        state, n_fresh = save_observed(work, after, f"{name}-{k}", "fresh")
+        ahead = state.where("fresh").select("id", *(f"d{c}" for c in cells))
+        if hot:
+            ahead = ahead.select("*", F.explode(salts).alias("salt")).withColumn("slot", slot_of(F.col("id"), F.col("salt")))
+        else:  # the fresh rows lie as the edges do
+            ahead = ahead.withColumnRenamed("id", "slot")
+        found = ahead.join(edges, "slot").groupBy(F.col("nxt").alias("id")).agg(*map(F.expr, passed))
+        after = state.select("id", *(f"w{c}" for c in cells)).join(found, "id", "full").selectExpr("id", *kept, *new, f"{fresh} as fresh")
+        state, n_fresh = save_observed(work, after, f"{name}_{k}", "fresh", ("id", buckets))
         if k > 1:
-            work.drop(f"{name}-{k - 2}")
+            work.drop(f"{name}_{k - 2}")
         if not n_fresh:
             break
-    return state
+    return work.plain(f"{name}_{k}", state)
 
 
 def _unpack(state: DataFrame, levels: list[float], words: int, base: int) -> DataFrame:

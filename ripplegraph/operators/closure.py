@@ -1,9 +1,9 @@
 """Widest-path closures over a cyclic relation: a semi-naive loop of DataFrame rounds.
 
 All sources are walked in one loop, keyed by ``source_key``. The state holds the best
-``(conf, cap)`` per key and id; a round joins only what improved in the last one with the
-relation, merges candidates and state in one grouped maximum, and writes the result to the
-shared folder. A dominated row is dropped at once: should it tie further on, the tying edge
+``(conf, cap)`` per key and id, and lies in buckets by both, so that it is never shuffled: a round
+joins only what improved in the last one with the relation, which lies in buckets too, takes the
+best candidate per key and id, and merges it with the state bucket by bucket. A dominated row is dropped at once: should it tie further on, the tying edge
 is no wider than it, and both rows would take that edge's token. Ties of confidence go to
 the lexicographically larger cap.
 """
@@ -15,11 +15,11 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.bitclosure import bit_closure, levels_of
+from ripplegraph.operators.bitclosure import bit_closure, levels_of, slot_of
 from ripplegraph.operators.skew import hot_keys, salt_of, salts_of
-from ripplegraph.session import Workspace, save_observed
+from ripplegraph.session import Workspace, default_parallelism, save_observed
 
-SALTS = 8
+KEY = ["source_key", "id"]
 
 
 def widest_closure(seeds: DataFrame, relation: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -31,31 +31,35 @@ def widest_closure(seeds: DataFrame, relation: DataFrame, max_rounds: int | None
     than ``max_rounds``, where given, is an error.
     """
     spark = seeds.sparkSession
-    work = Workspace(spark, "closure")
-    hot = hot_keys(relation.select("frm"))
-    spread = relation.where("frm is not null and nxt is not null").withColumn("salt", salt_of(F.col("frm"), F.col("nxt"), hot, SALTS))
-    spread = work.save(spread, "relation")
+    work, buckets = Workspace(spark, "closure"), default_parallelism(spark)
+    start = seeds.where("id is not null").select(*KEY).distinct()
     best = F.struct(F.lit(1.0).alias("conf"), F.lit("").alias("cap"))
-    start = seeds.where("id is not null").select("source_key", "id").distinct().select("source_key", "id", best.alias("best"), F.lit(True).alias("fresh"))
-    state = work.save(start, "state-0")
+    state = work.save_bucketed(start.select(*KEY, best.alias("best"), F.lit(True).alias("fresh")), "state_0", KEY, buckets)
     if state.isEmpty():
-        return _result(state)
-    for k in count(1):
-        if max_rounds is not None and k > max_rounds:
-            raise RuntimeError(f"rows are still fresh after {max_rounds} rounds")
-        frontier = state.where("fresh").select("source_key", F.col("id").alias("frm"), "best", F.explode(salts_of(F.col("id"), hot, SALTS)).alias("salt"))
-        conf, cap, ec = F.col("best.conf"), F.col("best.cap"), F.col("ec")
-        step = F.struct(F.least(conf, ec).alias("conf"), F.when(ec.isNull() | (ec > conf), cap).otherwise(F.col("ecap")).alias("cap"))
-        found = frontier.join(spread, ["frm", "salt"]).select("source_key", F.col("nxt").alias("id"), step.alias("best"), F.lit(None).cast(state.schema["best"].dataType).alias("old"))
-        held = state.select("source_key", "id", "best", F.col("best").alias("old"))
-        merged = found.unionByName(held).groupBy("source_key", "id").agg(F.max("best").alias("best"), F.max("old").alias("old"))
-        after = merged.select("source_key", "id", "best", (F.col("old").isNull() | (F.col("best") > F.col("old"))).alias("fresh"))
-        state, fresh = save_observed(work, after, f"state-{k}", "fresh")
-        if k > 1:
-            work.drop(f"state-{k - 2}")
-        if not fresh:
-            break
-    return _result(state)
+        work.forget()
+        return _result(work.plain("state_0", state))
+    hot = hot_keys(relation.select("frm"))
+    salt = salt_of(F.col("frm"), F.col("nxt"), hot, buckets)
+    spread = relation.where("frm is not null and nxt is not null").select(slot_of(F.col("frm"), salt).alias("slot"), "nxt", "ec", "ecap")
+    spread = work.save_bucketed(spread, "relation", "slot", buckets)
+    conf, cap, ec = F.col("best.conf"), F.col("best.cap"), F.col("ec")
+    step = F.struct(F.least(conf, ec).alias("conf"), F.when(ec.isNull() | (ec > conf), cap).otherwise(F.col("ecap")).alias("cap"))
+    fresh = F.col("found").isNotNull() & (F.col("best").isNull() | (F.col("found") > F.col("best")))
+    try:
+        for k in count(1):
+            if max_rounds is not None and k > max_rounds:
+                raise RuntimeError(f"rows are still fresh after {max_rounds} rounds")
+            ahead = state.where("fresh").select("source_key", "best", "id", F.explode(salts_of(F.col("id"), hot, buckets)).alias("salt"))
+            ahead = ahead.select("source_key", "best", slot_of(F.col("id"), F.col("salt")).alias("slot"))
+            found = ahead.join(spread, "slot").select("source_key", F.col("nxt").alias("id"), step.alias("step")).groupBy(*KEY).agg(F.max("step").alias("found"))
+            after = state.select(*KEY, "best").join(found, KEY, "full").select(*KEY, F.greatest("best", "found").alias("best"), fresh.alias("fresh"))
+            state, n_fresh = save_observed(work, after, f"state_{k}", "fresh", (KEY, buckets))
+            if k > 1:
+                work.drop(f"state_{k - 2}")
+            if not n_fresh:
+                return _result(work.plain(f"state_{k}", state))
+    finally:
+        work.forget()
 
 
 def _result(state: DataFrame) -> DataFrame:
@@ -63,8 +67,8 @@ def _result(state: DataFrame) -> DataFrame:
 
 
 def confidences(seeds: DataFrame, relation: DataFrame) -> DataFrame:
-    """Widest confidence without its cap: ``source_key, id, conf``. Relations with a few
-    distinct confidences go with sources as bits, others through the general loop."""
+    """Widest confidence without its cap: ``source_key, id, conf``. Sources go as bits, in groups of
+    confidence levels; a relation of very many distinct confidences goes through the general loop."""
     levels = levels_of(relation)
     return bit_closure(seeds, relation, levels) if levels else widest_closure(seeds, relation).select("source_key", "id", "conf")
 

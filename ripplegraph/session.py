@@ -82,6 +82,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self._tables: dict[str, str] = {}
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -94,6 +95,24 @@ class Workspace:
         writer.parquet(self.at(name))
         return self.load(name, df)
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str | list[str], buckets: int) -> DataFrame:
+        """Write ``df`` in ``buckets`` by hash of its ``key``, sorted by it: joins on the key read it as it lies,
+        without a shuffle. It is known to the catalog, under a name of its own, until it is dropped."""
+        label = self.path.rsplit("/", 1)[-1].replace("-", "_") + "_" + name.replace("-", "_")
+        df.write.format("parquet").mode("overwrite").option("path", self.at(name)).bucketBy(buckets, key).sortBy(key).saveAsTable(label)
+        self._tables[name] = label
+        return self.spark.table(label)
+
+    def forget(self, *names: str) -> None:
+        """Take bucketed tables, all if none is named, out of the catalog; their files stay."""
+        for name in names or list(self._tables):
+            if label := self._tables.pop(name, None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {label}")
+
+    def plain(self, name: str, like: DataFrame) -> DataFrame:
+        """The files of a bucketed table, whatever the catalog knows of it."""
+        return self.spark.read.schema(like.schema).parquet(self.at(name))
+
     def load(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.at(name))
 
@@ -104,6 +123,7 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
+        self.forget(name)
         files, path = self._place(name)
         files.delete(path, True)
 
@@ -131,13 +151,15 @@ class Workspace:
             source.close()
 
 
-def save_observed(work: Workspace, df: DataFrame, name: str, flag: str) -> tuple[DataFrame, int]:
-    """Write ``df`` and count the rows with ``flag`` set, in the same job where that is possible.
+def save_observed(work: Workspace, df: DataFrame, name: str, flag: str, bucketed: tuple[str | list[str], int] | None = None) -> tuple[DataFrame, int]:
+    """Write ``df`` (in buckets, if a key and their number are given) and count the rows with ``flag``
+    set, in the same job where that is possible.
 
     The plan of an empty input may have no place left to count in; then the written table is asked.
     """
     seen = Observation()
-    saved = work.save(df.observe(seen, F.count_if(flag).alias("n")), name)
+    counted = df.observe(seen, F.count_if(flag).alias("n"))
+    saved = work.save_bucketed(counted, name, *bucketed) if bucketed else work.save(counted, name)
     try:
         return saved, int(seen.get["n"])
     except (Py4JError, KeyError):

@@ -122,6 +122,23 @@ def test_bits_agree_with_the_general_loop(spark, seed):
     assert wide == bits
 
 
+@pytest.mark.parametrize("levels", [3, 12])
+def test_hot_nodes_and_many_levels(spark, monkeypatch, levels):
+    """A hub whose edges are spread by salt, and more confidences than a row holds."""
+    rnd = random.Random(levels)
+    some = [round(0.05 * (k + 1), 2) for k in range(levels)]
+    edges = [("hub", f"n{k}", rnd.choice(some), "") for k in range(60)] + [(f"n{rnd.randrange(60)}", rnd.choice(["hub", f"n{rnd.randrange(60)}"]), rnd.choice(some), "") for _ in range(60)]
+    relation = spark.createDataFrame(edges, "frm string, nxt string, ec double, ecap string")
+    seeds = spark.createDataFrame([(f"k{k}", f"n{rnd.randrange(60)}") for k in range(20)], "source_key string, id string")
+    rows = lambda df: {(r["source_key"], r["id"]): r["conf"] for r in df.collect()}
+    want = rows(closure.widest_closure(seeds, relation))
+    for module in (closure, bitclosure):
+        monkeypatch.setattr(module, "hot_keys", lambda keys: ["hub"])
+    assert rows(closure.widest_closure(seeds, relation)) == want
+    assert rows(bitclosure.bit_closure(seeds, relation, bitclosure.levels_of(relation))) == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("closure_", "bits_"))]
+
+
 def test_a_closure_is_whole_or_an_error(spark):
     chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}", 1.0, "") for k in range(5)], "frm string, nxt string, ec double, ecap string")
     seeds = spark.createDataFrame([("s", "n0")], "source_key string, id string")
