@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import labels, paths
-from ripplegraph.operators import attribution, closure, graph, impact, journeys, ledger, rules, scoring
+from ripplegraph.operators import attribution, closure, evaluation, graph, impact, journeys, ledger, rules, scoring
 from ripplegraph.sources import diff, ledger_io, source_code
+from ripplegraph.sources.sinks import exit_code
 
 
 @dataclass
@@ -43,9 +44,7 @@ def select(nodes: DataFrame, edges: DataFrame, flows: DataFrame, entries: DataFr
     by_line = impact.seeds_of_hunks(ranges.select("file_path", "lo", "hi"), nodes)
     seeds = by_line.unionByName(impact.seeds_of_files(whole.select("file_path"), nodes)).distinct()
     changed = ranges.select("file_path").unionByName(whole.select("file_path")).distinct()
-    lost = impact.unmapped(changed, seeds)
-    if drifted is not None:
-        lost = lost.unionByName(changed.join(drifted.select(F.col("path").alias("file_path")), "file_path", "left_semi")).distinct()
+    lost = impact.lost_files(changed, seeds, drifted)
     relation = graph.impact_relation(edges, nodes)
     reached = closure.widest_closure(seeds.select(F.lit("all").alias("source_key"), "id"), relation)
     resolved = journeys.resolve_entries(entries, nodes)
@@ -87,6 +86,20 @@ def summarize(spark, path: str, legacy_path: str | None = None, repo: str | None
     return ledger.totals(judged), ledger.history(judged)
 
 
+@dataclass
+class Draft:
+    """Flows found in source files. ``flows``: ``journey_id, file, name, title, id, fan_in``; ``unresolved``:
+    handlers the graph does not know, with a reason; ``blind_spots``: what the search cannot see."""
+
+    flows: DataFrame
+    unresolved: DataFrame
+    blind_spots: DataFrame
+
+
+# Files of these kinds may hold entry points that no reader here finds.
+UNREAD_EXTENSIONS = r"\.(svelte|vue|mjs|cjs|mts|cts|js|jsx|ts|tsx)$"
+
+
 def propose(sources: DataFrame, nodes: DataFrame) -> DataFrame:
     """A draft of flows from source files: ``journey_id, file, name, title, id``; ``id`` is null
     where the graph does not know the handler."""
@@ -100,6 +113,53 @@ def propose(sources: DataFrame, nodes: DataFrame) -> DataFrame:
     return titled.join(known, "journey_id")
 
 
+def draft(sources: DataFrame, nodes: DataFrame, edges: DataFrame) -> Draft:
+    """``propose``, told apart: flows that can be registered as they are, ordered by file and id with
+    the callers of all nodes of their name; handlers that cannot; and what was not looked into."""
+    rows = propose(sources, nodes)
+    asked = rows.select(F.lit(None).cast("string").alias("target"), "journey_id", F.col("journey_id").alias("journey"), "name", "file")
+    callers = graph.caller_counts(edges).select(F.col("target").alias("node"), "callers")
+    fan_in = journeys.resolve_entries(asked, nodes).select("journey_id", F.col("id").alias("node")).join(callers, "node", "left").groupBy("journey_id").agg(F.coalesce(F.sum("callers"), F.lit(0)).cast("long").alias("fan_in"))
+    flows = rows.where("id is not null").join(fan_in, "journey_id").orderBy("file", "journey_id")
+    lost = rows.where("id is null").select("file", "name", "title", F.lit("no node in the index").alias("reason"))
+    broken = source_code.route_handlers(sources.where(F.col("path").endswith(".py"))).where("name is null").select(F.lit("does not parse").alias("what"), "path")
+    read = rows.select(F.col("file").alias("path")).distinct()
+    unread = sources.where(F.col("path").rlike(UNREAD_EXTENSIONS) & paths.is_product_path(F.col("path"))).join(read, "path", "left_anti").select(F.lit("no entry point was looked for or found").alias("what"), "path")
+    return Draft(flows, lost, broken.unionByName(unread))
+
+
+def accuracy(answers: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Recall and worst rank per seeded site, and their summary in one row."""
+    scores = evaluation.seeded_scores(answers, expected)
+    return scores, evaluation.seeded_summary(scores)
+
+
+def couple(nodes: DataFrame, edges: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` flows deepest in what most flows share, and the ``k`` farthest from it."""
+    starts = journeys.resolve_entries(entries, nodes).where("id is not null").select(F.col("journey").alias("source_key"), "id")
+    return scoring.arms(closure.reachable(starts, graph.dependency_relation(edges)), k)
+
+
+def unit_vs_journey(unit: DataFrame, real: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per flow what unit tests and a real run reach (``journey, relpath, qualname`` each): both, either alone."""
+
+    def resolved(traced: DataFrame) -> DataFrame:
+        hit = attribution.resolve_harness(traced, nodes).where("id is not null")
+        return traced.join(hit, ["relpath", "qualname"]).select("journey", "id").distinct()
+
+    return evaluation.unit_against_real(resolved(unit), resolved(real))
+
+
+def check_push(selection: Selection, verified: DataFrame | None = None) -> int:
+    """The exit code of a hook: 2 refused, 1 a flow failed, 3 a flow is not verified, else 0."""
+    state = selection.status.first()["status"]
+    counts = (0, 0)
+    if verified is not None:
+        counts = verified.agg(F.count_if(F.col("verdict") == "fail"), F.count_if(~F.col("verdict").isin("fail", "pass"))).first()
+    row = selection.status.select(exit_code(F.lit(state == "BLOCKED"), F.lit(counts[0]), F.lit(counts[1]), F.lit(False)).alias("code"))
+    return row.first()["code"]
+
+
 def verify(selected: DataFrame, declared: DataFrame, traced: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each selected flow with its verdict: pass, fail, skip or uncovered.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplegraph.operators.bitclosure import positions
 from ripplegraph.operators.journeys import suffix_match
 from ripplegraph.session import Workspace
 
@@ -168,14 +169,27 @@ def static_misses(traced: DataFrame, footprints: DataFrame) -> DataFrame:
     return ran.join(footprints.select(F.col("source_key").alias("journey"), "id"), ["journey", "id"], "left_anti")
 
 
+def test_words(present: DataFrame) -> DataFrame:
+    """The tests of each node as bits: ``id, word, bits``, one row per 64 tests that hold one of its own."""
+    ran = Workspace(present.sparkSession, "ran").save(present.where("test is not null").select("id", "test").distinct(), "ran")
+    placed = ran.join(positions(ran.select("test").distinct(), "test"), "test")
+    bit = F.expr("shiftleft(1L, cast(position % 64 as int))")
+    return placed.groupBy("id", F.floor(F.col("position") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
 def runtime_support(edges: DataFrame, present: DataFrame) -> DataFrame:
     """``id, support``: 'observed' if one test ran both ends, 'not-observed' if only the source
-    was ever run, else 'untested'. Meets on the source's tests, then on (target, test)."""
-    ran = present.select("id", "test").distinct()
-    source_tests = edges.select("id", "source", "target").join(ran.select(F.col("id").alias("source"), "test"), "source")
-    both = source_tests.join(ran.select(F.col("id").alias("target"), "test"), ["target", "test"], "left_semi").select("id").distinct()
-    tested = ran.select(F.col("id").alias("source")).distinct().withColumn("tested", F.lit(True))
-    marked = edges.join(both.withColumn("observed", F.lit(True)), "id", "left").join(tested, "source", "left")
+    was ever run, else 'untested'.
+
+    Tests go as bits, 64 to a row, so that a source that many tests ran and that has many edges
+    meets each of them with few rows; edges between the same two ends are asked once.
+    """
+    words = Workspace(edges.sparkSession, "words").save(test_words(present), "words")
+    ends = edges.select("source", "target").distinct()
+    both = ends.join(words.select(F.col("id").alias("source"), "word", "bits"), "source").join(words.select(F.col("id").alias("target"), "word", F.col("bits").alias("other")), ["target", "word"])
+    seen = both.where(F.col("bits").bitwiseAND(F.col("other")) != 0).select("source", "target", F.lit(True).alias("observed")).distinct()
+    tested = words.select(F.col("id").alias("source"), F.lit(True).alias("tested")).distinct()
+    marked = edges.join(seen, ["source", "target"], "left").join(tested, "source", "left")
     return marked.select("id", F.when(F.col("observed"), "observed").when(F.col("tested"), "not-observed").otherwise("untested").alias("support"))
 
 

@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import closure, graph, impact, journeys
-from ripplegraph.session import Workspace, table
+from ripplegraph.session import SharedTables, Workspace, table
 
 
 class Inputs:
-    """The cleaned tables of one run, written once to the shared folder as they are needed."""
+    """The cleaned tables of one run, written once to the shared folder as they are needed.
+
+    The cleaned graph is the same for all queries of a session and is shared by them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.work = Workspace(spark, "inputs")
         self._held: dict[str, DataFrame] = {}
+        self.graph = SharedTables(spark, [f"{sf_dir}/{name}.parquet" for name in ("nodes", "edges")])
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._held:
@@ -29,11 +33,11 @@ class Inputs:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._once("nodes", lambda: graph.symbols(table(self.spark, self.dir, "nodes")))
+        return self.graph.get("nodes", lambda: graph.symbols(table(self.spark, self.dir, "nodes")))
 
     @property
     def edges(self) -> DataFrame:
-        return self._once("edges", lambda: graph.links(table(self.spark, self.dir, "edges")))
+        return self.graph.get("edges", lambda: graph.links(table(self.spark, self.dir, "edges")))
 
     @property
     def candidates(self) -> DataFrame:
@@ -66,7 +70,7 @@ class Inputs:
 
     @property
     def impact(self) -> DataFrame:
-        return self._once("impact", lambda: graph.impact_relation(self.edges, self.nodes))
+        return self.graph.get("impact", lambda: graph.impact_relation(self.edges, self.nodes))
 
     @property
     def reached(self) -> DataFrame:

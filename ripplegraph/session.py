@@ -166,6 +166,37 @@ def save_observed(work: Workspace, df: DataFrame, name: str, flag: str, bucketed
         return saved, saved.where(flag).count()
 
 
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table's files from another: their names, sizes and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(at))) if files.exists(at) else ()
+
+
+class SharedTables:
+    """Tables derived from others, written once per session and used by all queries that need them.
+
+    A table is made anew when the files it came from have changed, or its own are gone.
+    """
+
+    _made: dict[tuple, tuple] = {}
+
+    def __init__(self, spark: SparkSession, sources: list[str]):
+        self.spark = spark
+        self.key = (spark.sparkContext.applicationId, *((p, fingerprint(spark, p)) for p in sources))
+
+    def get(self, name: str, make) -> DataFrame:
+        key = (*self.key, name)
+        if key in self._made:
+            work, schema = self._made[key]
+            if "_SUCCESS" in work.names(name):
+                return self.spark.read.schema(schema).parquet(work.at(name))
+        work = Workspace(self.spark, "shared")
+        saved = work.save(make(), name)
+        self._made[key] = (work, saved.schema)
+        return saved
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

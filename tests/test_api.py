@@ -78,3 +78,30 @@ def test_verify_and_reconcile(spark, world):
     assert {tuple(r) for r in misses.collect()} == {("t:J1", "stock")}
     assert {r["id"]: r["verdict"] for r in verdicts.collect()} == {ids["net", "tax"]: "phantom-confirmed", ids["quote", "net"]: "oracle-gap"}
     assert lost.count() == 0
+
+
+def test_draft(spark, world):
+    nodes, edges, _, _ = world
+    sources = spark.createDataFrame([("shop/cart.py", "@r.get('/a')\ndef checkout(): ...\n@r.get('/c')\ndef ghost(): ..."), ("shop/quote.py", "@r.post('/q')\ndef quote(): ..."), ("bad.py", "def ("), ("web/list.vue", "x"), ("web/list.test.ts", "x")], "path string, content string")
+    d = api.draft(sources, nodes, edges)
+    assert [(r["name"], r["fan_in"]) for r in d.flows.collect()] == [("checkout", 0), ("quote", 1)]
+    assert [(r["name"], r["reason"]) for r in d.unresolved.collect()] == [("ghost", "no node in the index")]
+    assert {(r["path"], r["what"][:3]) for r in d.blind_spots.collect()} == {("bad.py", "doe"), ("web/list.vue", "no ")}
+
+
+def test_experiments(spark, world):
+    nodes, edges, _, entries = world
+    assert {r["arm"] for r in api.couple(nodes, edges, entries, 1).collect()} == {"coupled", "apart"}
+    scores, summary = api.accuracy(spark.createDataFrame([("s", "J1", 2)], "site string, journey string, position int"), spark.createDataFrame([("s", "J1")], "site string, journey string"))
+    assert summary.first()["mean_worst_rank"] == 2 and scores.first()["recall"] == 1
+    traced = "journey string, relpath string, qualname string"
+    unit = spark.createDataFrame([("J1", "shop/price.py", "net"), ("J1", "shop/quote.py", "quote")], traced)
+    (row,) = api.unit_vs_journey(unit, spark.createDataFrame([("J1", "shop/quote.py", "quote"), ("J1", "shop/money.py", "f.<locals>.tax")], traced), nodes).collect()
+    assert (row["unit"], row["real"], row["shared"]) == (2, 1, 1)
+
+
+def test_exit_codes_of_a_push(spark, world):
+    ok = run(spark, world, diff_of(("shop/price.py", 2)))
+    told = lambda *v: spark.createDataFrame([(f"J{k}", x) for k, x in enumerate(v)], "journey string, verdict string")
+    assert [api.check_push(ok), api.check_push(ok, told("pass")), api.check_push(ok, told("pass", "fail", "uncovered")), api.check_push(ok, told("pass", "skip"))] == [0, 0, 1, 3]
+    assert api.check_push(run(spark, world, "", findings=[("schema", "blocking", "1", "differs")])) == 2

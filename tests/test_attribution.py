@@ -111,3 +111,16 @@ def test_inverted_index_holds_every_test(spark):
     assert got == [("a", "t1", 3), ("a", "t2", 3), ("a", "t3", 3), ("b", "t2", 1)]
     short = sorted(tuple(r) for r in at.tests_per_node(traced).select("id", "n_tests", "first_test").collect())
     assert short == [("a", 3, "t1"), ("b", 1, "t2")]
+
+
+def test_support_by_bits_against_sets(spark):
+    """A hub that all tests ran, and more tests than a word holds."""
+    import random
+
+    rnd = random.Random(6)
+    ran = {(f"n{k}", f"t{t}") for k in range(12) for t in range(200) if rnd.random() < 0.02} | {("hub", f"t{t}") for t in range(200)}
+    edges = [(k, rnd.choice(["hub", f"n{rnd.randrange(16)}"]), f"n{rnd.randrange(16)}") for k in range(80)]
+    of = lambda n: {t for i, t in ran if i == n}
+    want = {k: "observed" if of(a) & of(b) else "not-observed" if of(a) else "untested" for k, a, b in edges}
+    got = at.runtime_support(spark.createDataFrame(edges, "id long, source string, target string"), spark.createDataFrame(sorted(ran), "id string, test string"))
+    assert {r["id"]: r["support"] for r in got.collect()} == want

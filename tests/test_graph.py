@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplegraph.operators import bitclosure, closure, graph, impact, journeys
+from ripplegraph.session import SharedTables
 
 # A shop: a tax rule, two prices built on it, a quote, a cart that imports the quote as a whole file,
 # a hook that only a heuristic found, and a cycle beside it all.
@@ -196,3 +197,22 @@ def test_unresolved_only_where_nothing_resolves(spark, core):
     entries = spark.createDataFrame([("t", "J9", "t:J9", "long_gone", None), ("t", "J1", "t:J1", "stock", "stock.py"), ("t", "J1", "t:J1", "nope", None), ("t", "J2", "t:J2", "stock", "tock.py")], "target string, journey_id string, journey string, name string, file string")
     got = {(r["journey"], r["names"]) for r in journeys.unresolved_journeys(journeys.resolve_entries(entries, core[0])).collect()}
     assert got == {("t:J9", "long_gone"), ("t:J2", "stock")}
+
+
+def test_shared_tables_follow_their_sources(spark, tmp_path):
+    source, made = str(tmp_path / "t"), []
+
+    def get():
+        def make():
+            made.append(1)
+            return spark.read.parquet(source)
+
+        return SharedTables(spark, [source]).get("x", make).count()
+
+    spark.range(3).write.parquet(source)
+    assert (get(), get(), len(made)) == (3, 3, 1)
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert (get(), len(made)) == (5, 2)
+    work, _ = SharedTables._made[(*SharedTables(spark, [source]).key, "x")]
+    work.drop("x")
+    assert (get(), len(made)) == (5, 3)
