@@ -49,6 +49,8 @@ WEIGHTS = {
 MAX_PATH_COST = 1.5
 #: Part of its odds that a mention keeps for a node that another mention holds.
 SHARED = 0.15
+#: Part of a message that is kept from the round before, so that contests do not swing.
+DAMPING = 0.2
 #: Kinds of symbols that can be a runtime frame, by their letters (spelling is uneven).
 CALLABLE = ["function", "method", "component"]
 
@@ -211,7 +213,7 @@ def _spellings(nodes: DataFrame) -> DataFrame:
     """
     columns = ["kind", "name", "qualified_name", "file_path"]
     at = F.col("indexed_at") if "indexed_at" in nodes.columns else F.lit(None).cast("timestamp")
-    rows = nodes.where(F.col("id").isNotNull() & ~F.col("id").startswith("file:")).select("id", *columns, at.alias("indexed_at")).distinct()
+    rows = nodes.where(F.col("id").isNotNull() & ~F.col("id").startswith("file:")).select("id", *columns, at.alias("indexed_at"))
     lacks = " or ".join(f"{c} is null" for c in columns)
     torn = rows.where(lacks)
     given = rows.join(torn.select("id").distinct(), "id", "left_semi")
@@ -314,7 +316,8 @@ def _candidates(symbols: DataFrame, index: DataFrame) -> DataFrame:
     pairs = said.join(known, "block").select("form", "spelling").repartition("form").dropDuplicates()
     left = symbols.drop("relpath", "qualname", "blocks").withColumnsRenamed({c: f"mention_{c}" for c in ("dirs", "keys", "family")})
     right = index.drop("blocks").withColumnsRenamed({"stem_key": "node_stem_key"})
-    met = pairs.join(left, "form").join(right, "spelling").where(F.col("stem_key") == F.col("node_stem_key"))
+    # both are looked up by a number of their own, so that no hash table can be lopsided
+    met = pairs.join(left.hint("shuffle_hash"), "form").join(right.hint("shuffle_hash"), "spelling").where(F.col("stem_key") == F.col("node_stem_key"))
     # a name that was cut off: its owner is whole, or, where the index has no owner, its beginning is long enough
     owned = (F.col("owner") != "") & (F.col("owner") == F.col("node_owner"))
     begun = F.col("node_folded").startswith(F.col("folded")) & (F.length("node_folded") > F.length("folded")) & (owned | ((F.length("folded") >= 6) & (F.coalesce("node_owner", F.lit("")) == "")))
@@ -360,7 +363,7 @@ def _propagate(work: Workspace, pairs: DataFrame, rounds: int, tolerance: float)
         said = state.join(state.groupBy("entity").agg(F.sum(held).alias("total")), "entity").withColumn("say", F.col("odds") / (1 + F.greatest(F.col("total") - held, F.lit(0.0))))
         heard = said.groupBy("node_id").agg(F.sum("say").alias("all"))
         answer = SHARED + (1 - SHARED) / (1 + F.greatest(F.col("all") - F.col("say"), F.lit(0.0)))
-        damped = 0.3 * F.col("free") + 0.7 * answer
+        damped = DAMPING * F.col("free") + (1 - DAMPING) * answer
         state = work.save(said.join(heard, "node_id").select("entity", "node_id", "odds", damped.alias("free"), F.abs(damped - F.col("free")).alias("moved")), f"state-{k}")
         if k > 1:
             work.drop(f"state-{k - 2}")
@@ -390,7 +393,7 @@ def match_symbols(spark: SparkSession, traces: DataFrame, nodes: DataFrame, roun
     symbols = work.save(_symbols(forms).withColumn("form", F.monotonically_increasing_id()), "symbols")
     index = work.save(_nodes(nodes).withColumn("spelling", F.monotonically_increasing_id()), "index")
     found = work.save(_mentions(_candidates(symbols, index)), "mentions")
-    odds = found.groupBy("entity", "node_id").agg(F.exp(F.max("weight")).alias("odds"))
+    odds = work.save(found.groupBy("entity", "node_id").agg(F.exp(F.max("weight")).alias("odds")), "odds")
     beliefs = _propagate(work, odds, rounds, tolerance)
     order = F.struct("belief", F.expr("-hash(node_id)"), "node_id")
     pick = beliefs.groupBy("entity").agg(F.max_by(F.struct("node_id", "belief"), order).alias("m")).where(F.col("m.belief") >= least)
