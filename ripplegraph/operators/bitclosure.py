@@ -8,13 +8,19 @@ by levels: the bits of level L are the sources that reach the node over edges of
 hence a source's confidence is the highest level that holds its bit. Levels do not depend on
 each other, so many of them are taken in groups; sources are taken in
 batches of as many bits as keep the rows narrow. Groups and batches run side by side.
+
+Rounds are for relations that no task can hold. One of at most ``HELD_EDGES`` edges, counted once
+per batch of sources, goes to one task a batch as numbers, which walks it to its end in arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,6 +37,10 @@ LEVELS_AT_ONCE = 8
 MOST_LEVELS = 64
 #: Walks that run at the same time.
 SIDE_BY_SIDE = 4
+#: Edges, times batches of sources, that are walked in tasks that hold them; a task takes some 30 bytes an edge.
+HELD_EDGES = 12_000_000
+#: Bytes of a task's bits, and edges times words that it follows at once.
+HELD_BITS, AT_ONCE = 64_000_000, 2_000_000
 
 
 def positions(rows: DataFrame, key: str) -> DataFrame:
@@ -68,6 +78,13 @@ def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_
     total = keys.count()
     if not total:
         return clean.select("source_key", "id", F.lit(1.0).alias("conf"))
+    # the relation may be long to make, and is read several times
+    relation = work.save(relation.where("frm is not null and nxt is not null").select("frm", "nxt", "ec"), "given")
+    if max_rounds is None and (words := held_words(relation.count(), total)):
+        return _held(work, clean, relation, levels, words)
+    if clean.schema["id"].dataType.typeName() == "long":  # buckets and salted names are of texts
+        text = relation.select(F.col("frm").cast("string").alias("frm"), F.col("nxt").cast("string").alias("nxt"), "ec")
+        return bit_closure(clean.select("source_key", F.col("id").cast("string").alias("id")), text, levels, max_rounds).withColumn("id", F.col("id").cast("long"))
     hot = hot_keys(relation.select("frm"))
     salt = salt_of(F.col("frm"), F.col("nxt"), hot, buckets)
     edges = relation.where("frm is not null and nxt is not null").select("frm", "nxt", "ec").distinct().select(slot_of(F.col("frm"), salt).alias("slot"), "nxt", "ec")
@@ -100,6 +117,153 @@ def bit_closure(seeds: DataFrame, relation: DataFrame, levels: list[float], max_
     return found.join(names, "position").select("source_key", "id", "conf")
 
 
+def held_words(n_edges: int, n_sources: int) -> int:
+    """Words of sources in a batch with which a relation is walked in tasks that hold it; 0: it is too large."""
+    words = max(1, min(-(-n_sources // 64), HELD_BITS // (8 * max(1, n_edges))))
+    return words if n_edges * -(-n_sources // (words * 64)) <= HELD_EDGES else 0
+
+
+def numbers(ids: DataFrame, work: Workspace) -> tuple[DataFrame, int]:
+    """``id, n`` for the distinct ``id``, and the salt with which ``numbered`` gives each a number of its own."""
+    known = work.save(ids.where("id is not null").distinct(), "ids")
+    total = known.count()
+    for salt in count():
+        named = known.select("id", numbered(F.col("id"), salt).alias("n"))
+        if named.select("n").distinct().count() == total:
+            return named, salt
+
+
+def numbered(key, salt: int):
+    return F.xxhash64(key, F.lit(salt)) if salt else F.xxhash64(key)
+
+
+def _held(work: Workspace, seeds: DataFrame, relation: DataFrame, levels: list[float], words: int) -> DataFrame:
+    """The closure in one task a batch of sources; ids that are numbers already stay as they are."""
+    edges, named = relation, None
+    if seeds.schema["id"].dataType.typeName() != "long":
+        both = edges.select(F.col("frm").alias("id")).unionByName(edges.select(F.col("nxt").alias("id"))).unionByName(seeds.select("id"))
+        named, salt = numbers(both, work)
+        edges = edges.select(numbered(F.col("frm"), salt).alias("frm"), numbered(F.col("nxt"), salt).alias("nxt"), "ec")
+        seeds = seeds.select("source_key", numbered(F.col("id"), salt).alias("id"))
+    placed = work.save(positions(seeds.select("source_key").distinct(), "source_key"), "places")
+    width = words * 64
+    n_batches = -(-placed.count() // width)
+    rank = F.when(F.col("ec").isNull(), 0)
+    for k, level in enumerate(levels):
+        rank = rank.when(F.col("ec") >= level, k)
+    ahead = edges.select(F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"), "frm", "nxt", rank.alias("rank"), F.lit(None).cast("int").alias("bit")).where("rank is not null")
+    starts = seeds.join(placed, "source_key").select(F.floor(F.col("position") / width).cast("int").alias("batch"), F.col("id").alias("frm"), F.lit(None).cast("long").alias("nxt"), F.lit(0).alias("rank"), (F.col("position") % width).cast("int").alias("bit"))
+    rows = ahead.unionByName(starts).repartition(n_batches, "batch").sortWithinPartitions("batch")
+    walked = work.save(rows.mapInArrow(_walks(len(levels), words), "batch int, id long, rank int, word int, bits long"), "walked")
+    work.drop("given")
+    conf = F.element_at(F.array(*map(F.lit, levels)), F.col("rank") + 1)
+    bits = walked.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).where("shiftright(bits, b) & 1L = 1L")
+    found = bits.select((F.col("batch").cast("long") * width + F.col("word") * 64 + F.col("b")).alias("position"), "id", conf.alias("conf"))
+    found = found.join(placed, "position").select("source_key", "id", "conf")
+    return found if named is None else found.join(named.withColumnsRenamed({"id": "name", "n": "id"}), "id").select("source_key", F.col("name").alias("id"), "conf")
+
+
+def _walks(n_levels: int, words: int):
+    """Walks the batches of a partition, one after the other: rows of edges, and of seeds with their bit."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        batch = None
+        for part in parts:
+            keys = part.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b == a:
+                    continue
+                if batch is not None and keys[a] != batch:
+                    yield from _walk_held(batch, held, n_levels, words)
+                    held = []
+                batch = int(keys[a])
+                held.append(part.slice(a, b - a))
+        if batch is not None:
+            yield from _walk_held(batch, held, n_levels, words)
+
+    return run
+
+
+def _strange(nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The distinct ``ids`` that are not among the sorted ``nodes``."""
+    if not len(nodes):
+        return np.unique(ids)
+    return np.unique(ids[nodes[np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)] != ids])
+
+
+def _place(nodes: np.ndarray, others: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where ``ids`` lie among ``nodes`` and, after them, ``others``; both are sorted."""
+    at = np.searchsorted(nodes, ids)
+    there = nodes[np.minimum(at, len(nodes) - 1)] == ids if len(nodes) else np.zeros(len(ids), bool)
+    return np.where(there, at, len(nodes) + np.searchsorted(others, ids))
+
+
+def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int) -> Iterator[pa.RecordBatch]:
+    """The bits that each node gains at each level, from the highest; ``held`` is emptied."""
+    rows = pa.Table.from_batches(held)
+    held.clear()
+    is_seed = rows.column("nxt").is_null().to_numpy()
+    seeds = rows.filter(pa.array(is_seed))
+    edges = rows.filter(pa.array(~is_seed)).select(["frm", "nxt", "rank"])
+    del rows
+    frm, rank = edges.column("frm").to_numpy(), edges.column("rank").to_numpy().astype(np.int8)
+    order = np.argsort(frm)
+    frm, rank = frm[order], rank[order]
+    nxt = edges.column("nxt").to_numpy()[order]
+    del edges, order
+    heads = np.flatnonzero(np.r_[True, frm[1:] != frm[:-1]]) if len(frm) else np.zeros(0, np.int64)
+    nodes = frm[heads]
+    first = np.r_[heads, len(frm)]
+    del frm
+    seed_ids = seeds.column("frm").to_numpy()
+    others = np.unique(np.concatenate([np.zeros(0, np.int64), *(_strange(nodes, ids[a : a + AT_ONCE]) for ids in (nxt, seed_ids) for a in range(0, len(ids), AT_ONCE))]))
+    target = np.empty(len(nxt), np.int32)
+    for a in range(0, len(nxt), AT_ONCE):
+        target[a : a + AT_ONCE] = _place(nodes, others, nxt[a : a + AT_ONCE])
+    del nxt
+    names = np.concatenate([nodes, others])
+    state = np.zeros((len(names), words), np.uint64)
+    bit = seeds.column("bit").to_numpy().astype(np.uint64)
+    np.bitwise_or.at(state, (_place(nodes, others, seed_ids), (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    before = np.zeros_like(state)
+    for level in range(n_levels):
+        fresh, admitted = state, True  # what the higher levels reached takes the edges of this level first
+        while True:
+            after = np.zeros_like(state)
+            at = np.flatnonzero(fresh[: len(nodes)].any(axis=1))
+            many = first[at + 1] - first[at]
+            upto = np.cumsum(many)
+            cut = np.unique(np.searchsorted(upto, np.arange(0, upto[-1], max(1, AT_ONCE // words)), side="left")) if len(at) else []
+            for a, b in zip(cut, [*cut[1:], len(at)], strict=False):
+                n = many[a:b]
+                ends = np.cumsum(n)
+                edge = np.repeat(first[at[a:b]] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+                source = np.repeat(at[a:b], n)
+                keep = rank[edge] == level if admitted else rank[edge] <= level
+                edge, source = edge[keep], source[keep]
+                if not len(edge):
+                    continue
+                to = target[edge]
+                order = np.argsort(to, kind="stable")
+                to = to[order]
+                begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                came, to = np.bitwise_or.reduceat(fresh[source[order]], begin, axis=0), to[begin]
+                after[to] |= came & ~state[to]
+                state[to] |= came
+            fresh, admitted = after, False
+            if not fresh.any():
+                break
+        node, word = np.nonzero(state & ~before)
+        gained = (state & ~before)[node, word].view(np.int64)
+        before = state.copy()
+        for a in range(0, len(node), AT_ONCE):
+            k = slice(a, a + AT_ONCE)
+            n = len(node[k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch, np.int32)), pa.array(names[node[k]]), pa.array(np.full(n, level, np.int32)), pa.array(word[k].astype(np.int32)), pa.array(gained[k])], ["batch", "id", "rank", "word", "bits"])
+
+
 def slot_of(key, salt):
     """Where a node's edges lie: under its own name, or, for a hot node, under one name per salt."""
     return F.when(salt == 0, key).otherwise(F.concat(key, F.lit("\u0001"), salt.cast("string")))

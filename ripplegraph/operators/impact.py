@@ -10,6 +10,7 @@ from ripplegraph.operators.bitclosure import positions
 from ripplegraph.operators.closure import confidences, reachable
 from ripplegraph.operators.graph import FAN_IN_KINDS, LOW_CONFIDENCE, is_file_id
 from ripplegraph.operators.journeys import natural_key
+from ripplegraph.operators.reach import Reach
 from ripplegraph.session import Workspace
 
 
@@ -167,3 +168,14 @@ def coupling(footprints: DataFrame, core: DataFrame) -> DataFrame:
     """Per flow the part of its footprint that lies in the shared core: ``source_key, overlap, size``."""
     marked = footprints.join(core.select("id", F.lit(1).alias("core")), "id", "left")
     return marked.groupBy("source_key").agg(F.count("core").alias("overlap"), F.count(F.lit(1)).alias("size"))
+
+
+def core_of_reach(reached: Reach, share: float = 0.5) -> DataFrame:
+    """``shared_core`` of a closure in parts."""
+    total = reached.sizes().agg(F.count(F.lit(1)).alias("total"))
+    return reached.counts().crossJoin(F.broadcast(total)).where(F.col("n") >= F.lit(share) * F.col("total")).select("id", F.col("n").alias("in_footprints"))
+
+
+def coupling_of_reach(reached: Reach) -> DataFrame:
+    """``coupling`` of a closure in parts with its shared core."""
+    return reached.sizes(Workspace(reached.core.sparkSession, "coupling").save(core_of_reach(reached), "shared"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import closure, graph, impact, journeys
+from ripplegraph.operators import closure, graph, impact, journeys, reach
 from ripplegraph.session import SharedTables, Workspace, table
 
 
@@ -77,6 +77,17 @@ class Inputs:
         starts = self.seeds.select(F.lit("all").alias("source_key"), "id")
         return self._once("reached", lambda: closure.widest_closure(starts, self.impact))
 
+    @property
+    def starts(self) -> DataFrame:
+        return self.entries.where("id is not null").select(F.col("journey").alias("source_key"), "id")
+
+    @property
+    def feet(self) -> reach.Reach:
+        """All footprints in parts; as rows they are flows times nodes."""
+        if not hasattr(self, "_feet"):
+            self._feet = reach.reaches(self.starts, graph.dependency_relation(self.edges))[0]
+        return self._feet
+
     @property
     def footprints(self) -> DataFrame:
         starts = self.entries.where("id is not null").select(F.col("journey").alias("source_key"), "id")
@@ -124,8 +135,8 @@ QUERIES = {
     "registry_resolution": query(lambda i: journeys.resolve_registries(table(i.spark, i.dir, "signedintake"))),
     "journey_rank": query(_rank),
     "reverse_index": query(lambda i: impact.reverse_index(i.entries, graph.inverse(i.impact), i.nodes)),
-    "shared_core": query(lambda i: impact.shared_core(i.footprints)),
-    "coupling_overlap": query(lambda i: impact.coupling(i.footprints, impact.shared_core(i.footprints)).select(F.col("source_key").alias("journey"), "overlap", "size")),
+    "shared_core": query(lambda i: impact.core_of_reach(i.feet)),
+    "coupling_overlap": query(lambda i: impact.coupling_of_reach(i.feet).select(F.col("source_key").alias("journey"), "overlap", "size")),
     "phantom_whatif": query(_what_if),
     "natural_sort_key": query(_natural),
 }
