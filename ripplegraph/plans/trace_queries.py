@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import labels, paths
-from ripplegraph.operators import attribution, graph, rules, scoring
+from ripplegraph.operators import attribution, closure, graph, rules, scoring
 from ripplegraph.plans.graph_queries import EDGES, ENTRIES, NODES, REGISTRIES, TEST_PATH, Inputs, _DEPS, _FOOT, query
 from ripplegraph.session import table
 
@@ -78,7 +78,8 @@ def _misses(i: Inputs) -> DataFrame:
 def _calls(i: Inputs) -> DataFrame:
     """Calls whose source is in some footprint and whose ends the index knows."""
     ids = i.nodes.select("id")
-    calls = i.edges.where("kind = 'calls'").join(i.footprints.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+    met = i._once("met", lambda: closure.reachable(i.starts.select(F.lit("all").alias("source_key"), "id"), graph.dependency_relation(i.edges)).select("id"))
+    calls = i.edges.where("kind = 'calls'").join(met.select(F.col("id").alias("source")), "source", "left_semi")
     return calls.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
 
 

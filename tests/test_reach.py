@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from ripplegraph.operators import bitclosure, impact, reach
+from ripplegraph.operators import bitclosure, closure, impact, reach
+from ripplegraph.session import data_home
 
 SHAPES = {"core": (30, 70), "sparse": (40, 30), "no edges": (10, 0)}
 
@@ -69,3 +70,14 @@ def test_coupling_makes_no_pairs(spark, monkeypatch):
     assert not parts.through.isEmpty()
     monkeypatch.setattr(reach, "product", never)
     assert (pairs(impact.coupling_of_reach(parts)), pairs(impact.core_of_reach(parts))) == want
+
+
+def test_edge_verdicts_ask_for_reached_nodes_only(spark, monkeypatch):
+    """The nodes of all footprints together are one walk; no flow's own footprint is needed."""
+    entry = pytest.importorskip("__spark_entry__")
+    monkeypatch.setattr(reach, "reaches", never)
+    seen = []
+    alone = closure.reachable
+    monkeypatch.setattr(closure, "reachable", lambda seeds, relation: seen.append(seeds.select("source_key").distinct().count()) or alone(seeds, relation))
+    assert {r["verdict"] for r in entry.queries()["edge_verdict_counts"](spark, data_home("sf0.001")).collect()} <= {"oracle-gap", "phantom-confirmed", "phantom-source-only"}
+    assert seen == [1]
