@@ -10,7 +10,7 @@ from ripplegraph.operators.bitclosure import positions
 from ripplegraph.operators.closure import confidences, reachable
 from ripplegraph.operators.graph import FAN_IN_KINDS, LOW_CONFIDENCE, is_file_id
 from ripplegraph.operators.journeys import natural_key
-from ripplegraph.operators.reach import Reach
+from ripplegraph.operators.reach import Reach, product
 from ripplegraph.session import Workspace
 
 
@@ -48,6 +48,23 @@ def files_of_closure(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return grouped.select("source_key", F.when(F.col("whole"), F.array_join(F.array_sort("files"), ",")).alias("files"), F.when(F.col("whole"), F.size("files").cast("long")).alias("n_files"), "reached")
 
 
+def files_of_reach(reached: Reach, nodes: DataFrame) -> DataFrame:
+    """The same of a closure in parts; the files of the core are gathered once, and names only of sources that are whole."""
+    met = lambda df: df.join(nodes.select("id", "file_path", F.lit(True).alias("known")), "id", "left")
+    sums = [F.bool_and(F.col("known").isNotNull()).alias("whole"), F.count(F.lit(1)).alias("reached")]
+    work = Workspace(nodes.sparkSession, "files")
+    own, core = work.save(met(reached.pairs), "own"), work.save(met(reached.core), "core")
+    through = reached.through.crossJoin(F.broadcast(core.agg(*sums).where("reached > 0")))
+    each = own.groupBy("source_key").agg(*sums).unionByName(through.select("source_key", "whole", "reached"))
+    each = work.save(each.groupBy("source_key").agg(F.bool_and("whole").alias("whole"), F.sum("reached").alias("reached")), "each")
+    whole = each.where("whole").select("source_key")
+    of_core = core.where("file_path is not null").select(F.col("file_path").alias("id")).distinct()
+    files = own.join(whole, "source_key", "left_semi").select("source_key", "file_path").unionByName(product(reached.through.join(whole, "source_key", "left_semi"), of_core).select("source_key", F.col("id").alias("file_path")))
+    listed = files.groupBy("source_key").agg(F.collect_set("file_path").alias("files"))
+    rows = each.join(listed, "source_key", "left")
+    return rows.select("source_key", F.when(F.col("whole"), F.array_join(F.array_sort("files"), ",")).alias("files"), F.when(F.col("whole"), F.size("files").cast("long")).alias("n_files"), "reached")
+
+
 def confined_files(seeds: DataFrame, entries: DataFrame, relation: DataFrame, nodes: DataFrame) -> DataFrame:
     """Changed files whose seeds, entries aside, reach nothing outside the file.
 

@@ -128,7 +128,7 @@ QUERIES = {
     "impacted_closure": query(lambda i: i.reached.select("id", "conf")),
     "impacted_closure_caps": query(lambda i: i.reached.select("id", "conf", "cap")),
     "footprint": query(lambda i: i.footprints.select(F.col("source_key").alias("journey"), "id")),
-    "closure_files_complete": query(lambda i: impact.files_of_closure(i.footprints, i.nodes)),
+    "closure_files_complete": query(lambda i: impact.files_of_reach(i.feet, i.nodes)),
     "confined_files": query(lambda i: impact.confined_files(i.seeds, i.entries, i.impact, i.nodes)),
     "entry_map": query(lambda i: i.entries.where("id is not null").select("journey", "name", "id").distinct()),
     "unresolved_entries": query(lambda i: journeys.unresolved_journeys(i.entries)),

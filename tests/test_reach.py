@@ -81,3 +81,24 @@ def test_edge_verdicts_ask_for_reached_nodes_only(spark, monkeypatch):
     monkeypatch.setattr(closure, "reachable", lambda seeds, relation: seen.append(seeds.select("source_key").distinct().count()) or alone(seeds, relation))
     assert {r["verdict"] for r in entry.queries()["edge_verdict_counts"](spark, data_home("sf0.001")).collect()} <= {"oracle-gap", "phantom-confirmed", "phantom-source-only"}
     assert seen == [1]
+
+
+@pytest.mark.parametrize("unknown", [False, True])
+def test_files_of_parts(spark, unknown):
+    _, _, s, e = made(spark, "core")
+    parts = reach.reaches(s, e)[0]
+    held = [(f"n{k}", None if k % 5 == 0 else f"{k % 7}.py") for k in range(33)]
+    gone = {r["id"] for r in parts.core.collect()[:1]} if unknown else set()
+    nodes = spark.createDataFrame([r for r in held if r[0] not in gone], "id string, file_path string")
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert plain(impact.files_of_reach(parts, nodes)) == plain(impact.files_of_closure(parts.rows(), nodes))
+
+
+def test_files_of_a_broken_core_make_no_pairs(spark, monkeypatch):
+    _, _, s, e = made(spark, "core")
+    parts = reach.reaches(s, e)[0]
+    some = []
+    kept = impact.product
+    monkeypatch.setattr(impact, "product", lambda sources, nodes: some.append(sources.count()) or kept(sources, nodes))
+    got = {r["source_key"]: r["files"] for r in impact.files_of_reach(parts, spark.createDataFrame([], "id string, file_path string")).collect()}
+    assert got and set(got.values()) == {None} and some == [0]
