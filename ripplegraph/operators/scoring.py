@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ripplegraph.functions.paths import glob_problem, glob_to_regex, is_test_path
 from ripplegraph.operators.bitclosure import positions
 from ripplegraph.operators.graph import FAN_IN_KINDS
-from ripplegraph.operators.impact import coupling, shared_core
+from ripplegraph.operators.impact import coupling, coupling_of_reach, shared_core
+from ripplegraph.operators.reach import Reach
 from ripplegraph.operators.rules import MIN_TOLERANCE_EDGES, SPOT_CHECK_FLOOR
+from ripplegraph.session import Workspace
 
 #: Distinct globs that a registry set may hold; more are matched in several rounds.
 GLOBS_AT_ONCE = 500
@@ -61,10 +63,11 @@ def caller_churn(edges: DataFrame, nodes: DataFrame, churn: DataFrame) -> DataFr
     return met.groupBy("target").agg((F.sum(F.coalesce("churn", F.lit(0)) * F.col("n")) / F.sum("n")).alias("churn"), F.sum("n").alias("callers"))
 
 
-def arms(footprints: DataFrame, k: int) -> DataFrame:
+def arms(footprints: DataFrame | Reach, k: int) -> DataFrame:
     """The ``k`` flows deepest in the shared core and the ``k`` farthest from it; where a flow
     is in both, it counts as coupled."""
-    rows = coupling(footprints, shared_core(footprints)).withColumnRenamed("source_key", "journey")
+    rows = coupling_of_reach(footprints) if isinstance(footprints, Reach) else coupling(footprints, shared_core(footprints))
+    rows = Workspace(rows.sparkSession, "arms").save(rows, "rows").withColumnRenamed("source_key", "journey")
     top = rows.orderBy(F.desc("overlap"), F.desc("size"), "journey").limit(k).withColumn("arm", F.lit("coupled"))
     bottom = rows.orderBy("overlap", "size", F.desc("journey")).limit(k).withColumn("arm", F.lit("apart"))
     return top.unionByName(bottom.join(top.select("journey"), "journey", "left_anti")).select("journey", "overlap", "size", "arm")

@@ -170,7 +170,7 @@ QUERIES = {
     "slug_ids": query(lambda i: labels.flow_ids(i.journeys.entries.where("file is not null").select("file", "name").distinct())),
     "spot_check_candidates": query(lambda i: scoring.spot_check_scores(i.candidates)),
     "churn_score": query(lambda i: scoring.caller_churn(i.edges, i.nodes, scoring.churn_of_files(table(i.spark, i.dir, "edges"), i.nodes))),
-    "coupling_arms": query(lambda i: scoring.arms(i.footprints, 5)),
+    "coupling_arms": query(lambda i: scoring.arms(i.feet, 5)),
     "suffix_lookup": query(lambda i: scoring.suffix_lookup(i.journeys.flat.table("traced_symbol").select("relpath"), i.nodes)),
     "stride_sample": query(_stride),
 }

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ripplegraph.operators import bitclosure, closure, impact, reach
+from ripplegraph.operators import bitclosure, closure, impact, reach, scoring
 from ripplegraph.session import data_home
 
 SHAPES = {"core": (30, 70), "sparse": (40, 30), "no edges": (10, 0)}
@@ -102,3 +102,11 @@ def test_files_of_a_broken_core_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(impact, "product", lambda sources, nodes: some.append(sources.count()) or kept(sources, nodes))
     got = {r["source_key"]: r["files"] for r in impact.files_of_reach(parts, spark.createDataFrame([], "id string, file_path string")).collect()}
     assert got and set(got.values()) == {None} and some == [0]
+
+
+def test_arms_make_no_pairs(spark, monkeypatch):
+    _, _, s, e = made(spark, "core")
+    parts = reach.reaches(s, e)[0]
+    want = pairs(scoring.arms(parts.rows(), 3))
+    monkeypatch.setattr(reach, "product", never)
+    assert pairs(scoring.arms(parts, 3)) == want and len(want) == 6
