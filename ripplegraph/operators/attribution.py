@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.operators.bitclosure import positions
 from ripplegraph.operators.journeys import suffix_match
+from ripplegraph.operators.reach import Reach
 from ripplegraph.session import Workspace
 
 # Statuses of a run, the verdict each stands for, and the rank of verdicts.
@@ -163,9 +164,11 @@ def e2e_judge(statuses: DataFrame, journeys: DataFrame) -> DataFrame:
     return seen.select("journey", verdict.alias("verdict"), reason.alias("reason"), "runs")
 
 
-def static_misses(traced: DataFrame, footprints: DataFrame) -> DataFrame:
+def static_misses(traced: DataFrame, footprints: DataFrame | Reach) -> DataFrame:
     """What a covering test ran and the static graph does not reach: ``journey, id``."""
     ran = traced.select("journey", "id").distinct()
+    if isinstance(footprints, Reach):
+        return footprints.without(ran.withColumnRenamed("journey", "source_key")).select(F.col("source_key").alias("journey"), "id")
     return ran.join(footprints.select(F.col("source_key").alias("journey"), "id"), ["journey", "id"], "left_anti")
 
 

@@ -72,7 +72,7 @@ def _e2e(i: Inputs) -> DataFrame:
 
 def _misses(i: Inputs) -> DataFrame:
     covered = ran(i, ["resolved"]).join(declared(i).select("test", "journey"), "test").select("journey", "id").distinct()
-    return attribution.static_misses(covered.join(i.journeys.journeys.select("journey"), "journey", "left_semi"), i.footprints)
+    return attribution.static_misses(covered.join(i.journeys.journeys.select("journey"), "journey", "left_semi"), i.feet)
 
 
 def _calls(i: Inputs) -> DataFrame:

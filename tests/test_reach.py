@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ripplegraph.operators import bitclosure, closure, impact, reach, scoring
+from ripplegraph.operators import attribution, bitclosure, closure, impact, reach, scoring
 from ripplegraph.session import data_home
 
 SHAPES = {"core": (30, 70), "sparse": (40, 30), "no edges": (10, 0)}
@@ -110,3 +110,12 @@ def test_arms_make_no_pairs(spark, monkeypatch):
     want = pairs(scoring.arms(parts.rows(), 3))
     monkeypatch.setattr(reach, "product", never)
     assert pairs(scoring.arms(parts, 3)) == want and len(want) == 6
+
+
+def test_misses_are_looked_up_in_the_parts(spark, monkeypatch):
+    starts, edges, s, e = made(spark, "core")
+    parts = reach.reaches(s, e)[0]
+    monkeypatch.setattr(reach, "product", never)
+    ran = [(f"k{k}", f"n{n}") for k in range(14) for n in range(0, 36, 2)]
+    got = attribution.static_misses(spark.createDataFrame(ran, "journey string, id string"), parts)
+    assert pairs(got) == sorted(set(ran) - brute(starts, edges))
