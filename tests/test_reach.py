@@ -119,3 +119,11 @@ def test_misses_are_looked_up_in_the_parts(spark, monkeypatch):
     ran = [(f"k{k}", f"n{n}") for k in range(14) for n in range(0, 36, 2)]
     got = attribution.static_misses(spark.createDataFrame(ran, "journey string, id string"), parts)
     assert pairs(got) == sorted(set(ran) - brute(starts, edges))
+
+
+@pytest.mark.parametrize("drop", [0, 5, 45])
+def test_lost_pairs_of_two_closures(spark, drop):
+    starts, edges, s, e = made(spark, "core")
+    kept = random.Random(drop).sample(edges, len(edges) - drop)
+    whole, without = reach.reaches(s, e, spark.createDataFrame(kept, "frm string, nxt string"))
+    assert pairs(whole.lost_in(without)) == sorted(brute(starts, edges) - brute(starts, kept))
