@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ripplegraph.operators import attribution, bitclosure, closure, impact, reach, scoring
 from ripplegraph.session import data_home
@@ -127,3 +128,10 @@ def test_lost_pairs_of_two_closures(spark, drop):
     kept = random.Random(drop).sample(edges, len(edges) - drop)
     whole, without = reach.reaches(s, e, spark.createDataFrame(kept, "frm string, nxt string"))
     assert pairs(whole.lost_in(without)) == sorted(brute(starts, edges) - brute(starts, kept))
+
+
+def test_footprint_rows_are_spread(spark, monkeypatch):
+    """A product is written by as many tasks as its rows ask for, not by one for the few rows of its parts."""
+    monkeypatch.setattr(reach, "ROWS_A_TASK", 100)
+    rows = reach.product(spark.range(30).select(F.col("id").cast("string").alias("source_key")), spark.range(40).select(F.col("id").cast("string").alias("id")))
+    assert rows.count() == 1200 and rows.rdd.getNumPartitions() == 12
