@@ -146,23 +146,49 @@ def _held(work: Workspace, seeds: DataFrame, relation: DataFrame, levels: list[f
         edges = edges.select(numbered(F.col("frm"), salt).alias("frm"), numbered(F.col("nxt"), salt).alias("nxt"), "ec")
         seeds = seeds.select("source_key", numbered(F.col("id"), salt).alias("id"))
     placed = work.save(positions(seeds.select("source_key").distinct(), "source_key"), "places")
-    width = words * 64
-    n_batches = -(-placed.count() // width)
-    rank = F.when(F.col("ec").isNull(), 0)
-    for k, level in enumerate(levels):
-        rank = rank.when(F.col("ec") >= level, k)
-    ahead = edges.select(F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"), "frm", "nxt", rank.alias("rank"), F.lit(None).cast("int").alias("bit")).where("rank is not null")
-    starts = seeds.join(placed, "source_key").select(F.floor(F.col("position") / width).cast("int").alias("batch"), F.col("id").alias("frm"), F.lit(None).cast("long").alias("nxt"), F.lit(0).alias("rank"), (F.col("position") % width).cast("int").alias("bit"))
-    rows = ahead.unionByName(starts).repartition(n_batches, "batch").sortWithinPartitions("batch")
-    walked = work.save(rows.mapInArrow(_walks(len(levels), words), "batch int, id long, rank int, word int, bits long"), "walked")
+    never = F.lit(len(levels))
+    ahead = edges.select("frm", "nxt", rank_of(F.col("ec"), levels).alias("rank"), never.alias("core")).where("rank is not null")
+    starts = seeds.join(placed, "source_key").select("position", "id", never.alias("through"), never.alias("core"))
+    walked = held_walk(work, starts, ahead, len(levels), words, placed.count())
     work.drop("given")
     conf = F.element_at(F.array(*map(F.lit, levels)), F.col("rank") + 1)
     bits = walked.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).where("shiftright(bits, b) & 1L = 1L")
-    found = bits.select((F.col("batch").cast("long") * width + F.col("word") * 64 + F.col("b")).alias("position"), "id", conf.alias("conf"))
+    found = bits.select((F.col("cell").cast("long") * 64 + F.col("b")).alias("position"), "id", conf.alias("conf"))
     found = found.join(placed, "position").select("source_key", "id", "conf")
     return found if named is None else found.join(named.withColumnsRenamed({"id": "name", "n": "id"}), "id").select("source_key", F.col("name").alias("id"), "conf")
 
 
+def rank_of(ec, levels: list[float]):
+    """The place of a confidence among the levels, 0 for null, which inherits."""
+    rank = F.when(ec.isNull(), 0)
+    for k, level in enumerate(levels):
+        rank = rank.when(ec >= level, k)
+    return rank
+
+
+def held_walk(work: Workspace, starts: DataFrame, edges: DataFrame, n_levels: int, words: int, n_sources: int) -> DataFrame:
+    """``id, rank, cell, bits``: sources ``64 * cell`` and on that reach a node first at the level ``rank``.
+
+    ``starts`` are ``position, id, through, core`` and ``edges`` ``frm, nxt, rank, core``, in numbers. Pairs of a source
+    and a node are left out, and not walked on from, at levels from both the source's ``through`` and the ``core`` of the
+    node (``id``, ``nxt``) on; ``n_levels`` is never.
+    """
+    width = words * 64
+    n_batches = -(-n_sources // width)
+    ahead = edges.select(F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"), "frm", "nxt", "rank", F.col("core").cast("byte").alias("core"), F.lit(None).cast("int").alias("bit"))
+    first = starts.select(
+        F.floor(F.col("position") / width).cast("int").alias("batch"),
+        F.col("id").alias("frm"),
+        F.lit(None).cast("long").alias("nxt"),
+        F.col("through").alias("rank"),
+        F.col("core").cast("byte").alias("core"),
+        (F.col("position") % width).cast("int").alias("bit"),
+    )
+    rows = ahead.unionByName(first).repartitionById(n_batches, F.col("batch"))  # by hash, some tasks would get several
+    walked = work.save(rows.mapInArrow(_walks(n_levels, words), "batch int, id long, rank int, word int, bits long"), "walked")
+    return walked.select("id", "rank", (F.col("batch") * words + F.col("word")).alias("cell"), "bits")
+
+
 def _walks(n_levels: int, words: int):
     """Walks the batches of a partition, one after the other: rows of edges, and of seeds with their bit."""
 
@@ -201,17 +227,17 @@ def _place(nodes: np.ndarray, others: np.ndarray, ids: np.ndarray) -> np.ndarray
 
 
 def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int) -> Iterator[pa.RecordBatch]:
-    """The bits that each node gains at each level, from the highest; ``held`` is emptied."""
+    """The bits that each node gains at each level, from the highest, but for those that are left out; ``held`` is emptied."""
     rows = pa.Table.from_batches(held)
     held.clear()
     is_seed = rows.column("nxt").is_null().to_numpy()
     seeds = rows.filter(pa.array(is_seed))
-    edges = rows.filter(pa.array(~is_seed)).select(["frm", "nxt", "rank"])
+    edges = rows.filter(pa.array(~is_seed)).select(["frm", "nxt", "rank", "core"])
     del rows
     frm, rank = edges.column("frm").to_numpy(), edges.column("rank").to_numpy().astype(np.int8)
     order = np.argsort(frm)
     frm, rank = frm[order], rank[order]
-    nxt = edges.column("nxt").to_numpy()[order]
+    nxt, nxt_core = edges.column("nxt").to_numpy()[order], edges.column("core").to_numpy()[order]
     del edges, order
     heads = np.flatnonzero(np.r_[True, frm[1:] != frm[:-1]]) if len(frm) else np.zeros(0, np.int64)
     nodes = frm[heads]
@@ -225,10 +251,16 @@ def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int
     del nxt
     names = np.concatenate([nodes, others])
     state = np.zeros((len(names), words), np.uint64)
-    bit = seeds.column("bit").to_numpy().astype(np.uint64)
-    np.bitwise_or.at(state, (_place(nodes, others, seed_ids), (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    bit, at_seed = seeds.column("bit").to_numpy().astype(np.uint64), _place(nodes, others, seed_ids)
+    np.bitwise_or.at(state, (at_seed, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    core, through = np.full(len(names), n_levels, np.int8), np.full(words * 64, n_levels, np.int8)
+    core[target], core[at_seed], through[bit.astype(np.int64)] = nxt_core, seeds.column("core").to_numpy(), seeds.column("rank").to_numpy()
+    del nxt_core, seeds, seed_ids, at_seed, bit
     before = np.zeros_like(state)
     for level in range(n_levels):
+        left_out, covered = np.packbits(through <= level, bitorder="little").view(np.uint64), core <= level
+        covered &= left_out.any()
+        state[covered] &= ~left_out
         fresh, admitted = state, True  # what the higher levels reached takes the edges of this level first
         while True:
             after = np.zeros_like(state)
@@ -250,6 +282,7 @@ def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int
                 to = to[order]
                 begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                 came, to = np.bitwise_or.reduceat(fresh[source[order]], begin, axis=0), to[begin]
+                came[covered[to]] &= ~left_out
                 after[to] |= came & ~state[to]
                 state[to] |= came
             fresh, admitted = after, False

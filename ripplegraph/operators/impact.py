@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.paths import is_test_path
-from ripplegraph.operators.bitclosure import positions
-from ripplegraph.operators.closure import confidences, reachable
+from ripplegraph.operators.bitclosure import levels_of, positions
+from ripplegraph.operators.closure import reachable, widest_closure
 from ripplegraph.operators.graph import FAN_IN_KINDS, LOW_CONFIDENCE, is_file_id
 from ripplegraph.operators.journeys import natural_key
-from ripplegraph.operators.reach import Reach, product
+from ripplegraph.operators.reach import Reach, product, widest_rows
 from ripplegraph.session import Workspace
 
 
@@ -169,9 +169,10 @@ def reverse_index(entries: DataFrame, inverse_relation: DataFrame, nodes: DataFr
     least confidence along a path is the same from either end.
     """
     starts = entries.where("id is not null").select(F.col("journey").alias("source_key"), "id").distinct()
-    reached = confidences(starts, inverse_relation)
-    shown = nodes.where(F.col("file_path").isNotNull() & F.coalesce(F.col("kind") != "file", F.lit(True))).select("id")
-    return reached.where(~is_file_id(F.col("id"))).join(shown, "id", "left_semi").select(F.col("source_key").alias("journey"), "id", "conf")
+    shown = nodes.where(F.col("file_path").isNotNull() & F.coalesce(F.col("kind") != "file", F.lit(True)) & ~is_file_id(F.col("id"))).select("id")
+    levels = levels_of(inverse_relation)
+    reached = widest_rows(starts, inverse_relation, levels, shown) if levels else widest_closure(starts, inverse_relation).join(shown, "id", "left_semi")
+    return reached.select(F.col("source_key").alias("journey"), "id", "conf")
 
 
 def shared_core(footprints: DataFrame, share: float = 0.5) -> DataFrame:

@@ -135,3 +135,58 @@ def test_footprint_rows_are_spread(spark, monkeypatch):
     monkeypatch.setattr(reach, "ROWS_A_TASK", 100)
     rows = reach.product(spark.range(30).select(F.col("id").cast("string").alias("source_key")), spark.range(40).select(F.col("id").cast("string").alias("id")))
     assert rows.count() == 1200 and rows.rdd.getNumPartitions() == 12
+
+
+def widest_brute(starts, edges):
+    best = {s: 1.0 for s in starts}
+    todo = list(best)
+    while todo:
+        key, node = todo.pop()
+        for a, b, ec in edges:
+            conf = min(best[key, node], 1.0 if ec is None else ec)
+            if a == node and conf > best.get((key, b), -1):
+                best[key, b] = conf
+                todo.append((key, b))
+    return sorted((k, n, c) for (k, n), c in best.items())
+
+
+def weighted(spark, shape, seed):
+    starts, edges, s, _ = made(spark, shape, seed)
+    rnd = random.Random(seed)
+    edges = [(a, b, rnd.choice([None, 0.9, 0.9, 0.5, 0.3])) for a, b in edges for _ in range(rnd.choice([1, 1, 2]))]
+    return starts, edges, s, spark.createDataFrame(edges, "frm string, nxt string, ec double")
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_widest_rows_are_the_whole_closure_once(spark, monkeypatch, shape, seed):
+    monkeypatch.setattr(bitclosure, "AT_ONCE", 7)
+    starts, edges, s, e = weighted(spark, shape, seed)
+    shown = spark.createDataFrame([(f"n{k}",) for k in range(50) if k % 7], "id string")
+    want = [r for r in widest_brute(starts, edges) if int(r[1][1:]) % 7]
+    assert pairs(reach.widest_rows(s, e, bitclosure.levels_of(e), shown)) == want
+
+
+@pytest.mark.parametrize("many", [1, 130])
+def test_reverse_index_walks_only_what_the_hub_does_not_give(spark, monkeypatch, many):
+    """A bit per flow and node of the core failed by time; several words of flows, and in rounds where a walk is too large."""
+    starts, edges, _, e = weighted(spark, "core", 5)
+    starts = sorted({(f"{k}.{m}", n) for k, n in starts for m in range(many)})
+    entries = spark.createDataFrame(starts, "journey string, id string")
+    nodes = spark.createDataFrame([(f"n{k}", f"{k}.py", "function") for k in range(33)], "id string, file_path string, kind string")
+    relation = e.withColumn("ecap", F.lit(""))
+    walked = []
+    kept = bitclosure.held_walk
+    monkeypatch.setattr(reach, "held_walk", lambda *a: walked.append(kept(*a)) or walked[-1])
+    got = pairs(impact.reverse_index(entries, relation, nodes))
+    assert got == widest_brute(starts, edges)
+    assert walked[0].selectExpr("sum(bit_count(bits)) n").collect()[0]["n"] < len(got) / 2
+    if many == 1:
+        monkeypatch.setattr(reach, "SENT_EDGES", 0)
+        assert pairs(impact.reverse_index(entries, relation, nodes)) == got and len(walked) == 1
+
+
+def test_reverse_index_without_entries(spark):
+    _, _, _, e = weighted(spark, "core", 5)
+    nodes = spark.createDataFrame([("n1", "1.py", "function")], "id string, file_path string, kind string")
+    assert pairs(impact.reverse_index(spark.createDataFrame([], "journey string, id string"), e.withColumn("ecap", F.lit("")), nodes)) == []
