@@ -146,9 +146,9 @@ def _held(work: Workspace, seeds: DataFrame, relation: DataFrame, levels: list[f
         edges = edges.select(numbered(F.col("frm"), salt).alias("frm"), numbered(F.col("nxt"), salt).alias("nxt"), "ec")
         seeds = seeds.select("source_key", numbered(F.col("id"), salt).alias("id"))
     placed = work.save(positions(seeds.select("source_key").distinct(), "source_key"), "places")
-    never = F.lit(len(levels))
-    ahead = edges.select("frm", "nxt", rank_of(F.col("ec"), levels).alias("rank"), never.alias("core")).where("rank is not null")
-    starts = seeds.join(placed, "source_key").select("position", "id", never.alias("through"), never.alias("core"))
+    none = [F.lit(-1).alias("hub"), F.lit(len(levels)).alias("core")]
+    ahead = edges.select("frm", "nxt", rank_of(F.col("ec"), levels).alias("rank"), *none).where("rank is not null")
+    starts = seeds.join(placed, "source_key").select("position", "id", F.lit(len(levels)).alias("rank"), *none)
     walked = held_walk(work, starts, ahead, len(levels), words, placed.count())
     work.drop("given")
     conf = F.element_at(F.array(*map(F.lit, levels)), F.col("rank") + 1)
@@ -169,18 +169,19 @@ def rank_of(ec, levels: list[float]):
 def held_walk(work: Workspace, starts: DataFrame, edges: DataFrame, n_levels: int, words: int, n_sources: int) -> DataFrame:
     """``id, rank, cell, bits``: sources ``64 * cell`` and on that reach a node first at the level ``rank``.
 
-    ``starts`` are ``position, id, through, core`` and ``edges`` ``frm, nxt, rank, core``, in numbers. Pairs of a source
-    and a node are left out, and not walked on from, at levels from both the source's ``through`` and the ``core`` of the
-    node (``id``, ``nxt``) on; ``n_levels`` is never.
+    ``starts`` are ``position, id, rank, hub, core`` and ``edges`` ``frm, nxt, rank, hub, core``, in numbers. Pairs are left
+    out, and not walked on from, at levels from both the least ``rank`` of the source's starts at the node's ``hub`` and
+    the ``core`` of the node (``id``, ``nxt``) on; ``n_levels`` is never, and -1 no hub.
     """
     width = words * 64
     n_batches = -(-n_sources // width)
-    ahead = edges.select(F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"), "frm", "nxt", "rank", F.col("core").cast("byte").alias("core"), F.lit(None).cast("int").alias("bit"))
+    ahead = edges.select(F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"), "frm", "nxt", "rank", F.col("hub").cast("short").alias("hub"), F.col("core").cast("byte").alias("core"), F.lit(None).cast("int").alias("bit"))
     first = starts.select(
         F.floor(F.col("position") / width).cast("int").alias("batch"),
         F.col("id").alias("frm"),
         F.lit(None).cast("long").alias("nxt"),
-        F.col("through").alias("rank"),
+        "rank",
+        F.col("hub").cast("short").alias("hub"),
         F.col("core").cast("byte").alias("core"),
         (F.col("position") % width).cast("int").alias("bit"),
     )
@@ -232,12 +233,12 @@ def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int
     held.clear()
     is_seed = rows.column("nxt").is_null().to_numpy()
     seeds = rows.filter(pa.array(is_seed))
-    edges = rows.filter(pa.array(~is_seed)).select(["frm", "nxt", "rank", "core"])
+    edges = rows.filter(pa.array(~is_seed)).select(["frm", "nxt", "rank", "hub", "core"])
     del rows
     frm, rank = edges.column("frm").to_numpy(), edges.column("rank").to_numpy().astype(np.int8)
     order = np.argsort(frm)
     frm, rank = frm[order], rank[order]
-    nxt, nxt_core = edges.column("nxt").to_numpy()[order], edges.column("core").to_numpy()[order]
+    nxt, nxt_hub, nxt_core = (edges.column(name).to_numpy()[order] for name in ("nxt", "hub", "core"))
     del edges, order
     heads = np.flatnonzero(np.r_[True, frm[1:] != frm[:-1]]) if len(frm) else np.zeros(0, np.int64)
     nodes = frm[heads]
@@ -253,14 +254,16 @@ def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int
     state = np.zeros((len(names), words), np.uint64)
     bit, at_seed = seeds.column("bit").to_numpy().astype(np.uint64), _place(nodes, others, seed_ids)
     np.bitwise_or.at(state, (at_seed, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    core, through = np.full(len(names), n_levels, np.int8), np.full(words * 64, n_levels, np.int8)
-    core[target], core[at_seed], through[bit.astype(np.int64)] = nxt_core, seeds.column("core").to_numpy(), seeds.column("rank").to_numpy()
-    del nxt_core, seeds, seed_ids, at_seed, bit
+    hub, core = np.full(len(names), -1, np.int16), np.full(len(names), n_levels, np.int8)
+    hub[target], core[target] = nxt_hub, nxt_core
+    hub[at_seed], core[at_seed] = seeds.column("hub").to_numpy(), seeds.column("core").to_numpy()
+    through = np.full((hub.max(initial=-1) + 2, words * 64), n_levels, np.int8)  # the last row is of no hub
+    np.minimum.at(through, (hub[at_seed], bit.astype(np.int64)), seeds.column("rank").to_numpy().astype(np.int8))
+    del nxt_hub, nxt_core, seeds, seed_ids, at_seed, bit
     before = np.zeros_like(state)
     for level in range(n_levels):
-        left_out, covered = np.packbits(through <= level, bitorder="little").view(np.uint64), core <= level
-        covered &= left_out.any()
-        state[covered] &= ~left_out
+        walked, covered = ~np.packbits(through <= level, axis=1, bitorder="little").view(np.uint64), core <= level
+        state[covered] &= walked[hub[covered]]
         fresh, admitted = state, True  # what the higher levels reached takes the edges of this level first
         while True:
             after = np.zeros_like(state)
@@ -282,7 +285,8 @@ def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int
                 to = to[order]
                 begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
                 came, to = np.bitwise_or.reduceat(fresh[source[order]], begin, axis=0), to[begin]
-                came[covered[to]] &= ~left_out
+                some = covered[to]
+                came[some] &= walked[hub[to[some]]]
                 after[to] |= came & ~state[to]
                 state[to] |= came
             fresh, admitted = after, False

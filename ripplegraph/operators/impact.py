@@ -168,7 +168,7 @@ def reverse_index(entries: DataFrame, inverse_relation: DataFrame, nodes: DataFr
     One closure from all entries along the inverse relation instead of one per symbol: the
     least confidence along a path is the same from either end.
     """
-    starts = entries.where("id is not null").select(F.col("journey").alias("source_key"), "id").distinct()
+    starts = entries.where("id is not null").select(F.col("journey").alias("source_key"), "id")
     shown = nodes.where(F.col("file_path").isNotNull() & F.coalesce(F.col("kind") != "file", F.lit(True)) & ~is_file_id(F.col("id"))).select("id")
     levels = levels_of(inverse_relation)
     reached = widest_rows(starts, inverse_relation, levels, shown) if levels else widest_closure(starts, inverse_relation).join(shown, "id", "left_semi")

@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ripplegraph.operators import bitclosure
 from ripplegraph.operators.bitclosure import bit_closure, held_walk, numbered, numbers, positions, rank_of
+from ripplegraph.operators.hubs import around_hubs
 from ripplegraph.session import Workspace, default_parallelism
 
 #: Rows of a product that one task writes.
 ROWS_A_TASK = 4_000_000
+#: Sources, times hubs that they reach, that are sent to each executor.
+MOST_SENT = 200_000
 #: Edges, times batches of sources, that are sent to the tasks of one walk.
 SENT_EDGES = 120_000_000
 
@@ -108,50 +111,49 @@ def central(edges: DataFrame) -> int | None:
 def widest_rows(starts: DataFrame, relation: DataFrame, levels: list[float], shown: DataFrame) -> DataFrame:
     """``source_key, id, conf``: the widest confidence with which ``starts`` (``source_key, id``) reach the ``shown`` (``id``).
 
-    The split holds at each level: a source that reaches the hub with one confidence reaches what the hub reaches
+    The split holds at each level: a source that reaches a hub with one confidence reaches what the hub reaches
     with another at the lesser of the two, if not better. Only what is better is walked, and kept as bits that take
     these pairs out of the product. Work goes with the edges and the rows of the result, which may be sources times nodes.
     """
     spark = starts.sparkSession
     work, never = Workspace(spark, "widest"), len(levels)
-    starts = work.save(starts.where("id is not null and source_key is not null").select("source_key", "id").distinct(), "starts")
-    if starts.isEmpty():
-        return starts.withColumn("conf", F.lit(1.0))
+    starts = starts.where("id is not null and source_key is not null").select("source_key", "id")
     whole = relation.where("frm is not null and nxt is not null").select("frm", "nxt", "ec")
-    named, salt = numbers(whole.select(F.col("frm").alias("id")).unionByName(whole.select(F.col("nxt").alias("id"))).unionByName(starts.select("id")), work)
     places = work.save(positions(starts.select("source_key").distinct(), "source_key"), "places")
-    edges = whole.select(numbered(F.col("frm"), salt).alias("frm"), numbered(F.col("nxt"), salt).alias("nxt"), "ec")
-    edges = work.save(edges, "edges")
-    hub = central(edges)
-    at = spark.createDataFrame([(0, hub)] if hub is not None else [], "source_key int, id long")
-    back = edges.select(F.col("nxt").alias("frm"), F.col("frm").alias("nxt"), "ec")
-    core, before = _both(spark, *(lambda e=e, name=name: work.save(bit_closure(at, e, levels).select("id", "conf", rank_of(F.col("conf"), levels).alias("hub")), name) for e, name in ((edges, "after"), (back, "before"))))
-    first = starts.select("source_key", numbered(F.col("id"), salt).alias("id")).join(places, "source_key")
-    through = first.join(before, "id").groupBy("source_key").agg(F.max("conf").alias("conf"), F.min("hub").alias("through"))
-    sources = work.save(places.join(through, "source_key", "left").withColumn("through", F.coalesce("through", F.lit(never))), "sources")
-    ends = core.select("id", F.col("hub").alias("core"))
-    first = first.join(sources.select("position", "through"), "position").join(ends, "id", "left").select("position", "id", "through", F.coalesce("core", F.lit(never)).alias("core"))
-    left = edges.select("frm", "nxt", rank_of(F.col("ec"), levels).alias("rank")).where("rank is not null")
-    left = left.join(ends.withColumnRenamed("id", "nxt"), "nxt", "left").join(before.select(F.col("id").alias("frm"), "hub"), "frm", "left").where("core is null or hub is null or core > rank or hub > rank")
-    left = work.save(left.select("frm", "nxt", "rank", F.coalesce("core", F.lit(never)).alias("core")), "left")
-    n_sources = sources.count()
-    words = _words(left.count(), named.count(), n_sources, spark.sparkContext.defaultParallelism)
-    if not words:
-        return bit_closure(starts, whole, levels).join(shown.select("id"), "id", "left_semi").select("source_key", "id", "conf")
-    better = held_walk(work, work.save(first, "first"), left, never, words, n_sources)
-    work.drop("left")
+    n_sources, n_edges = places.count(), whole.count()
+    if not n_sources:
+        return starts.withColumn("conf", F.lit(1.0))
+    named, salt = numbers(whole.select(F.col("frm").alias("id")).unionByName(whole.select(F.col("nxt").alias("id"))).unionByName(starts.select("id")), work)
+    all_walked = lambda: bit_closure(starts, whole, levels).join(shown.select("id"), "id", "left_semi").select("source_key", "id", "conf")
+    if n_edges > bitclosure.HELD_EDGES:
+        return all_walked()
+    edges = whole.select(numbered(F.col("frm"), salt).alias("frm"), numbered(F.col("nxt"), salt).alias("nxt"), rank_of(F.col("ec"), levels).alias("rank")).where("rank is not null")
+    around = work.save(around_hubs(edges, never), "around")
+    nodes, left = around.where("nxt is null").select(F.col("frm").alias("id"), "rank", "hub", "core"), around.where("nxt is not null")
+    words = _words(named.count(), n_sources, spark.sparkContext.defaultParallelism)
+    if left.count() * -(-n_sources // (64 * words)) > SENT_EDGES:
+        return all_walked()
+    first = starts.select("source_key", numbered(F.col("id"), salt).alias("id")).join(F.broadcast(places), "source_key").join(nodes, "id", "left")
+    first = work.save(first.select("position", "id", F.coalesce("rank", F.lit(never)).alias("rank"), F.coalesce("hub", F.lit(-1)).alias("hub"), F.coalesce("core", F.lit(never)).alias("core")), "first")
+    better = held_walk(work, first, left, never, words, n_sources)
+    conf = F.element_at(F.array(*map(F.lit, levels)), F.col("rank") + 1).alias("conf")
     names = work.save(named.join(shown.select("id"), "id", "left_semi").select(F.col("id").alias("name"), F.col("n").alias("id")), "names")
-    source = sources.select((F.floor(F.col("position") / 64)).cast("int").alias("cell"), (F.col("position") % 64).cast("int").alias("bit"), "source_key", F.col("conf").alias("source_conf"))
-    # a source and a word of bits meet by the word, so that a row costs one look at it
-    bits = better.join(names, "id").select("name", "cell", "bits", F.element_at(F.array(*map(F.lit, levels)), F.col("rank") + 1).alias("conf"))
+    # sources lie by the word of their bits, so that a row costs one look at it
+    source = places.select("position", F.floor(F.col("position") / 64).cast("int").alias("cell"), (F.col("position") % 64).cast("int").alias("bit"), "source_key")
+    listed = source.groupBy("cell").agg(F.collect_list(F.struct("bit", "source_key")).alias("sources"))
+    bits = better.join(names, "id").select("name", "cell", "bits", conf)
     bits = bits.repartition(_tasks(spark, better.agg(F.sum(F.bit_count("bits")).alias("n")).collect()[0]["n"] or 0))
-    pairs = bits.join(F.broadcast(source), "cell").where("shiftright(bits, bit) & 1L = 1L").select("source_key", F.col("name").alias("id"), "conf")
-    taken = better.groupBy("id", "cell").agg(F.expr("bit_or(bits)").alias("bits")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "bits"))).alias("taken"))
-    inner = work.save(core.select("id", "conf").join(names, "id").join(taken, "id", "left").select("name", "conf", "taken"), "inner")
-    through = source.where("source_conf is not null")
-    cells = inner.repartition(_tasks(spark, inner.count() * through.count()), "name").select("name", "conf", "taken", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_sources - 1) // 64))).alias("cell"))
-    cells = cells.select("name", "conf", "cell", F.coalesce(F.try_element_at("taken", F.col("cell")), F.lit(0).cast("long")).alias("bits"))
-    rest = cells.join(F.broadcast(through), "cell").where("shiftright(bits, bit) & 1L = 0L").select("source_key", F.col("name").alias("id"), F.least("conf", "source_conf").alias("conf"))
+    pairs = bits.join(F.broadcast(listed), "cell").select("name", "bits", "conf", F.inline("sources")).where("shiftright(bits, bit) & 1L = 1L").select("source_key", F.col("name").alias("id"), "conf")
+    through = work.save(first.where(F.col("rank") < never).groupBy("position", "hub").agg(F.min("rank").alias("rank")), "through")
+    inner = nodes.where(F.col("core") < never).select("id", "hub", F.col("core").alias("rank")).join(names, "id")
+    taken = better.repartition("id").groupBy("id", "cell").agg(F.expr("bit_or(bits)").alias("bits")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "bits"))).alias("taken"))
+    inner = work.save(inner.join(taken, "id", "left").select("name", "hub", conf, "taken"), "inner")
+    n_rows = inner.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(through.groupBy("hub").agg(F.count(F.lit(1)).alias("m")), "hub").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()[0]["n"]
+    met = through.join(F.broadcast(source), "position").groupBy("hub", "cell").agg(F.collect_list(F.struct("bit", "source_key", conf.alias("source_conf"))).alias("sources"))
+    cells = inner.repartition(_tasks(spark, n_rows or 0), "name").select("name", "hub", "conf", "taken", F.explode(F.sequence(F.lit(0), F.lit((n_sources - 1) // 64))).alias("cell"))
+    cells = cells.select("name", "hub", "conf", "cell", F.coalesce(F.try_element_at("taken", F.col("cell")), F.lit(0).cast("long")).alias("bits"))
+    rest = cells.join(F.broadcast(met) if through.count() <= MOST_SENT else met, ["hub", "cell"]).select("name", "bits", "conf", F.inline("sources"))
+    rest = rest.where("shiftright(bits, bit) & 1L = 0L").select("source_key", F.col("name").alias("id"), F.least("conf", "source_conf").alias("conf"))
     return pairs.unionByName(rest)
 
 
@@ -159,10 +161,9 @@ def _tasks(spark, n_rows: int) -> int:
     return max(default_parallelism(spark), -(-n_rows // ROWS_A_TASK))
 
 
-def _words(n_edges: int, n_nodes: int, n_sources: int, tasks: int) -> int:
-    """Words of sources in a batch of a walk in tasks that hold its edges, so that all tasks have a batch; 0: they are too many."""
-    words = max(1, min(-(-n_sources // (64 * tasks)), bitclosure.HELD_BITS // (8 * max(1, n_nodes))))
-    return words if n_edges <= bitclosure.HELD_EDGES and n_edges * -(-n_sources // (64 * words)) <= SENT_EDGES else 0
+def _words(n_nodes: int, n_sources: int, tasks: int) -> int:
+    """Words of sources in a batch of a walk, so that its bits are held and all tasks have a batch."""
+    return max(1, min(-(-n_sources // (64 * tasks)), bitclosure.HELD_BITS // (8 * max(1, n_nodes))))
 
 
 def _split(work: Workspace, k: int, starts: DataFrame, edges: DataFrame, hub: int | None) -> Reach:
