@@ -263,7 +263,10 @@ def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int
     before = np.zeros_like(state)
     for level in range(n_levels):
         walked, covered = ~np.packbits(through <= level, axis=1, bitorder="little").view(np.uint64), core <= level
-        state[covered] &= walked[hub[covered]]
+        at = np.flatnonzero(covered)
+        for a in range(0, len(at), AT_ONCE // words + 1):
+            some = at[a : a + AT_ONCE // words + 1]
+            state[some] &= walked[hub[some]]
         fresh, admitted = state, True  # what the higher levels reached takes the edges of this level first
         while True:
             after = np.zeros_like(state)
@@ -292,9 +295,11 @@ def _walk_held(batch: int, held: list[pa.RecordBatch], n_levels: int, words: int
             fresh, admitted = after, False
             if not fresh.any():
                 break
-        node, word = np.nonzero(state & ~before)
-        gained = (state & ~before)[node, word].view(np.int64)
-        before = state.copy()
+        del fresh, after
+        np.bitwise_and(state, ~before, out=before)
+        node, word = np.nonzero(before)
+        gained = before[node, word].view(np.int64)
+        np.copyto(before, state)
         for a in range(0, len(node), AT_ONCE):
             k = slice(a, a + AT_ONCE)
             n = len(node[k])

@@ -163,7 +163,7 @@ def _tasks(spark, n_rows: int) -> int:
 
 def _words(n_nodes: int, n_sources: int, tasks: int) -> int:
     """Words of sources in a batch of a walk, so that its bits are held and all tasks have a batch."""
-    return max(1, min(-(-n_sources // (64 * tasks)), bitclosure.HELD_BITS // (8 * max(1, n_nodes))))
+    return max(1, min(-(-n_sources // (64 * tasks)), bitclosure.HELD_BITS // (16 * max(1, n_nodes))))
 
 
 def _split(work: Workspace, k: int, starts: DataFrame, edges: DataFrame, hub: int | None) -> Reach:
